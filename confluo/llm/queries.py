@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import merkle, mixing
+from confluo.llm import chat, merkle, mixing, packing
 from confluo.llm.common import stored, table
 
 
+def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("SELECT conv_id, turn, role, :said AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)", {"said": said})
+    return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
+
+
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+    sum(length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+        + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + 14) AS n
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+  sha256(learned) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -48,9 +78,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_merkle_fingerprints, op10_source_mix)}
+    return {f.__name__: f for f in (op5_cost_balanced_packing, op6_chat_format, op8_merkle_fingerprints, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_merkle_fingerprints": OP8_SQL}
+    return {"op6_chat_format": OP6_SQL, "op8_merkle_fingerprints": OP8_SQL}
