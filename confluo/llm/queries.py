@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, merkle, mixing, packing
+from confluo.llm import chat, merkle, mixing, packing, pii
 from confluo.llm.common import stored, table
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    return found.select(
+        "doc_id", *[F.size(pii.of_kind(F.col("spans"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(pii.of_kind(F.col("spans"), *pii.BASE)), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -85,7 +93,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_cost_balanced_packing, op6_chat_format, op8_merkle_fingerprints, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op5_cost_balanced_packing, op6_chat_format, op8_merkle_fingerprints, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
