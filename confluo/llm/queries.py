@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, merkle, mixing, packing, pii
+from confluo.llm import chat, merkle, mixing, packing, pii, simhash
 from confluo.llm.common import stored, table
 
 
@@ -49,6 +49,11 @@ FROM g
 """
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op5_cost_balanced_packing, op6_chat_format, op8_merkle_fingerprints, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
