@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, merkle, mixing, packing, pii, simhash
+from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash
 from confluo.llm.common import stored, table
 
 
@@ -19,6 +19,14 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    found = langid.predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -85,6 +93,14 @@ FROM f
 """
 
 
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = quality.score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "mix-sizes")
@@ -98,7 +114,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op3_language_id, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
