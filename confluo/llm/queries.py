@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash
+from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash, topk
 from confluo.llm.common import stored, table
 
 
@@ -19,6 +19,25 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+OP2_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -114,8 +133,8 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op3_language_id, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ball_tree_top_k, op3_language_id, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op8_merkle_fingerprints": OP8_SQL}
+    return {"op2_ball_tree_top_k": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_merkle_fingerprints": OP8_SQL}
