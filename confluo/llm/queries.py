@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash, topk
+from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, topk
 from confluo.llm.common import stored, table
 
 
@@ -46,6 +46,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -133,7 +138,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_ball_tree_top_k, op3_language_id, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ball_tree_top_k, op3_language_id, op4_suffix_dedup, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
