@@ -210,10 +210,10 @@ def _parted(entries: list[tuple[bytes, int, int, np.ndarray]], length: int, step
         x = 0
         while x < n:
             block = (offset - x) // step
-            y = min(n, offset - block * step + 1)  # starts x .. y-1 lie in the block
-            low, high = max(0, offset - block * step - (step - 1)), offset - block * step
-            shared = context[high : low + length] if 0 <= offset - block * step - (step - 1) and high < n else None
-            parts[(block, shared if shared is not None else context[y - 1 : x + length])][(context[x : y - 1 + length], y - x, offset - x)].append((x, at))
+            last = offset - block * step  # the block's last start, be it in this run or not
+            y = min(n, last + 1)
+            shared = context[last : last - step + 1 + length]
+            parts[(block, shared)][(context[x : y - 1 + length], y - x, offset - x)].append((x, at))
             x = y
     for part in parts.values():
         found = [(c, n, o, [(x, at) for x, at in places]) for (c, n, o), places in part.items()]
@@ -240,10 +240,10 @@ def process(rows: list[tuple[int, bytes, int, int, np.ndarray, np.ndarray]], len
         return
     # one anchor with more entries than a transform takes
     step = 8
-    waiting = [[(c, s, o, at) for _, c, s, o, at in entries]]
-    shifted = places
-    while waiting:
-        group = waiting.pop()
+    by_anchor: dict[int, list] = defaultdict(list)
+    for key, c, s, o, at in entries:
+        by_anchor[key].append((c, s, o, at))
+    for group in by_anchor.values():
         for part in _parted(group, length, step):
             flat, extra_docs, extra_places, extra_rank = [], [], [], []
             n = 0
@@ -252,7 +252,7 @@ def process(rows: list[tuple[int, bytes, int, int, np.ndarray, np.ndarray]], len
                 move = np.repeat([x for x, _ in found], [len(a) for _, a in found])
                 flat.append((c, s, np.arange(n, n + len(at))))
                 extra_docs.append(docs[at])
-                extra_places.append(shifted[at] + move)
+                extra_places.append(places[at] + move)
                 extra_rank.append(rank[at])
                 n += len(at)
             d, p, r = np.concatenate(extra_docs), np.concatenate(extra_places), np.concatenate(extra_rank)
