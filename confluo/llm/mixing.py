@@ -162,19 +162,23 @@ def mix(
     is each document's rate before the tilt, 1 unless given.
     """
     size = word_count(F.col("text")) if size is None else size.cast("long")
-    docs = docs.withColumn("_size", size)
-    docs = without(docs, *ADDED).withColumnRenamed("_size", "size")
     prior = F.lit(1.0) if prior is None else F.greatest(F.lit(0.0), F.coalesce(prior.cast("double"), F.lit(0.0)))
-    cells = stored(docs.groupBy("source", prior.alias("prior")).agg(F.sum("size").cast("double").alias("mass")), "mix-cells")
+    docs = docs.withColumns({"_size": size, "_prior": prior})
+    docs = without(docs, *ADDED, "prior").withColumnsRenamed({"_size": "size", "_prior": "prior"})
+    # texts are read here once and once more for the result; everything between works on a few numbers a document
+    rows = stored(docs.select(id_col, "source", "size", "prior"), "mix-sizes")
+    prior = F.col("prior")
+    cells = stored(rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("mass")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum("mass").cast("long").alias("source_size"))
     state = solve_dual(cells, source_targets(sizes, weights, cap), cap)
     for round_ in (1, 2):  # the second round fills what a large document at the first cut left open
-        state = stored(_fill(docs, state, round_, cap, seed, id_col, prior), "mix-cuts")
+        state = stored(_fill(rows, state, round_, cap, seed, id_col, prior), "mix-cuts")
+    drop_stored(rows)
     out = _rates(docs, state, cap, seed, id_col, prior)
     extra = (_open(1) & (F.col("_score") < F.col("_cut1"))) | (_open(2) & (F.col("_score") < F.col("_cut2")))
     copies = (F.col("_floor") + F.when(extra, 1).otherwise(0)).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "size"],
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "prior")],
         "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "rate",
         copies.alias("copies"), (F.col("size") * copies).alias("taken"),
     )

@@ -128,12 +128,17 @@ def spans_of(kind: str, text: Column) -> Column:
     return F.when(text.rlike(needs), walked).otherwise(none)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with spans: array<struct<kind, start, end, score>>, by kind as in KINDS, then start."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+def spans(text: Column) -> Column:
+    """array<struct<kind, start, end, score>>: all spans of a text, by kind as in KINDS, then start."""
+    whole = F.coalesce(text, F.lit(""))
     found = F.concat(*[spans_of(kind, whole) for kind in KINDS])
     # most texts hold no digit and no at sign at all
-    return without(docs, "spans").withColumn("spans", F.when(whole.rlike("[0-9@]"), found).otherwise(F.array().cast(SPAN)))
+    return F.when(whole.rlike("[0-9@]"), found).otherwise(F.array().cast(SPAN))
+
+
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with spans."""
+    return without(docs, "spans").withColumn("spans", spans(F.col(f"`{text}`")))
 
 
 def of_kind(spans: Column, *kinds: str) -> Column:
@@ -162,6 +167,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with their personal data replaced in place, and spans."""
-    found = find(docs, text)
-    return found.withColumn(text, redacted(F.col(f"`{text}`"), F.col("spans")))
+    """docs with their personal data replaced in place."""
+    whole = F.col(f"`{text}`")
+    # an array of one binds the spans, so that they are searched once
+    return docs.withColumn(text, F.get(F.transform(F.array(spans(whole)), lambda found: redacted(whole, found)), F.lit(0)))
