@@ -172,7 +172,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float =
     labels = np.asarray(labels, int)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros((0, 2)), np.zeros((2, 2)), 1.0, 0.0, float(labels.mean()) if len(labels) else 0.5)
-    raw, size, lines_of = line_features(texts)
+    raw, size, lines_of = (np.concatenate(x) for x in zip(*(line_features(texts[a : a + 200]) for a in range(0, len(texts), 200))))
     x = with_neighbours(raw, lines_of)
     doc = np.repeat(np.arange(len(texts)), lines_of)
     y = labels[doc]
@@ -193,7 +193,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float =
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * grad**2
             value += rate * (moments[2 * k] / (1 - 0.9**step)) / (np.sqrt(moments[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
     model = Model(weights, transition, 1.0, 0.0)
-    z = _logit(model.raw(texts))
+    z = _logit(_weighted(forward_backward(x @ weights, transition, lines_of)[0][:, 1], size, lines_of))
     for _ in range(50):  # Newton steps of the logistic curve, with a light pull towards slope 1
         p = 1 / (1 + np.exp(-(model.slope * z + model.offset)))
         g = np.array([((labels - p) * z).sum() - (model.slope - 1), (labels - p).sum() - 0.01 * model.offset])
@@ -221,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_documents:
     return train(*training_sample(docs, labels, learn_from, most_documents, most_lines))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score, the probability of label 1, and predicted (1 from THRESHOLD on)."""
+def scorer(model: Model):
+    """The model's score as a function of a text column."""
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -238,5 +238,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out.append(model.scores(part))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    out = without(docs, "score", "predicted").withColumn("score", of(F.col(f"`{text}`")))
+    return of
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score, the probability of label 1, and predicted (1 from THRESHOLD on)."""
+    out = without(docs, "score", "predicted").withColumn("score", scorer(model)(F.col(f"`{text}`")))
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs less those that the model rejects; their columns stay as they are."""
+    return docs.where(scorer(model)(F.col(f"`{text}`")) >= THRESHOLD)
