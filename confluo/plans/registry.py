@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.plans import rule_queries
+from confluo.plans import panel_queries, rule_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(rule_queries.QUERIES)
+    return rule_queries.QUERIES | panel_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(rule_queries.SQL)
+    return rule_queries.SQL | panel_queries.SQL
