@@ -1,5 +1,7 @@
 """Removal of repeated passages: bytes covered by a string of at least `length` bytes that also starts earlier.
 
+0. Copies. Texts that an earlier document has from end to end are found by their digests and go whole; what follows
+   sees each distinct text once.
 1. Anchors. Every string of `length` bytes holds the k-gram of least hash among those inside it (the leftmost, on
    ties), and equal strings hold it at the same place. Consecutive starts with the same anchor are one run. Anchor
    hashes are counted over all documents by Spark; only runs whose anchor stands twice somewhere go on.
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm.common import stored
+
 K = 24
 PIECE_BYTES = 1 << 20
 TRANSFORM_BYTES = 1_500_000
@@ -274,8 +278,15 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(doc, text) -> (doc, start, stop): what goes, in parts that may overlap."""
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc, text) -> (doc): documents whose whole text an earlier document has."""
+    whole = docs.select("doc", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("hash")).where("digest IS NOT NULL")
+    firsts = whole.groupBy("hash", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return whole.join(firsts.drop("last"), ["hash", "digest"]).where("doc > first").select("doc").distinct()
+
+
+def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = K) -> DataFrame:
+    """(doc, text) -> (doc, start, stop): what goes from documents that are no copies, in parts that may overlap."""
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,10 +344,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = K) -> DataFrame:
                 size += len(row[1]) + 1 if len(rows) < 2 or row[1] != rows[-2][1] else 0
         yield from flush(rows)
 
-    grams = docs.select("doc", "text").mapInArrow(anchors, "anchor long, doc long, times int")
+    grams = docs.join(copies, "doc", "left_anti").mapInArrow(anchors, "anchor long, doc long, times int")
     often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     marked = grams.select("anchor", "doc").join(often, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    found = docs.join(marked, "doc").select("doc", "text", "anchors")
+    found = docs.join(marked, "doc").select("doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
     found = found.mapInArrow(contexts, "anchor long, context binary, starts int, offset int, docs array<long>, places array<int>")
     found = found.repartition("anchor").sortWithinPartitions("anchor", "context")
     return found.mapInArrow(remove, "doc long, start int, stop int")
@@ -354,17 +365,20 @@ def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_
 
 def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) -> kept (binary), spans (array of start, stop) and n_bytes."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    docs = docs.withColumn("doc", F.coalesce("id", F.lit(-(1 << 63))))
-    spans = repeated_spans(docs.select("doc", "text"), length, k)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    docs = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    copies = stored(later_copies(docs), "suffix-copies")
+    spans = repeated_spans(docs, copies, length, k)
+    # a copy goes whole, if it has a string of that length at all
+    whole = copies.select("doc", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))
+    by_doc = spans.union(whole).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, united = [], []
             for raw, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
                 whole: list[list[int]] = []
-                for start, stop in sorted((s["start"], min(s["stop"], len(raw))) for s in spans or [] if s["start"] < len(raw)):
+                for start, stop in sorted((s["start"], min(s["stop"], len(raw))) for s in spans or [] if s["start"] + length <= len(raw)):
                     if whole and start <= whole[-1][1]:
                         whole[-1][1] = max(whole[-1][1], stop)
                     else:
@@ -373,10 +387,11 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 united.append([{"start": a, "stop": b} for a, b in whole])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), pa.array(united, kind)], names=["id", "kept", "spans"])
+            yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), pa.array(united, kind)], names=["doc", "kept", "spans"])
 
-    joined = docs.join(by_doc, "doc", "left").select("id", "text", "spans")
-    out = joined.mapInArrow(cut, "id long, kept binary, spans array<struct<start:int,stop:int>>")
+    joined = docs.join(by_doc, "doc", "left").select("doc", "text", "spans")
+    out = joined.mapInArrow(cut, "doc long, kept binary, spans array<struct<start:int,stop:int>>")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
-    return out.select(F.col("id").alias(id_col), "kept", "spans", removed.alias("n_removed"), (F.octet_length("kept") + removed).alias("n_bytes"))
+    own_id = F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))
+    return out.select(own_id.alias(id_col), "kept", "spans", removed.alias("n_removed"), (F.octet_length("kept") + removed).alias("n_bytes"))
 
