@@ -4,7 +4,7 @@ A conversation becomes one string, its turns in order:
 
     ### Role: text</turn>\\n
 
-Backslash, '#' and '<' inside a text or a role get a backslash before them (and ':' inside a role), so no control
+Backslash, '#' and '<' inside a text or a role get a backslash after them (and ':' inside a role), so no control
 string can appear in content, and unescape() gives every text back. A whole Arrow batch is assembled at once: segment
 lengths, cumulative offsets and scatter indices are computed in numpy, and headers, contents and turn ends are copied
 into one preallocated buffer, of which the output column is a view. The loss mask lists the byte ranges of assistant
@@ -34,7 +34,7 @@ ARROW_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("fo
 
 
 def _escape_role(role: str) -> bytes:
-    return "".join("\\" + c if c in "\\#<:" else c for c in role).encode("utf-8", "surrogatepass")
+    return "".join(c + "\\" if c in "\\#<:" else c for c in role).encode("utf-8", "surrogatepass")
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +63,9 @@ def assemble(conv: list, roles: list[str], texts: pa.Array) -> pa.RecordBatch:
         own = begin[which == k]
         out[own[:, None] + np.arange(len(head))] = np.frombuffer(head, np.uint8)
     content = begin + heads
-    place = np.repeat(content - offsets[:-1] - added[offsets[:-1]], np.diff(offsets)) + np.arange(len(raw)) + added[1:]
+    place = np.repeat(content - offsets[:-1] - added[offsets[:-1]], np.diff(offsets)) + np.arange(len(raw)) + added[:-1]
     out[place] = raw
-    out[place[special] - 1] = ord("\\")
+    out[place[special] + 1] = ord("\\")
     out[(content + lengths)[:, None] + np.arange(len(END))] = np.frombuffer(END, np.uint8)
 
     new = np.array([i == 0 or conv[i] != conv[i - 1] for i in range(n)])
@@ -121,20 +121,22 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "role", "text").mapInArrow(_run, SCHEMA)
 
 
-def unescape(content: bytes) -> str:
+def unescape(content: bytes, special: bytes = b"#<") -> str:
     raw = np.frombuffer(content, np.uint8)
-    return raw[_unescaped(raw)].tobytes().decode("utf-8", "surrogatepass")
+    return raw[_unescaped(raw, special)].tobytes().decode("utf-8", "surrogatepass")
 
 
-def _unescaped(raw: np.ndarray) -> np.ndarray:
-    """Which bytes stay: in each run of backslashes every second one, which also guards a special byte after it."""
+def _unescaped(raw: np.ndarray, special: bytes) -> np.ndarray:
+    """Which bytes stay: a backslash after a special byte goes, and of a run of others every second one."""
     slash = raw == ord("\\")
     keep = ~slash
     at = np.flatnonzero(slash)
     if len(at):
         new = np.concatenate([[True], np.diff(at) > 1])
-        run_start = at[new][np.cumsum(new) - 1]
-        keep[at] = (at - run_start) % 2 == 1
+        first = at[new]
+        guarded = (first > 0) & np.isin(raw[first - 1], list(special))  # the run's first guards the byte before it
+        run = np.cumsum(new) - 1
+        keep[at] = (at - first[run]) % 2 == guarded[run]
     return keep
 
 
@@ -142,11 +144,8 @@ def parse(formatted: bytes) -> list[tuple[str, str]]:
     """The (role, text) turns of a formatted conversation."""
     turns = []
     for segment in formatted.split(END)[:-1]:
-        head = len(HEAD)
-        colon = head
-        while segment[colon] != ord(":"):
-            colon += 2 if segment[colon] == ord("\\") else 1
-        turns.append((unescape(segment[head:colon]), unescape(segment[colon + len(AFTER_ROLE) :])))
+        colon = segment.index(AFTER_ROLE, len(HEAD))  # inside a role a backslash follows the colon
+        turns.append((unescape(segment[len(HEAD) : colon], b"#<:"), unescape(segment[colon + len(AFTER_ROLE) :])))
     return turns
 
 
