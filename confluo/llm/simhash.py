@@ -77,7 +77,7 @@ def _bucket_keys(fp: Column) -> Column:
 def _planes(words: np.ndarray) -> np.ndarray:
     """(n, 64) fingerprints -> (64, n): plane b of a word holds bit b of its 64 candidates."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), 64, 8), axis=2, bitorder="little")  # word, candidate, bit
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
 
 
 def within_radius(queries: np.ndarray, blocks: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
