@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, topk
-from confluo.llm.common import table
+from confluo.llm.common import stored, table
 
 
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +126,9 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    docs = table(spark, sf_dir, "documents")
+    words = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "mix-words")  # texts are read once
+    return mixing.mix(words, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def tokenizer_path() -> str:
