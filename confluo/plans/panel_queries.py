@@ -169,10 +169,11 @@ def doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.table_counts({"events": (t("events"), "date"), "conflicts": (t("conflicts"), "date"), "outages": (t("outages"), "start_time"), "sanctions": (t("sanctions"), "first_seen")})
 
 
-@query("activity_weekly", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean FROM t_activity GROUP BY 1, 2", "activity")
+@query("activity_weekly", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS bucket, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS total, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE / count(*) AS mean FROM t_activity GROUP BY 1, 2", "activity")
 def activity_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = table(spark, sf_dir, "activity").groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("bucket"), "event_type")
-    return weekly.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
+    total = F.sum(F.round(F.col("value") * 100).cast("long")) / 100.0  # in cents, so that no order of summing shows
+    return weekly.agg(F.count("*").alias("n"), total.alias("total"), (total / F.count("*")).alias("mean"))
 
 
 @query("rule_mix", f""", o AS (SELECT 'outage' AS rule_name, country FROM t_outages WHERE {within('start_time')} UNION ALL SELECT 'sanction', country FROM t_sanctions WHERE {within('first_seen')} UNION ALL SELECT 'conflict', country FROM t_conflicts WHERE {within('date')})
