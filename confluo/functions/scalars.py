@@ -171,8 +171,9 @@ def mentioned(text: Column, names: Sequence[str], aliases: dict[str, str] | None
 
 def matched_keywords(text: Column, keywords: Sequence[str] = ARTICLE_KEYWORDS) -> Column:
     """The keywords that stand anywhere in a text, in their own order."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lower, k))
+    lower = F.array(F.lower(F.coalesce(text, F.lit(""))))  # an array of one binds it, so it is made once a text
+    found = F.transform(lower, lambda t: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(t, k)))
+    return F.get(found, F.lit(0))
 
 
 def is_relevant_code(code: Column) -> Column:
