@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.common import without
+from confluo.llm.common import stored, without
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
@@ -148,7 +148,8 @@ def training_sample(docs: DataFrame, per_language: int, most_documents: int, win
     """Windows of about per_language documents of each language, chosen by a hash of the id."""
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate"))
+    # stored, so that Spark knows its size before it plans the join and need not shuffle texts for it
+    rates = stored(known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")), "langid-rates")
     chosen = known.join(rates, "lang").withColumn("_draw", draw).where("_draw < _rate")
     start = (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.length("text") - window)) + 1).cast("int")
     rows = chosen.select("lang", "_draw", "doc_id", F.substring("text", start, F.lit(window)).alias("part"))
