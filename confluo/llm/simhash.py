@@ -21,7 +21,7 @@ those added are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,22 +37,28 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, k: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in their order, at most 4096 at a time; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes.split: ASCII white space
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - k + 1)
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(k, len(words)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
     for a in range(0, n, 4096):  # bounded memory for very long texts
-        hashes = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[a : a + 4096], stops[a : a + 4096])], "<u8")
+        yield np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[a : a + 4096], stops[a : a + 4096])], "<u8")
+
+
+def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, k, seed):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -251,11 +257,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return prints.join(found, "fp").withColumn("fingerprint", hexed)
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs less all but one document of each component: of the smallest id, and of several such of the first text hash."""
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs less all but one document of each component that grouped() finds: of the smallest id, and of several such of
+    the first text hash."""
     key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash")]
-    found = near_duplicates(docs.select(*key, F.col(f"`{text}`").alias("text")), id_col="_id")
+    found = grouped(docs.select(*key, F.col(f"`{text}`").alias("text")), id_col="_id")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")).alias("s")).select("s._id", "s._hash")
-    tagged = docs.select("*", *key)
-    same = tagged["_id"].eqNullSafe(first["_id"]) & (tagged["_hash"] == first["_hash"])
-    return tagged.join(first, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    # keys without nulls, so that the join and the search for repeated rows share one exchange of the texts
+    safe = [F.col("_id").isNull().alias("_null"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_hash"]
+    tagged = docs.select("*", *key).select("*", *safe[:2])
+    return tagged.join(first.select(*safe), ["_null", "_name", "_hash"], "left_semi").dropDuplicates(["_null", "_name", "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
