@@ -17,9 +17,9 @@ Order is by document id, then by offset. A class of anchors whose entries are to
 by the text that all strings of a few neighbouring starts share, down to single starts; nothing is dropped.
 
 Defined cases: a null text is empty, texts shorter than `length` bytes lose nothing; any length of text is searched
-whole; a null id sorts first; rows of one id count as one document standing several times, which do not remove each
-other, and what goes from one goes from all; an empty table gives an empty table; other columns are not carried. A cut
-may fall inside a character, so the kept text is binary.
+whole; a null id sorts first; rows of one id are documents of their own, in the order of a hash of id and text, which
+names a row throughout; rows equal in id and text count as one document and do not remove each other; an empty table
+gives an empty table; other columns are not carried. A cut may fall inside a character, so the kept text is binary.
 """
 
 from __future__ import annotations
@@ -279,37 +279,38 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(doc, text) -> (doc): documents whose whole text an earlier document has."""
-    whole = docs.select("doc", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("hash")).where("digest IS NOT NULL")
+    """(row, doc, text) -> (row): rows whose whole text a row of an earlier id has."""
+    whole = docs.select("row", "doc", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("hash")).where("digest IS NOT NULL")
     firsts = whole.groupBy("hash", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return whole.join(firsts.drop("last"), ["hash", "digest"]).where("doc > first").select("doc").distinct()
+    return whole.join(firsts.drop("last"), ["hash", "digest"]).where("doc > first").select("row").distinct()
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(doc, text) -> (doc, start, stop): what goes from documents that are no copies, in parts that may overlap."""
+    """(row, doc, text) -> (row, start, stop): what goes from rows that are no copies, in parts that may overlap."""
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            text, _, _, _, hashed = runs(_texts(batch.column(1)), length, k)
+            text, _, _, _, hashed = runs(_texts(batch.column(2)), length, k)
             by = np.lexsort((hashed, text))
             text, hashed = text[by], hashed[by]
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1])])) if len(text) else np.zeros(0, int)
             times = np.diff(np.append(first, len(text)))
-            yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "doc", "times"])
+            yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "row", "times"])
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), _texts(batch.column(1))
-            wanted = batch.column(2)
+            ids, own, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _texts(batch.column(2))
+            wanted = batch.column(3)
             sizes = np.diff(wanted.offsets.to_numpy())
             text, start, n, place, hashed = runs(raw, length, k)
             hit = _in_lists(text, hashed, np.repeat(np.arange(len(raw)), sizes), wanted.flatten().to_numpy())
-            held: dict[tuple[int, bytes, int, int], tuple[list, list]] = {}
+            held: dict[tuple[int, bytes, int, int], tuple[list, list, list]] = {}
             for t, s, m, p, h in zip(text[hit].tolist(), start[hit].tolist(), n[hit].tolist(), place[hit].tolist(), hashed[hit].tolist()):
-                found = held.setdefault((h, raw[t][s : s + m - 1 + length], m, p - s), ([], []))
+                found = held.setdefault((h, raw[t][s : s + m - 1 + length], m, p - s), ([], [], []))
                 found[0].append(ids[t])
-                found[1].append(s)
+                found[1].append(own[t])
+                found[2].append(s)
             keys = list(held)
             for a in range(0, len(keys), 20_000):
                 part = keys[a : a + 20_000]
@@ -317,10 +318,11 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                 yield pa.record_batch(
                     [
                         pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int32()), pa.array([x[3] for x in part], pa.int32()),
-                        pa.ListArray.from_arrays(offsets, pa.array([d for x in part for d in held[x][0]], pa.int64())),
-                        pa.ListArray.from_arrays(offsets, pa.array([s for x in part for s in held[x][1]], pa.int32())),
+                        pa.ListArray.from_arrays(offsets, pa.array([r for x in part for r in held[x][0]], pa.int64())),
+                        pa.ListArray.from_arrays(offsets, pa.array([d for x in part for d in held[x][1]], pa.int64())),
+                        pa.ListArray.from_arrays(offsets, pa.array([s for x in part for s in held[x][2]], pa.int32())),
                     ],
-                    names=["anchor", "context", "starts", "offset", "docs", "places"],
+                    names=["anchor", "context", "starts", "offset", "rows", "docs", "places"],
                 )
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,29 +330,39 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
         size = 0
 
         def flush(ready: list) -> Iterator[pa.RecordBatch]:
-            found = list(process(ready, length)) if ready else []
+            if not ready:
+                return
+            # rows are numbered in the order of their documents
+            rows, docs = np.concatenate([x[4] for x in ready]), np.concatenate([x[5] for x in ready])
+            by = np.lexsort((rows, docs))
+            code = np.empty(len(by), np.int64)
+            code[by] = np.cumsum(np.concatenate([[False], (docs[by][1:] != docs[by][:-1]) | (rows[by][1:] != rows[by][:-1])]))
+            row_of = np.empty(int(code.max()) + 1, np.int64)
+            row_of[code] = rows
+            codes = np.split(code, np.cumsum([len(x[4]) for x in ready])[:-1])
+            found = list(process([(*x[:4], c, x[6]) for x, c in zip(ready, codes)], length))
             if found:
                 d, a, b = (np.concatenate(x) for x in zip(*found))
                 by = np.lexsort((b, a, d))
                 d, a, b = d[by], a[by], b[by]
-                yield pa.record_batch([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc", "start", "stop"])
+                yield pa.record_batch([pa.array(row_of[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "start", "stop"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), batch.column(5)):
+            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), *batch.columns[4:]):
                 if size >= TRANSFORM_BYTES and row[0] != rows[-1][0]:
                     yield from flush(rows)
                     rows, size = [], 0
-                rows.append((*row[:4], row[4].values.to_numpy(), row[5].values.to_numpy().astype(np.int64)))
+                rows.append((*row[:4], row[4].values.to_numpy(), row[5].values.to_numpy(), row[6].values.to_numpy().astype(np.int64)))
                 size += len(row[1]) + 1 if len(rows) < 2 or row[1] != rows[-2][1] else 0
         yield from flush(rows)
 
-    grams = docs.join(copies, "doc", "left_anti").mapInArrow(anchors, "anchor long, doc long, times int")
+    grams = docs.join(copies, "row", "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, times int")
     often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    marked = grams.select("anchor", "doc").join(often, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    found = docs.join(marked, "doc").select("doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
-    found = found.mapInArrow(contexts, "anchor long, context binary, starts int, offset int, docs array<long>, places array<int>")
+    marked = grams.select("anchor", "row").join(often, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    found = docs.join(marked, "row").select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
+    found = found.mapInArrow(contexts, "anchor long, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
     found = found.repartition("anchor").sortWithinPartitions("anchor", "context")
-    return found.mapInArrow(remove, "doc long, start int, stop int")
+    return found.mapInArrow(remove, "row long, start int, stop int")
 
 
 def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_hash: np.ndarray) -> np.ndarray:
@@ -366,12 +378,12 @@ def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_
 def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) -> kept (binary), spans (array of start, stop) and n_bytes."""
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text")).select(F.xxhash64("doc", "text").alias("row"), "doc", "text")
     copies = stored(later_copies(docs), "suffix-copies")
     spans = repeated_spans(docs, copies, length, k)
     # a copy goes whole, if it has a string of that length at all
-    whole = copies.select("doc", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))
-    by_doc = spans.union(whole).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    whole = copies.select("row", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))
+    by_row = spans.union(whole).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,7 +401,7 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), pa.array(united, kind)], names=["doc", "kept", "spans"])
 
-    joined = docs.join(by_doc, "doc", "left").select("doc", "text", "spans")
+    joined = docs.join(by_row, "row", "left").select("doc", "text", "spans")
     out = joined.mapInArrow(cut, "doc long, kept binary, spans array<struct<start:int,stop:int>>")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
     own_id = F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))
