@@ -3,13 +3,16 @@
 A text is lower-cased, every run of characters that are not letters becomes one boundary, and its subwords of 2 to 4
 units (with the boundary at either end) are hashed into buckets. The embeddings of a text's subwords are averaged over
 the whole text and a linear softmax reads the language off. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample: about `per_language` documents of each language, at most `most_documents`
-in all, and of each a window of `window` characters at a place drawn from its id. A tenth of the sample is kept apart:
-on it a temperature calibrates the probabilities and a rejection threshold is set, below which `accepted` is false.
+gradient descent in numpy on a bounded sample of whole documents: about `per_language` of each language, and about
+`most_documents` in all, whichever is less, each language thinned alike. Executors turn the documents into counts of
+buckets, so a document of any length reaches the driver as at most BUCKETS pairs of numbers. A tenth of the sample is
+kept apart: on it a temperature calibrates the probabilities and a rejection threshold is set, below which `accepted`
+is false.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0 and not accepted; texts of any length are
-read whole; rows whose language is null are not learned from but predicted like all; where there is nothing to learn
-from, every text is `und`; repeated rows are predicted alike; an empty table gives an empty table; columns of the
+read whole, in training too; rows whose language is null are not learned from but predicted like all; where there is
+nothing to learn from, every text is `und`; of languages with equal probability the first by name is given; repeated
+rows are predicted alike, and are drawn for the sample together; an empty table gives an empty table; columns of the
 input named like those added are replaced.
 """
 
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,42 +103,53 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], dims: int = 16, epochs: int = 6, batch: int = 32, rate: float = 4.0, seed: int = 1) -> Model:
-    """Stochastic gradient descent on embeddings and softmax, then calibration on every tenth text."""
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's subwords in order, and how often each occurs."""
+    return np.unique(subwords([text])[0], return_counts=True)
+
+
+def train(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dims: int = 16, epochs: int = 6, batch: int = 32, rate: float = 4.0, seed: int = 1) -> Model:
+    """Stochastic gradient descent on embeddings and softmax over documents' bucket counts, then calibration on every
+    tenth document."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     y = np.searchsorted(names, langs)
-    ids, counts = subwords(texts)
-    begins = np.cumsum(counts) - counts
+    sizes = np.array([len(ids) for ids, _ in features])
+    # a document's mean is the sum of its buckets' embeddings times their shares
+    shares = [(counts / max(1, counts.sum())).astype(np.float32) for _, counts in features]
     rng = np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 10 == 9 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.arange(len(features)) % 10 == 9 if len(features) >= 50 else np.zeros(len(features), bool)
     embed = (rng.random((BUCKETS, dims), np.float32) - 0.5) / dims
     weights = np.zeros((dims, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
-    learn = np.flatnonzero(~held & (counts > 0))
+    learn = np.flatnonzero(~held & (sizes > 0))
+
+    def joined(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([features[i][0] for i in part]), np.concatenate([shares[i] for i in part]), np.cumsum(sizes[part]) - sizes[part]
+
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for part in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
             if not len(part):
                 continue
-            own = np.concatenate([ids[begins[i] : begins[i] + counts[i]] for i in part])
-            cuts = np.cumsum(counts[part]) - counts[part]
-            mean = np.add.reduceat(embed[own], cuts, axis=0) / counts[part][:, None]
+            own, share, cuts = joined(part)
+            mean = np.add.reduceat(embed[own] * share[:, None], cuts, axis=0)
             error = _softmax(mean @ weights + bias)
             error[np.arange(len(part)), y[part]] -= 1
             error = (error / len(part)).astype(np.float32)
-            back = (error @ weights.T) / counts[part][:, None]
+            back = error @ weights.T
             weights -= step * (mean.T @ error).astype(np.float32)
             bias -= step * 0.1 * error.sum(axis=0)
             slots, where = np.unique(own, return_inverse=True)
-            texts_of = np.repeat(np.arange(len(part)), counts[part])
-            grad = np.stack([np.bincount(where, weights=back[texts_of, d], minlength=len(slots)) for d in range(dims)], axis=1)
+            pull = back[np.repeat(np.arange(len(part)), sizes[part])] * share[:, None]
+            grad = np.stack([np.bincount(where, weights=pull[:, d], minlength=len(slots)) for d in range(dims)], axis=1)
             embed[slots] -= (step * len(part) * 4 * grad).astype(np.float32)
     model = Model(names, embed @ weights, bias.astype(np.float64), 1.0, 0.0)
-    check = np.flatnonzero(held & (counts > 0))
+    check = np.flatnonzero(held & (sizes > 0))
     if len(check):
-        logits = _means(model.table, np.concatenate([ids[begins[i] : begins[i] + counts[i]] for i in check]), counts[check]) + model.bias
+        own, share, cuts = joined(check)
+        logits = np.add.reduceat(model.table[own] * share[:, None], cuts, axis=0) + model.bias
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in np.geomspace(0.05, 5, 40)}
         model.temperature = float(min(losses, key=losses.get))
         best = _softmax(logits / model.temperature)
@@ -144,22 +159,29 @@ def train(texts: list[str], langs: list[str], dims: int = 16, epochs: int = 6, b
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int, most_documents: int, window: int, seed: int = 3) -> tuple[list[str], list[str]]:
-    """Windows of about per_language documents of each language, chosen by a hash of the id."""
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+def training_sample(docs: DataFrame, per_language: int, most_documents: int, seed: int = 3) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Bucket counts and languages of whole documents, drawn by a hash of id and text."""
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     # stored, so that Spark knows its size before it plans the join and need not shuffle texts for it
-    rates = stored(known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")), "langid-rates")
-    chosen = known.join(rates, "lang").withColumn("_draw", draw).where("_draw < _rate")
-    start = (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.length("text") - window)) + 1).cast("int")
-    rows = chosen.select("lang", "_draw", "doc_id", F.substring("text", start, F.lit(window)).alias("part"))
-    rows = rows.orderBy("_draw", "doc_id", "part").limit(most_documents).collect()
-    return [r["part"] for r in rows], [r["lang"] for r in rows]
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("_n")), "langid-counts")
+    share = min(float(per_language), most_documents / max(1, counts.count()))
+    chosen = known.join(counts, "lang").withColumn("_draw", draw).where(F.col("_draw") < F.lit(share) / F.col("_n"))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bucket_counts(t) for t in batch.column(2).to_pylist()]
+            packed = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *packed], names=["lang", "_draw", "ids", "counts"])
+
+    rows = chosen.select("lang", "_draw", "text").mapInArrow(count, "lang string, _draw double, ids binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["_draw"], r["lang"], bytes(r["ids"])))
+    return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows], [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, learn_from: Column, per_language: int = 1000, most_documents: int = 20_000, window: int = 1000) -> Model:
+def fit(docs: DataFrame, learn_from: Column, per_language: int = 600, most_documents: int = 6000) -> Model:
     """Learn from the rows of (doc_id, text, lang) for which learn_from holds."""
-    return train(*training_sample(docs.where(learn_from), per_language, most_documents, window))
+    return train(*training_sample(docs.where(learn_from), per_language, most_documents))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
