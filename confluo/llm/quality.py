@@ -7,26 +7,28 @@ its document's label, and the chain's own transitions smooth over lines that loo
 the mean of its lines' forward-backward marginals, weighted by their lengths, turned into the probability of label 1
 by a logistic curve fitted on the training documents.
 
-Training reads a bounded sample: at most `most_documents` labelled documents, chosen by a hash of the id, and of each
-at most `most_lines` consecutive lines from a place drawn from its id. Scoring reads every line of every text.
-
-Defined cases: a null or empty text is one empty line and gets a score like any other; a document with several label
-rows counts with the smallest; null labels are not learned from; with no labels at all, or labels of one kind only,
-every score is the share of label 1 (0.5 if there are none); an empty table gives an empty table; repeated rows score
-alike; columns of the input named like those added are replaced.
+Training reads a bounded sample of labelled rows, in the order of a hash of their id: at most `most_documents`, and
+only as many as hold `most_lines` lines together (one at least). Each of them is read whole. Executors turn lines into
+features, so a line of any length reaches the driver as a few numbers. Scoring reads every line of every text.
+
+Defined cases: a null or empty text is one empty line and gets a score like any other; texts and lines of any length
+are read whole; a document with several label rows counts with the smallest; null labels are not learned from; with no labels at all, or labels of one kind only,
+every score is the share of label 1 (0.5 if there are none); a score equal to THRESHOLD counts as good; an empty table
+gives an empty table; repeated rows score alike; columns of the input named like those added are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo.llm.common import without
+from confluo.llm.common import drop_stored, stored, without
 
 THRESHOLD = 0.3
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "mark": b"!?", "symbol": b"#$%&*+/<=>@\\^_`{|}~[]()\"", "space": b" \t\r\x0b\x0c"}
@@ -109,33 +111,39 @@ def with_neighbours(x: np.ndarray, lines_of: np.ndarray) -> np.ndarray:
 def forward_backward(emission: np.ndarray, transition: np.ndarray, lines_of: np.ndarray, weigh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Marginals of each line and, given weights of the documents, the weighted sum of their expected transitions.
 
-    Documents advance together, longest first, so that step t works on those with more than t lines.
+    With two labels a message is one number, the log odds of label 1 against 0. Documents advance together, longest
+    first, their lines laid out step by step, so that step t is a slice of those with more than t lines.
     """
     order = np.argsort(-lines_of, kind="stable")
     sizes, start = lines_of[order], (np.cumsum(lines_of) - lines_of)[order]
     steps = int(sizes[0]) if len(sizes) else 0
-    alpha, beta = np.empty_like(emission), np.zeros_like(emission)
     live = np.searchsorted(-sizes, -np.arange(steps), side="left")  # documents with more than t lines
-    if steps:
-        alpha[start] = emission[start]
+    edge = np.concatenate([[0], np.cumsum(live)])
+    at = np.empty(len(emission), np.int64)  # the line at each place of the layout
+    for t in range(steps):
+        at[edge[t] : edge[t + 1]] = start[: live[t]] + t
+    odds = (emission[:, 1] - emission[:, 0])[at]
+    ahead, back = odds.copy(), np.zeros(len(odds))
     for t in range(1, steps):
-        at = start[: live[t]] + t
-        previous = alpha[at - 1]
-        alpha[at] = emission[at] + np.logaddexp(previous[:, :1] + transition[0], previous[:, 1:] + transition[1])
+        before = ahead[edge[t - 1] : edge[t - 1] + live[t]]
+        ahead[edge[t] : edge[t + 1]] += np.logaddexp(transition[0, 1], transition[1, 1] + before) - np.logaddexp(transition[0, 0], transition[1, 0] + before)
     for t in range(steps - 1, 0, -1):
-        at = start[: live[t]] + t
-        ahead = emission[at] + beta[at]
-        beta[at - 1] = np.logaddexp(transition[:, 0] + ahead[:, :1], transition[:, 1] + ahead[:, 1:])
-    last = start + sizes - 1
-    log_z = np.empty(len(lines_of))
-    log_z[order] = np.logaddexp(alpha[last, 0], alpha[last, 1])
-    doc = np.repeat(np.arange(len(lines_of)), lines_of)
-    marginal = np.exp(alpha + beta - log_z[doc][:, None])
+        after = odds[edge[t] : edge[t + 1]] + back[edge[t] : edge[t + 1]]
+        back[edge[t - 1] : edge[t - 1] + live[t]] = np.logaddexp(transition[1, 0], transition[1, 1] + after) - np.logaddexp(transition[0, 0], transition[0, 1] + after)
+    one = 1 / (1 + np.exp(-(ahead + back)))
+    marginal = np.empty((len(odds), 2))
+    marginal[at, 1], marginal[at, 0] = one, 1 - one
     if weigh is None:
         return marginal, None
+    forward, behind = np.empty(len(odds)), np.empty(len(odds))
+    forward[at], behind[at] = ahead, odds + back
+    doc = np.repeat(np.arange(len(lines_of)), lines_of)
     inner = np.flatnonzero(np.concatenate([[False], doc[1:] == doc[:-1]]))
-    joint = alpha[inner - 1][:, :, None] + transition[None] + (emission[inner] + beta[inner])[:, None, :] - log_z[doc[inner]][:, None, None]
-    return marginal, (np.exp(joint) * weigh[doc[inner]][:, None, None]).sum(axis=0)
+    joint = np.zeros((len(inner), 2, 2)) + transition
+    joint[:, 1, :] += forward[inner - 1, None]
+    joint[:, :, 1] += behind[inner, None]
+    joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+    return marginal, (joint * (weigh[doc[inner]] / joint.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
 
 
 @dataclass
@@ -168,13 +176,15 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float = 0.1, penalty: float = 1e-4) -> Model:
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 120, rate: float = 0.1, penalty: float = 1e-4) -> Model:
+    """features: of each document its lines' features and their sizes."""
     labels = np.asarray(labels, int)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros((0, 2)), np.zeros((2, 2)), 1.0, 0.0, float(labels.mean()) if len(labels) else 0.5)
-    raw, size, lines_of = (np.concatenate(x) for x in zip(*(line_features(texts[a : a + 200]) for a in range(0, len(texts), 200))))
-    x = with_neighbours(raw, lines_of)
-    doc = np.repeat(np.arange(len(texts)), lines_of)
+    lines_of = np.array([len(size) for _, size in features])
+    size = np.concatenate([size for _, size in features])
+    x = with_neighbours(np.concatenate([raw for raw, _ in features]), lines_of)
+    doc = np.repeat(np.arange(len(features)), lines_of)
     y = labels[doc]
     # both kinds of documents weigh alike, and each document alike
     weigh = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / np.sqrt(lines_of)
@@ -204,19 +214,35 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, rate: float =
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, most_documents: int, most_lines: int) -> tuple[list[str], np.ndarray]:
-    """Lines and labels of at most most_documents documents, chosen by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, most_documents: int, most_lines: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Line features and labels of whole documents."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marked.where(learn_from).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_documents)
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    start = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.lit(1), F.size("lines") - most_lines + 1)) + 1
-    rows = docs.select("doc_id", lines.alias("lines")).join(F.broadcast(chosen), "doc_id")  # at most most_documents rows of two numbers
-    rows = rows.select("doc_id", "quality", F.array_join(F.slice("lines", start.cast("int"), F.lit(most_lines)), "\n").alias("part"))
-    rows = rows.orderBy("doc_id", "part").limit(2 * most_documents).collect()
-    return [r["part"] for r in rows], np.array([int(r["quality"] > 0) for r in rows])
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_documents: int = 6000, most_lines: int = 64) -> Model:
+    draw = F.xxhash64("doc_id", F.lit(11))
+    chosen = marked.where(learn_from).withColumn("draw", draw).orderBy("draw", "doc_id").limit(most_documents)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_documents rows of three numbers
+
+    def featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [line_features([t or ""]) for t in batch.column(3).to_pylist()]
+            packed = [pa.array([x[k].astype("<f4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            lines = pa.array([int(x[2][0]) for x in found], pa.int64())
+            yield pa.record_batch([*batch.columns[:3], lines, *packed], names=["draw", "doc_id", "quality", "lines", "features", "sizes"])
+
+    schema = "draw long, doc_id long, quality long, lines long, features binary, sizes binary"
+    found = rows.select("draw", F.col("doc_id").cast("long"), F.col("quality").cast("long"), "text").mapInArrow(featurise, schema)
+    found = stored(found, "quality-features")
+    # documents in order of their draw, while their lines fit
+    by_draw = Window.orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("draw", "doc_id").agg(F.sum("lines").alias("lines"))
+    fits = sizes.withColumn("before", F.coalesce(F.sum("lines").over(by_draw), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("lines") <= most_lines))
+    got = found.join(fits.select("draw", "doc_id"), ["draw", "doc_id"], "left_semi").collect()
+    drop_stored(found)
+    got.sort(key=lambda r: (r["draw"], r["doc_id"], bytes(r["features"])))
+    features = [(np.frombuffer(r["features"], "<f4").reshape(r["lines"], len(FEATURES)).astype(np.float64), np.frombuffer(r["sizes"], "<f4")) for r in got]
+    return features, np.array([int(r["quality"] > 0) for r in got])
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, most_documents: int = 6000, most_lines: int = 200_000) -> Model:
     """Learn from the labelled documents for which learn_from, a condition on doc_id, holds."""
     return train(*training_sample(docs, labels, learn_from, most_documents, most_lines))
 
