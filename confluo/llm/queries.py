@@ -90,30 +90,47 @@ def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-OP8_SQL = r"""
+def _tree_sql(text: str, name: str) -> str:
+    """The leaves, paragraph and section digests of a text, as columns."""
+    pieces = "list_transform(regexp_extract_all(p, '[^.!?]{1,16}[.!?]*|[.!?]+'), lambda x: left(sha256(x), 32))"
+    leaves = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {pieces}))"
+    joined = "sha256(coalesce(array_to_string(x, ''), ''))"
+    return f"{leaves} AS {name}, list_transform({name}, lambda s: list_transform(s, lambda x: {joined})) AS {name}_p, list_transform({name}_p, lambda x: {joined}) AS {name}_s"
+
+
+def _compare_sql(a: str, b: str, name: str) -> str:
+    """What is open between two trees: sections, then paragraphs; leaves of what is shared; sets of open pieces."""
+    every = f"range(1, greatest(len({a}_s), len({b}_s)) + 1)"
+    inner = f"range(1, greatest(coalesce(len({a}_p[i]), 0), coalesce(len({b}_p[i]), 0)) + 1)"
+    pairs = f"flatten(list_transform(list_filter({every}, lambda i: {a}_s[i] IS DISTINCT FROM {b}_s[i]), lambda i: list_transform({inner}, lambda j: struct_pack(i := i, j := j))))"
+    pieces = lambda t: f"list_distinct(flatten(list_transform({name}_open, lambda z: coalesce({t}[z.i][z.j], CAST([] AS VARCHAR[])))))"
+    return f"""coalesce(list_sum(list_transform(list_filter({every}, lambda i: {a}_s[i] = {b}_s[i]), lambda i: list_sum(list_transform({a}[i], lambda p: len(p))))), 0)
+      + coalesce(list_sum(list_transform(list_filter({pairs}, lambda z: {a}_p[z.i][z.j] = {b}_p[z.i][z.j]), lambda z: len({a}[z.i][z.j]))), 0) AS {name}_shared,
+    list_filter({pairs}, lambda z: {a}_p[z.i][z.j] IS DISTINCT FROM {b}_p[z.i][z.j]) AS {name}_open, {pieces(a)} AS {name}_own, {pieces(b)} AS {name}_other"""
+
+
+def _dice_sql(name: str) -> str:
+    total = f"(2 * {name}_shared + len({name}_own) + len({name}_other))"
+    return f"CASE WHEN {total} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * ({name}_shared + len(list_intersect({name}_own, {name}_other))) / {total} END"
+
+
+OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id),
                   first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nx
   FROM documents
 ), e AS (
-  SELECT *, length(t) - length(t) // 2 AS kept,
-         substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM d
+  SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM d
 ), f AS (
-  SELECT doc_id, t, ed,
-    sha256(array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda s:
-      sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS fp,
-    sha256(array_to_string(list_transform(string_split(ed, chr(10) || chr(10)), lambda s:
-      sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')) AS efp,
-    list_distinct(flatten(list_transform(string_split(t, chr(10)), lambda p: regexp_extract_all(p, '[^.!?]{1,16}[.!?]*|[.!?]+')))) AS a,
-    list_distinct(flatten(list_transform(string_split(ed, chr(10)), lambda p: regexp_extract_all(p, '[^.!?]{1,16}[.!?]*|[.!?]+')))) AS b,
-    list_distinct(flatten(list_transform(string_split(nx, chr(10)), lambda p: regexp_extract_all(p, '[^.!?]{1,16}[.!?]*|[.!?]+')))) AS c
-  FROM e
+  SELECT doc_id, t, ed, {_tree_sql('t', 'a')}, {_tree_sql('ed', 'b')}, {_tree_sql('nx', 'c')} FROM e
+), g AS (
+  SELECT *, {_compare_sql('a', 'b', 'e')}, {_compare_sql('a', 'c', 'n')} FROM f
 )
-SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fp AS fingerprint, efp AS edited_fingerprint,
-  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END AS near_edited,
-  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a, c)) / (len(a) + len(c)) END AS near_next
-FROM f
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256,
+  sha256(array_to_string(a_s, '')) AS fingerprint, sha256(array_to_string(b_s, '')) AS edited_fingerprint,
+  {_dice_sql('e')} AS near_edited, {_dice_sql('n')} AS near_next, len(e_open) AS n_differing, coalesce(e_open[1].j - 1, -1) AS first_paragraph
+FROM g
 """
 
 
