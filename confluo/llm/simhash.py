@@ -217,14 +217,15 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): every node that has an edge with the least node it reaches.
 
-    Each round every node takes the least label around it and the label of its label, so chains halve.
+    Each round every node takes the least label around it and the label of its label, so chains halve. Labels only fall,
+    so the rounds end.
     """
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct(), "simhash-edges")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "simhash-labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
         new = jump.join(around, "node", "left").select(
@@ -236,7 +237,6 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if labels.where("moved").isEmpty():
             drop_stored(both)
             return labels.select("node", "label")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -258,12 +258,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """docs less all but one document of each component that grouped() finds: of the smallest id, and of several such of
-    the first text hash."""
-    key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash")]
+    """docs less all but one document of each component that grouped() finds: of the smallest id, of several such of the
+    first text hash, and of these of the first hash of all columns; rows equal in all columns are interchangeable."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.xxhash64(*hashed).alias("_row")]
     found = grouped(docs.select(*key, F.col(f"`{text}`").alias("text")), id_col="_id")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash")).alias("s")).select("s._id", "s._hash")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash", "_row")).alias("s")).select("s._id", "s._hash", "s._row")
     # keys without nulls, so that the join and the search for repeated rows share one exchange of the texts
-    safe = [F.col("_id").isNull().alias("_null"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_hash"]
+    safe = [F.col("_id").isNull().alias("_null"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_hash", "_row"]
+    names = ["_null", "_name", "_hash", "_row"]
     tagged = docs.select("*", *key).select("*", *safe[:2])
-    return tagged.join(first.select(*safe), ["_null", "_name", "_hash"], "left_semi").dropDuplicates(["_null", "_name", "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return tagged.join(first.select(*safe), names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
