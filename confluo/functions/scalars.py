@@ -113,13 +113,16 @@ def parse_tone(text: Column) -> Column:
     return F.struct(*[safe_double(F.get(values, F.lit(i))).alias(name) for i, name in enumerate(TONE_FIELDS)])
 
 
-def parse_scores(text: Column, most: int = 50) -> Column:
-    """'k:v' pairs -> array of entries in key order; of a repeated key the last value counts."""
-    pairs = F.filter(F.transform(F.slice(F.split(text, ","), 1, most), lambda p: F.split(p, ":")), lambda p: F.size(p) == 2)
-    entries = F.transform(pairs, lambda p, i: F.struct(F.get(p, F.lit(0)).alias("key"), F.get(p, F.lit(1)).try_cast("double").alias("value"), i.alias("at")))
-    entries = F.filter(entries, lambda e: e["value"].isNotNull() & (e["key"] != ""))
-    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["at"] > e["at"])))
-    return F.array_sort(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+def parse_scores(text: Column, most: int | None = None) -> Column:
+    """'k:v' pairs (the first ones, if a number is given) -> array of entries in key order; of a repeated key the last
+    value counts."""
+    parts = F.split(text, ",") if most is None else F.slice(F.split(text, ","), 1, most)
+    pairs = F.filter(F.transform(parts, lambda p: F.split(p, ":")), lambda p: F.size(p) == 2)
+    entries = F.transform(pairs, lambda p, i: F.struct(F.get(p, F.lit(0)).alias("key"), (-i).alias("back"), F.get(p, F.lit(1)).try_cast("double").alias("value")))
+    # in order of key, the last of a key first: an entry counts if the one before it has another key
+    entries = F.array(F.array_sort(F.filter(entries, lambda e: e["value"].isNotNull() & (e["key"] != ""))))
+    last = F.transform(entries, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["key"] != e["key"])))
+    return F.transform(F.get(last, F.lit(0)), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
 
 def outcome_prices(text: Column) -> Column:
@@ -169,10 +172,13 @@ def mentioned(text: Column, names: Sequence[str], aliases: dict[str, str] | None
     return F.array_sort(F.array_distinct(found))
 
 
-def matched_keywords(text: Column, keywords: Sequence[str] = ARTICLE_KEYWORDS) -> Column:
-    """The keywords that stand anywhere in a text, in their own order."""
+def matched_keywords(text: Column, keywords: Sequence[str] = ARTICLE_KEYWORDS, whole: bool = True) -> Column:
+    """The keywords that stand in a text, as whole words unless told otherwise, in their own order."""
     lower = F.array(F.lower(F.coalesce(text, F.lit(""))))  # an array of one binds it, so it is made once a text
-    found = F.transform(lower, lambda t: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(t, k)))
+    # one search says which texts hold any; only these are asked for each keyword
+    tests = [(k, any_word([k], whole)) for k in keywords]
+    one = lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in tests]))
+    found = F.transform(lower, lambda t: F.when(t.rlike(any_word(keywords, whole)), one(t)).otherwise(F.array().cast("array<string>")))
     return F.get(found, F.lit(0))
 
 

@@ -82,9 +82,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], *newes
     return latest_per_key(both, keys, *newest_first, F.desc("_side")).drop("_side")
 
 
-def only_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored yet, one of each key."""
-    return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+def only_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """Rows whose key is not stored yet, of each key the first in the given order (by a hash of the row, if none is given)."""
+    fresh = incoming.join(existing.select(*keys), list(keys), "left_anti")
+    return latest_per_key(fresh, keys, *(order or [F.xxhash64(*incoming.columns)]))
 
 
 def partial_update(rows: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

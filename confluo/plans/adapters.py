@@ -8,6 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "1998-07-01 00:00:00"
 
+
+
+def _hours(at: str) -> str:
+    """Days between a date and AS_OF, taken as hours: seven years become about a hundred days, so that windows of days hold enough rows."""
+    return f"CAST(abs((1998 - CAST(extract(year FROM {at}) AS INT)) * 365 + 182 - CAST(extract(doy FROM {at}) AS INT)) AS INT)"
+
+
+def _ago(hours: str) -> str:
+    return f"TIMESTAMP '1998-07-01 00:00:00' - {hours} * INTERVAL '1' HOUR"
+
+
+def _late(power: int) -> str:
+    """Hours up to 120 days, the more of them small the higher the power."""
+    spread = "CAST((l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 2880 AS INT)"
+    return f"CAST(floor({' * '.join([f'({spread} / 2880.0E0)'] * (power - 1) + [spread])}) AS INT)"
+
+
 TABLES = {
     "events": """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS event_id, l_shipdate AS date,
@@ -59,12 +76,13 @@ SELECT n_name AS country, CAST(extract(year FROM o_orderdate) AS INT) AS year,
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 GROUP BY n_name, CAST(extract(year FROM o_orderdate) AS INT)""",
     "cases": """
-SELECT p_partkey AS case_id, p_name AS question, p_type AS country, p_size / 50.0E0 AS price, p_retailprice AS volume
-FROM {part} WHERE p_partkey % 10 = 0""",
+SELECT p_partkey AS case_id, p_name AS question, p_type || '||' || p_brand AS countries, p_type AS country, p_size / 50.0E0 AS price, p_retailprice AS volume,
+  CASE WHEN p_size % 5 = 0 THEN 'closed' ELSE 'active' END AS status
+FROM {part}""",
     "predictions": """
-SELECT p_partkey AS market_id, p_name AS question, p_type AS country, p_size / 50.0E0 AS price, p_retailprice AS volume,
+SELECT p_partkey AS market_id, p_name AS question, p_type || '||' || p_brand AS countries, p_size / 50.0E0 AS price, p_retailprice AS volume,
   CASE WHEN p_partkey % 4 = 1 THEN 'B' ELSE 'C' END AS platform
-FROM {part} WHERE p_partkey % 10 = 1""",
+FROM {part}""",
     "prices": "SELECT user_id AS case_id, event_id, ts, value / 500 AS price FROM {events}",
     "activity": "SELECT event_id, ts, user_id, event_type, value FROM {events}",
     "articles": "SELECT doc_id, substring(text, 1, 80) AS title, text, source, lang FROM {documents}",
@@ -73,12 +91,49 @@ FROM {part} WHERE p_partkey % 10 = 1""",
 }
 
 
+# the same rows in condensed time, dense enough for the rules' own thresholds; half of all pairs turn hostile at the end
+TABLES |= {
+    "live_events": f"""
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS event_id, {_ago(_hours("l_shipdate"))} AS date,
+  cn.n_name AS source_country, sn.n_name AS target_country, (l_quantity - 25) * 0.4 AS goldstein_scale,
+  l_tax * 100 - l_discount * 100 - CASE WHEN {_hours("l_shipdate")} < 96 AND (cn.n_nationkey + sn.n_nationkey) % 2 = 0 THEN 40 ELSE 0 END AS tone,
+  CAST(l_quantity AS INT) * l_linenumber AS num_articles, cn.n_nationkey * 1.5E0 - 6 AS lat, sn.n_nationkey * 2.0E0 - 20 AS lon
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
+  JOIN {{nation}} cn ON c_nationkey = cn.n_nationkey JOIN {{supplier}} ON l_suppkey = s_suppkey
+  JOIN {{nation}} sn ON s_nationkey = sn.n_nationkey""",
+    "live_conflicts": TABLES["conflicts"].replace("o_orderdate AS date", f"{_ago(_hours('o_orderdate'))} AS date"),
+    "live_outages": TABLES["outages"].replace("o_orderdate AS start_time", f"{_ago(_hours('o_orderdate'))} AS start_time"),
+    "live_sanctions": TABLES["sanctions"].replace("o_orderdate AS first_seen", f"{_ago(_hours('o_orderdate'))} AS first_seen"),
+    "live_transfers": TABLES["transfers"].replace("l_shipdate AS date", f"{_ago(_hours('l_shipdate'))} AS date"),
+    # in three of four countries most rows lie at the end
+    "live_indicators": f"""
+SELECT n_name AS country, {_ago(f"CASE n_nationkey % 4 WHEN 0 THEN {_late(2)} WHEN 1 THEN {_late(3)} WHEN 2 THEN {_late(5)} ELSE {_late(1)} END")} AS ingested_at
+FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey
+WHERE l_returnflag = 'R'""",
+    "profiles": """
+SELECT s_name AS name, 'Active since ' || CAST(1990 + s_suppkey % 9 AS STRING) || ', aims at NATION_' || CAST(s_suppkey * 7 % 25 AS STRING) || ' and Nation_' || CAST(s_suppkey % 25 AS STRING) || '; not NATION_1x.' AS description
+FROM {supplier}""",
+    "reports": """
+SELECT doc_id, substring(text, 1, 40) || ' NATION_' || CAST(doc_id % 25 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN ' and the Northern State, again Nation_' || CAST((doc_id + 1) % 25 AS STRING) ELSE '' END AS text,
+  source, TIMESTAMP '1998-07-01 00:00:00' - CAST(doc_id % 720 AS INT) * INTERVAL '1' HOUR AS date
+FROM {documents}""",
+    "questions": """
+SELECT p_partkey AS market_id, 'Will Nation_' || CAST(p_partkey % 25 AS STRING) || ' buy a ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' from NATION_' || CAST(p_partkey % 7 AS STRING) ELSE '' END || '?' AS question,
+  p_type AS tag, CASE WHEN p_partkey % 4 = 0 THEN 'with the Trade Council' ELSE '' END AS description
+FROM {part}""",
+}
+
+
+def live(name: str) -> str:
+    return f"live_{name}" if f"live_{name}" in TABLES else name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TABLES[name]
     used = set(re.findall(r"\{(\w+)\}", text))
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
-def cte(*names: str) -> str:
+def cte(*names: str, live_time: bool = False) -> str:
     """The WITH items of some tables for DuckDB."""
-    return ",\n".join(f"t_{n} AS ({re.sub(r'{(\w+)}', r'\1', TABLES[n])})" for n in names)
+    return ",\n".join(f"t_{n} AS ({re.sub(r'{(\w+)}', r'\1', TABLES[live(n) if live_time else n])})" for n in names)

@@ -1,15 +1,16 @@
-"""Registered queries of correlation and market panels, case enrichment and streaming jobs, each with its SQL."""
+"""Registered queries of market, article and map panels, text filters and streaming jobs, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from confluo.functions import scalars
 from confluo.operators import core
+from confluo.plans import panels, rules
 from confluo.plans import rule_queries as R
-from confluo.plans import rules, scores
 from confluo.plans.adapters import AS_OF, cte, table
-from confluo.plans.rule_queries import T0, day
+from confluo.sources import normalise
 from confluo.sources.scratch import scratch_path
 from confluo.streaming import jobs
 
@@ -26,42 +27,149 @@ def query(name: str, sql: str, *tables: str):
     return register
 
 
-ALERTS = f"SELECT DISTINCT * FROM ({R._ENGINE_SQL})"
+WEEKS = ("2023-12-25 00:00:00", "2024-02-12 00:00:00")
+WEEK_SQL = "SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL '7 DAY')) AS DATE) AS w"
+CHANGES = ", c AS (SELECT *, round(price - lag(price) OVER (PARTITION BY case_id ORDER BY ts, event_id), 4) AS delta FROM t_prices)\n"
 
 
-def _correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.run_rules(R._engine_rules(spark, sf_dir))
+@query("shifts_weekly", f"{CHANGES}, w AS ({WEEK_SQL}) SELECT strftime(w, '%Y-%m-%d') AS bucket, count(delta) AS n FROM w LEFT JOIN c ON date_trunc('week', ts) = w AND abs(delta) >= 0.1 GROUP BY 1", "prices")
+def shifts_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts of each week, 0 where there are none."""
+    moved = rules.price_changes(table(spark, sf_dir, "prices")).where(F.abs("delta") >= 0.1)
+    return core.date_histogram(moved, "ts", "week", *WEEKS).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("correlations_by_severity", f"SELECT severity, count(*) AS n FROM ({ALERTS}) GROUP BY 1")
-def correlations_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlations(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+@query("volume_weekly", f", w AS ({WEEK_SQL}) SELECT strftime(w, '%Y-%m-%d') AS bucket, coalesce(CAST(sum(CAST(round(price * 10000) AS BIGINT)) AS BIGINT), 0) AS n FROM w LEFT JOIN t_prices ON date_trunc('week', ts) = w GROUP BY 1", "prices")
+def volume_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum a week, in whole units so that no order of summing shows."""
+    rows = core.date_histogram(table(spark, sf_dir, "prices"), "ts", "week", *WEEKS, metric=F.sum(F.round(F.col("price") * 10000).cast("long")))
+    return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("rule_distribution", f"SELECT rule_name, count(*) AS value FROM ({ALERTS}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
-def rule_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.top_terms(_correlations(spark, sf_dir), ["rule_name"], 15)
+@query("shift_alerts", f"{CHANGES} SELECT case_id, event_id, strftime(ts, '%Y-%m-%d') AS day, delta FROM c WHERE abs(delta) >= 0.1 ORDER BY ts DESC, event_id LIMIT 20", "prices")
+def shift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = rules.price_changes(table(spark, sf_dir, "prices")).where(F.abs("delta") >= 0.1)
+    return panels.latest(moved, "ts", 20, "event_id").select("case_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "delta")
 
 
-@query("country_signals", f"SELECT correlation_id, rule_name, severity FROM ({ALERTS}) WHERE contains('||' || countries || '||', '||NATION_3||') ORDER BY correlation_id LIMIT 5")
-def country_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = F.split("countries", r"\|\|")
-    return _correlations(spark, sf_dir).where(F.array_contains(sides, "NATION_3")).orderBy("correlation_id").limit(5).select("correlation_id", "rule_name", "severity")
+@query("active_count", "SELECT count(*) AS n FROM t_cases WHERE status = 'active'", "cases")
+def active_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "cases").where("status = 'active'").agg(F.count("*").alias("n"))
 
 
-@query("activity_total", f""", d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-06-01', TIMESTAMP '1998-06-30', INTERVAL '1 DAY')) AS DATE) AS d),
-a AS (SELECT CAST(date AS DATE) AS d FROM t_events UNION ALL SELECT CAST(start_time AS DATE) FROM t_outages)
-SELECT strftime(d.d, '%Y-%m-%d') AS bucket, count(a.d) AS n FROM d LEFT JOIN a ON a.d = d.d GROUP BY 1""", "events", "outages")
-def activity_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "events").select("date").unionByName(table(spark, sf_dir, "outages").select(F.col("start_time").alias("date")))
-    return core.date_histogram(both, "date", "day", "1998-06-01 00:00:00", "1998-07-01 00:00:00").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+@query("active_markets", "SELECT case_id, question, round(price, 4) AS price, round(volume, 2) AS volume FROM t_cases WHERE status = 'active' ORDER BY t_cases.volume DESC, case_id LIMIT 50", "cases")
+def active_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "cases").where("status = 'active'").orderBy(F.desc("volume"), "case_id").limit(50)
+    return rows.select("case_id", "question", F.round("price", 4).alias("price"), F.round("volume", 2).alias("volume"))
 
 
-@query("shifts_weekly", """, c AS (SELECT *, round(price - lag(price) OVER (PARTITION BY case_id ORDER BY ts, event_id), 4) AS delta FROM t_prices)
-SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS bucket, count(*) AS n FROM c WHERE abs(delta) >= 0.1 GROUP BY 1""", "prices")
-def shifts_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = rules.price_changes(table(spark, sf_dir, "prices")).where(F.abs("delta") >= 0.1)
-    return moved.groupBy(F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("bucket")).agg(F.count("*").alias("n"))
+@query("related_events_total", f""", k AS (SELECT unnest(string_split(countries, '||')) AS country, case_id FROM t_cases), n AS (SELECT market, count(*) AS c FROM (SELECT source_country AS market FROM t_events WHERE date >= {R.day(168)} AND date <= {R.T0} UNION ALL
+  SELECT target_country FROM t_events WHERE date >= {R.day(168)} AND date <= {R.T0} AND target_country <> source_country) GROUP BY 1)
+SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM t_cases JOIN n ON market = 'NATION_' || CAST(case_id % 25 AS VARCHAR) WHERE status = 'active'""", "cases", "events")
+def related_events_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the last week in active cases' countries, summed over cases."""
+    active = table(spark, sf_dir, "cases").where("status = 'active'").groupBy(F.concat(F.lit("NATION_"), (F.col("case_id") % 25).cast("string")).alias("country")).agg(F.count("*").alias("cases"))
+    recent = core.both_sides(table(spark, sf_dir, "events").where(core.between("date", AS_OF, 7))).groupBy("country").agg(F.count("*").alias("events"))
+    return active.join(recent, "country").agg(F.coalesce(F.sum(F.col("cases") * F.col("events")), F.lit(0)).alias("n"))
+
+
+@query("divergences", R.CONSENSUS + "SELECT case_id, consensus, divergence, n_prices FROM cs WHERE divergence > 0.1 ORDER BY cs.divergence DESC, case_id LIMIT 50", "cases", "predictions")
+def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.consensus(spark, sf_dir).where(F.col("divergence") > 0.1).orderBy(F.desc("divergence"), "case_id").limit(50)
+
+
+JUNE = ("1998-06-01 00:00:00", "1998-07-01 00:00:00")
+JUNE_SQL = "SELECT CAST(unnest(generate_series(TIMESTAMP '1998-06-01', TIMESTAMP '1998-06-30', INTERVAL '1 DAY')) AS DATE) AS d"
+
+
+@query("divergence_daily", R.CONSENSUS + "SELECT strftime(DATE '1998-06-01' + CAST(case_id % 30 AS INTEGER), '%Y-%m-%d') AS bucket, round(CAST(sum(CAST(round(divergence * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000, 4) AS mean FROM cs GROUP BY 1", "cases", "predictions")
+def divergence_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean divergence of each day's cases."""
+    dated = R.consensus(spark, sf_dir).withColumn("day", F.date_add(F.lit("1998-06-01").cast("date"), (F.col("case_id") % 30).cast("int")))
+    mean = F.sum(F.round(F.col("divergence") * 10000).cast("long")).cast("double") / F.count("*") / 10000
+    return dated.groupBy(F.date_format("day", "yyyy-MM-dd").alias("bucket")).agg(F.round(mean, 4).alias("mean"))
+
+
+@query("map_points", "SELECT event_id, source_country, round(lat, 4) AS lat, round(lon, 4) AS lon FROM t_live_events WHERE lat <> 0 OR lon <> 0 ORDER BY date DESC, event_id, source_country, t_live_events.lat, t_live_events.lon LIMIT 500", "live_events")
+def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = table(spark, sf_dir, "live_events").where((F.col("lat") != 0) | (F.col("lon") != 0))
+    return panels.latest(placed, "date", 500, "event_id", "source_country", "lat", "lon").select("event_id", "source_country", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+
+
+@query("country_cases", "SELECT case_id, question, round(price, 4) AS price FROM t_cases WHERE list_contains(string_split(countries, '||'), 'Brand#3') ORDER BY volume DESC, case_id LIMIT 20", "cases")
+def country_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "cases").where(F.array_contains(F.split("countries", r"\|\|"), "Brand#3")).orderBy(F.desc("volume"), "case_id").limit(20)
+    return rows.select("case_id", "question", F.round("price", 4).alias("price"))
+
+
+@query("outage_history", "SELECT outage_id, scope, severity, strftime(start_time, '%Y-%m-%d') AS day FROM t_outages WHERE country = 'NATION_3' ORDER BY start_time DESC, outage_id LIMIT 20", "outages")
+def outage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = panels.latest(table(spark, sf_dir, "outages").where("country = 'NATION_3'"), "start_time", 20, "outage_id")
+    return rows.select("outage_id", "scope", "severity", F.date_format("start_time", "yyyy-MM-dd").alias("day"))
+
+
+@query("articles_volume", f", d AS ({JUNE_SQL}) SELECT strftime(d, '%Y-%m-%d') AS bucket, count(doc_id) AS n FROM d LEFT JOIN t_reports ON CAST(date AS DATE) = d GROUP BY 1", "reports")
+def articles_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = core.date_histogram(table(spark, sf_dir, "reports").withColumn("at", F.col("date").cast("timestamp_ntz")), "at", "day", *JUNE)
+    return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+
+
+NAMES = tuple(f"Nation_{i}" for i in range(25))
+NAMES_SQL = r"list_sort(list_distinct(list_transform(regexp_extract_all(upper(text), '\b(?:NATION_(?:1[0-9]|2[0-4]|[0-9])|NORTHERN STATE)\b'), lambda x: CASE x WHEN 'NORTHERN STATE' THEN 'NATION_7' ELSE x END)))"
+
+
+@query("article_countries", f", k AS (SELECT doc_id, {NAMES_SQL} AS m FROM t_reports) SELECT doc_id, array_to_string(m, ',') AS countries FROM k WHERE len(m) > 0", "reports")
+def article_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries that articles name, also by another name."""
+    found = scalars.mentioned(F.col("text"), NAMES, {"northern state": "nation_7"})
+    return table(spark, sf_dir, "reports").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("countries"))
+
+
+@query("country_articles", f", k AS (SELECT doc_id, date, {NAMES_SQL} AS m FROM t_reports) SELECT doc_id, strftime(date, '%Y-%m-%d') AS day FROM k WHERE list_contains(m, 'NATION_3') ORDER BY date DESC, doc_id LIMIT 20", "reports")
+def country_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest articles that name a country."""
+    rows = table(spark, sf_dir, "reports").where(F.array_contains(scalars.mentioned(F.col("text"), NAMES, {"northern state": "nation_7"}), "NATION_3"))
+    return panels.latest(rows, "date", 20, "doc_id").select("doc_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
+
+
+@query("relevant_markets_a", r""", k AS (SELECT *, lower(question || ' ' || description) AS t, len(list_distinct(regexp_extract_all(upper(question || ' ' || description), '\bNATION_(?:1[0-9]|2[0-4]|[0-9])\b'))) AS n, contains(lower(question || ' ' || description), 'trade council') AS org FROM t_questions)
+SELECT market_id FROM k WHERE tag NOT IN ('PROMO') AND NOT regexp_matches(t, '\bsmall\b')
+  AND ((regexp_matches(t, '\b(?:bolt|ring)\b') AND (n > 0 OR org)) OR n >= 2 OR (org AND regexp_matches(t, '\b(?:widget)\b')))""", "questions")
+def relevant_markets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets that a strong word with a country or organisation, two countries, or an organisation with a context word make relevant."""
+    text = F.concat_ws(" ", "question", "description")
+    keep = normalise.is_market_relevant(text, F.array("tag"), scalars.mentioned(text, NAMES), ("bolt", "ring"), ("widget",), ("trade council",), r"\bsmall\b", ("promo",))
+    return table(spark, sf_dir, "questions").where(keep).select("market_id")
+
+
+@query("relevant_markets_b", r""", k AS (SELECT market_id, lower(question) AS t, len(regexp_extract_all(upper(question), '\bNATION_(?:1[0-9]|2[0-4]|[0-9])\b')) AS n FROM t_questions)
+SELECT market_id FROM k WHERE NOT contains(t, 'small') AND (contains(t, 'bolt') OR contains(t, 'red') OR n >= 2)""", "questions")
+def relevant_markets_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets that hold a keyword, or name countries twice or more."""
+    keep = normalise.names_relevant(F.col("question"), ("bolt", "red"), NAMES, ("small",))
+    return table(spark, sf_dir, "questions").where(keep).select("market_id")
+
+
+@query("market_countries", r"SELECT market_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(upper(question), '\bNATION_(?:1[0-9]|2[0-4]|[0-9])\b'), lambda x: CASE x WHEN 'NATION_0' THEN 'NATION_24' ELSE x END))), ',') AS countries FROM t_questions", "questions")
+def market_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scalars.mentioned(F.col("question"), NAMES, {"nation_0": "nation_24"})
+    return table(spark, sf_dir, "questions").select("market_id", F.array_join(found, ",").alias("countries"))
+
+
+@query("conflict_history", """, r AS (SELECT country, strftime(date, '%Y-%m-%d') || ':' || CAST(event_id AS VARCHAR) AS e, date, event_id, row_number() OVER (PARTITION BY country ORDER BY date DESC, event_id) AS rn FROM t_conflicts)
+SELECT country, string_agg(e, ',' ORDER BY date, event_id) AS events FROM r WHERE rn <= 5 GROUP BY 1""", "conflicts")
+def conflict_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each country's last five conflicts as an array in order of date."""
+    last = core.top_per_group(table(spark, sf_dir, "conflicts"), ["country"], 5, F.desc("date"), F.col("event_id"))
+    rows = last.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("date", "event_id"))).alias("events"))
+    return rows.select("country", F.array_join(F.transform("events", lambda e: F.concat_ws(":", F.date_format(e["date"], "yyyy-MM-dd"), e["event_id"].cast("string"))), ",").alias("events"))
+
+
+@query("pair_statistics", """SELECT least(source_country, target_country) AS country_a, greatest(source_country, target_country) AS country_b, count(*) AS n, round(avg(tone), 4) AS mean, round(min(tone), 4) AS low, round(max(tone), 4) AS high, round(stddev_pop(tone), 4) AS std FROM t_events GROUP BY 1, 2""", "events")
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extended statistics of tone by pair of countries."""
+    pairs = table(spark, sf_dir, "events").groupBy(*core.canonical_pair("source_country", "target_country"))
+    return pairs.agg(F.count("*").alias("n"), *[F.round(f("tone"), 4).alias(n) for f, n in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"), (F.stddev_pop, "std"))])
 
 
 @query("market_totals", "SELECT country, count(*) AS n, round(sum(volume), 2) AS volume, round(avg(price), 4) AS mean_price FROM t_cases GROUP BY 1", "cases")
@@ -69,26 +177,6 @@ def market_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "cases").groupBy("country").agg(F.count("*").alias("n"), F.round(F.sum("volume"), 2).alias("volume"), F.round(F.avg("price"), 4).alias("mean_price"))
 
 
-@query("case_enrichment", f""", c AS (SELECT case_id, 'NATION_' || CAST(case_id % 25 AS VARCHAR) AS a, 'NATION_' || CAST((case_id + 7) % 25 AS VARCHAR) AS b FROM t_cases)
-SELECT case_id, (SELECT count(DISTINCT event_id) FROM t_events WHERE date >= {day(168)} AND date <= {T0} AND (source_country IN (a, b) OR target_country IN (a, b))) AS related_events,
-  (SELECT count(*) FROM t_sanctions WHERE country IN (a, b)) AS related_sanctions, (SELECT count(DISTINCT name) FROM t_attribution WHERE country IN (a, b)) AS groups FROM c""", "cases", "events", "sanctions", "attribution")
-def case_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each case with what happened in its countries: every table is reduced to countries before the join."""
-    t = lambda n: table(spark, sf_dir, n)
-    nation = lambda c: F.concat(F.lit("NATION_"), (c % 25).cast("string"))
-    cases = t("cases").select("case_id", F.explode(F.array(nation(F.col("case_id")), nation(F.col("case_id") + 7))).alias("country"))
-    recent = core.both_sides(t("events").where(core.between("date", AS_OF, 7))).select("country", "event_id").distinct()
-    # cases of the same countries share their counts
-    sets = cases.groupBy("case_id").agg(F.array_sort(F.collect_set("country")).alias("countries"))
-    kinds = sets.select("countries").distinct()
-    spread = kinds.withColumn("country", F.explode("countries"))
-    events = spread.join(recent, "country").groupBy("countries").agg(F.count_distinct("event_id").alias("related_events"))
-    listed = spread.join(t("sanctions").groupBy("country").count(), "country").groupBy("countries").agg(F.sum("count").alias("related_sanctions"))
-    groups = spread.join(t("attribution").distinct(), "country").groupBy("countries").agg(F.count_distinct("name").alias("groups"))
-    out = sets.join(kinds.join(events, "countries", "left").join(listed, "countries", "left").join(groups, "countries", "left"), "countries")
-    return out.fillna(0).select("case_id", "related_events", "related_sanctions", "groups")
-
-
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """What a stream gives once all its input has been read."""
     path = scratch_path(spark, "stream")

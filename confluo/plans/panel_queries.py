@@ -147,15 +147,12 @@ def articles_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").orderBy(F.desc("doc_id")).limit(50).select("doc_id", "title", "source")
 
 
-@query("article_keywords", ", k AS (SELECT doc_id, list_filter([" + ", ".join(f"'{w}'" for w in scalars.ARTICLE_KEYWORDS) + "], lambda x: contains(lower(text), x)) AS m FROM t_articles) SELECT doc_id, array_to_string(m, ',') AS keywords, len(m) AS n FROM k WHERE len(m) > 0", "articles")
+@query("article_keywords", ", k AS (SELECT doc_id, list_filter([" + ", ".join(f"'{w}'" for w in scalars.ARTICLE_KEYWORDS) + "], lambda x: regexp_matches(lower(text), '\\b' || x || '\\b')) AS m FROM t_articles) SELECT doc_id, array_to_string(m, ',') AS keywords, len(m) AS n FROM k WHERE len(m) > 0", "articles")
 def article_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "articles").withColumn("m", scalars.matched_keywords(F.col("text"))).where(F.size("m") > 0)
     return rows.select("doc_id", F.array_join("m", ",").alias("keywords"), F.size("m").cast("long").alias("n"))
 
 
-NAMES = ("the", "of", "nation", "that", "her")
-
-
 @query("names_in_text", r", k AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(upper(text), '\b(?:NATION|THAT|THE|HER|OF)\b'), lambda x: CASE x WHEN 'HER' THEN 'SHE' ELSE x END))) AS m FROM t_articles) SELECT doc_id, array_to_string(m, ',') AS names FROM k WHERE len(m) > 0", "articles")
 def names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scalars.mentioned(F.col("text"), ("the", "of", "nation", "that"), {"her": "she"})

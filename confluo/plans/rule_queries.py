@@ -13,6 +13,7 @@ from confluo.plans.adapters import AS_OF, cte, table
 T0 = "TIMESTAMP '1998-07-01 00:00:00'"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+BODIES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(name: str, sql: str, *tables: str):
@@ -21,6 +22,7 @@ def query(name: str, sql: str, *tables: str):
     def register(f):
         QUERIES[name] = f
         SQL[name] = f"WITH {cte(*tables)}\n{sql}"
+        BODIES[name] = sql, tables
         return f
 
     return register
@@ -77,14 +79,18 @@ def escalation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.groupBy(*core.canonical_pair("source_country", "target_country")).agg(F.count("*").alias("n"), F.round(F.min("goldstein_scale"), 4).alias("worst"))
 
 
-@query("sanction_spike", f""", s AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY first_seen, entity_id) AS rn FROM t_sanctions WHERE first_seen >= {day(336)} AND first_seen <= {T0}),
+def sanction_sql(ratio: float) -> str:
+    return f""", s AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY first_seen, entity_id) AS rn FROM t_sanctions WHERE first_seen >= {day(336)} AND first_seen <= {T0}),
 c AS (SELECT country, count(*) AS n_sanctions, array_to_string(list_sort(list(DISTINCT program) FILTER (rn <= 5)), ',') AS programs FROM s GROUP BY 1),
 w AS (SELECT country, count(*) FILTER (ingested_at >= {day(1440)}) AS post, count(*) FILTER (ingested_at < {day(1440)}) AS base FROM t_indicators
   WHERE ingested_at >= {day(2880)} AND ingested_at <= {T0} GROUP BY 1),
-r AS (SELECT *, CASE WHEN base > 0 THEN CAST(post AS DOUBLE) / base WHEN post > 0 THEN 2.2 END AS ratio FROM c JOIN w USING (country))
+r AS (SELECT *, CASE WHEN base > 0 THEN CAST(post AS DOUBLE) / base WHEN post > 0 THEN {ratio + 1} END AS ratio FROM c JOIN w USING (country))
 SELECT {sid("'sanction_cyber_spike'", 'country', "'1998-07-01'")} AS correlation_id, 'sanction_cyber_spike' AS rule_name,
   CASE WHEN ratio >= 5 THEN 'critical' WHEN ratio >= 3 THEN 'high' WHEN ratio >= 2 THEN 'medium' ELSE 'low' END AS severity,
-  country AS countries, n_sanctions, programs, post, base, round(ratio, 4) AS ratio FROM r WHERE ratio >= 1.2""", "sanctions", "indicators")
+  country AS countries, n_sanctions, programs, post, base, round(ratio, 4) AS ratio FROM r WHERE ratio >= {ratio}"""
+
+
+@query("sanction_spike", sanction_sql(1.2), "sanctions", "indicators")
 def sanction_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.sanction_spike(table(spark, sf_dir, "sanctions"), table(spark, sf_dir, "indicators"), AS_OF, ratio=1.2)
     return found.withColumn("ratio", F.round("ratio", 4))
@@ -103,14 +109,20 @@ def conflict_cyber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.conflict_cyber(t("conflicts"), t("groups"), t("attribution"), AS_OF)
 
 
-@query("rhetoric_shift", f""", d AS (SELECT source_country, target_country, count(tone) FILTER (date >= {day(720)}) AS n_short, sum(tone) FILTER (date >= {day(720)}) AS s_short,
-  count(tone) AS n_long, sum(tone) AS s_long, stddev_pop(tone) AS sd FROM t_events WHERE date >= {day(4320)} AND date <= {T0} GROUP BY 1, 2),
+def rhetoric_sql(t0: str, short: int, long: int, least: int, z: float) -> str:
+    """t0 as a timestamp's text, windows in days."""
+    ago = lambda days: f"TIMESTAMP '{t0}' - INTERVAL '{24 * days}' HOUR"
+    return f""", d AS (SELECT source_country, target_country, count(tone) FILTER (date >= {ago(short)}) AS n_short, sum(tone) FILTER (date >= {ago(short)}) AS s_short,
+  count(tone) AS n_long, sum(tone) AS s_long, stddev_pop(tone) AS sd FROM t_events WHERE date >= {ago(long)} AND date <= TIMESTAMP '{t0}' GROUP BY 1, 2),
 p AS (SELECT least(source_country, target_country) AS a, greatest(source_country, target_country) AS b, sum(n_short) AS n_short, sum(s_short) AS s_short, sum(n_long) AS n_long, sum(s_long) AS s_long, max(sd) AS sd FROM d GROUP BY 1, 2),
 z AS (SELECT *, s_short / n_short AS m_short, s_long / n_long AS m_long, CASE WHEN sd > 0 THEN (s_short / n_short - s_long / n_long) / sd END AS z FROM p)
-SELECT {sid("'rhetoric_shift'", 'a', 'b', "'1998-07-01'")} AS correlation_id, 'rhetoric_shift' AS rule_name,
+SELECT {sid("'rhetoric_shift'", 'a', 'b', f"'{t0[:10]}'")} AS correlation_id, 'rhetoric_shift' AS rule_name,
   CASE WHEN abs(z) >= 4 THEN 'high' WHEN abs(z) >= 3 THEN 'medium' ELSE 'low' END AS severity, a || '||' || b AS countries,
   CAST(n_short AS BIGINT) AS n_short, CAST(n_long AS BIGINT) AS n_long, round(m_short, 4) AS mean_short, round(m_long, 4) AS mean_long, round(z, 4) AS z,
-  CASE WHEN z < 0 THEN 'deteriorating' ELSE 'improving' END AS direction FROM z WHERE n_short >= 2 AND n_long >= 2 AND abs(z) >= 1""", "events")
+  CASE WHEN z < 0 THEN 'deteriorating' ELSE 'improving' END AS direction FROM z WHERE n_short >= {least} AND n_long >= {least} AND abs(z) >= {z}"""
+
+
+@query("rhetoric_shift", rhetoric_sql(AS_OF, 30, 180, 2, 1), "events")
 def rhetoric_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.rhetoric_shift(table(spark, sf_dir, "events"), AS_OF, short=30, long=180, least=2, z=1.0)
     return found.withColumns({c: F.round(c, 4) for c in ("mean_short", "mean_long", "z")})
@@ -127,7 +139,7 @@ j AS (SELECT c.*, coalesce(d.n, 0) AS n_diplomatic, coalesce(e.n, 0) AS n_confli
   LEFT JOIN (SELECT outage_id, count(*) AS n, min(goldstein_scale) AS worst FROM n WHERE rn <= 10 GROUP BY 1) d USING (outage_id)
   LEFT JOIN (SELECT outage_id, count(*) AS n FROM f WHERE rn <= 10 GROUP BY 1) e USING (outage_id))
 SELECT {sid("'internet_outage_escalation'", 'country', "strftime(start_time, '%Y-%m-%d')", 'outage_id')} AS correlation_id, 'internet_outage_escalation' AS rule_name,
-  CASE WHEN sev = 'total' AND n_conflict > 0 THEN 'critical' ELSE 'high' END AS severity, country AS countries, outage_id, n_diplomatic, n_conflict, round(worst, 4) AS worst
+  CASE WHEN sev = 'total' AND n_conflict > 0 THEN 'critical' ELSE 'high' END AS severity, country AS countries, strftime(start_time, '%Y-%m-%d') AS day, outage_id, n_diplomatic, n_conflict, round(worst, 4) AS worst
 FROM j WHERE n_diplomatic > 0 OR n_conflict > 0""", "outages", "events", "conflicts")
 def outage_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
@@ -163,7 +175,7 @@ def arms_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("price_shift", f""", c AS (SELECT *, round(price - lag(price) OVER (PARTITION BY case_id ORDER BY ts, event_id), 4) AS delta FROM t_prices)
 SELECT {sid("'prediction_market_shift'", 'case_id', 'event_id')} AS correlation_id, 'prediction_market_shift' AS rule_name, CASE WHEN abs(delta) >= 0.2 THEN 'high' ELSE 'medium' END AS severity,
-  '' AS countries, case_id, event_id, delta, CASE WHEN delta > 0 THEN 'rising' ELSE 'falling' END AS trend FROM c WHERE abs(delta) >= 0.1""", "prices")
+  '' AS countries, strftime(ts, '%Y-%m-%d') AS day, case_id, event_id, delta, CASE WHEN delta > 0 THEN 'rising' ELSE 'falling' END AS trend FROM c WHERE abs(delta) >= 0.1""", "prices")
 def price_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.price_shift(table(spark, sf_dir, "prices"))
 
@@ -198,94 +210,40 @@ def prediction_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.prediction_event_match(cases, table(spark, sf_dir, "events"), AS_OF)
 
 
-@query("outage_apt", recent(30) + f""", ac AS (SELECT country, count(DISTINCT name) AS n FROM active GROUP BY 1), st AS (SELECT country, least(3, count(DISTINCT name)) AS n FROM t_attribution GROUP BY 1),
-tg AS (SELECT nb.neighbour AS country, least(5, count(DISTINCT a.name)) AS n FROM t_neighbours nb JOIN t_attribution a ON a.country = nb.country GROUP BY 1),
-j AS (SELECT o.*, coalesce(ac.n, st.n, 0) AS n_off, coalesce(tg.n, 0) AS n_tgt FROM t_outages o LEFT JOIN ac USING (country) LEFT JOIN st USING (country) LEFT JOIN tg USING (country) WHERE start_time >= {day(168)} AND start_time <= {T0})
+def outage_apt_sql(hours: int, targeting: str = "SELECT nb.neighbour AS country, a.name FROM t_neighbours nb JOIN t_attribution a ON a.country = nb.country") -> str:
+    return recent(30) + f""", ac AS (SELECT country, count(DISTINCT name) AS n FROM active GROUP BY 1), st AS (SELECT country, least(3, count(DISTINCT name)) AS n FROM t_attribution GROUP BY 1),
+tg AS (SELECT country, least(5, count(DISTINCT name)) AS n FROM ({targeting}) GROUP BY 1),
+j AS (SELECT o.*, coalesce(ac.n, st.n, 0) AS n_off, coalesce(tg.n, 0) AS n_tgt FROM t_outages o LEFT JOIN ac USING (country) LEFT JOIN st USING (country) LEFT JOIN tg USING (country) WHERE start_time >= {day(hours)} AND start_time <= {T0})
 SELECT {sid("'outage_apt_activity'", 'country', 'outage_id')} AS correlation_id, 'outage_apt_activity' AS rule_name, CASE WHEN scope = 'national' AND n_off > 0 THEN 'critical' ELSE 'high' END AS severity,
-  country AS countries, outage_id, CAST(n_off AS INTEGER) AS n_offensive, n_tgt AS n_targeting FROM j WHERE n_off > 0 OR n_tgt > 0""", "outages", "groups", "attribution", "neighbours")
+  country AS countries, strftime(start_time, '%Y-%m-%d') AS day, outage_id, CAST(n_off AS INTEGER) AS n_offensive, n_tgt AS n_targeting FROM j WHERE n_off > 0 OR n_tgt > 0"""
+
+
+@query("outage_apt", outage_apt_sql(168), "outages", "groups", "attribution", "neighbours")
 def outage_apt(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     aimed = t("neighbours").join(t("attribution"), "country").select(F.col("neighbour").alias("country"), "name")
     return rules.outage_apt(t("outages"), t("groups"), t("attribution"), aimed, AS_OF, hours=168)
 
 
-MARKS = {"negative_events": (0.25, 25, 45), "conflicts": (0.15, 6, 12), "sanctions": (0.10, 2, 6), "groups": (0.15, 3, 10), "correlations": (0.20, 1, 3), "spending_growth": (0.10, 15, 30), "arms": (0.05, 300000, 900000)}
-
-
-def risk_factors(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    t = lambda n: table(spark, sf_dir, n)
-    count = lambda df: df.groupBy("country").agg(F.count("*").alias("value"))
-    negative = core.both_sides(t("events").where((F.col("goldstein_scale") < 0) & core.between("date", AS_OF, 30)))
-    latest = core.latest_per_key(rules.with_yoy(t("spending").where("year <= 1998")), ["country"], F.desc("year"))
-    return {
-        "negative_events": count(negative),
-        "conflicts": count(t("conflicts").where(core.between("date", AS_OF, 30))),
-        "sanctions": count(t("sanctions").where(core.between("first_seen", AS_OF, 30))),
-        "groups": t("attribution").groupBy("country").agg(F.count_distinct("name").alias("value")),
-        "correlations": count(t("outages").where(core.between("start_time", AS_OF, 30))),
-        "spending_growth": latest.select("country", F.greatest(F.lit(0.0), F.coalesce("yoy", F.lit(0.0))).cast("int").alias("value")),
-        "arms": t("transfers").where(core.between("date", AS_OF, 30)).groupBy(F.col("recipient_country").alias("country")).agg(F.floor(F.round(F.sum("tiv"), 2)).cast("long").alias("value")),
-    }
-
-
-def _piece(value: str, mid: float, high: float) -> str:
-    return f"CASE WHEN {value} <= 0 THEN 0.0 WHEN {value} >= {high} THEN 100.0 WHEN {value} >= {mid} THEN 50.0 + 50.0 * ({value} - {mid}) / CAST({high - mid} AS DOUBLE) ELSE 50.0 * {value} / CAST({mid} AS DOUBLE) END"
-
-
-RISK = YOY + f""", f AS (SELECT n_name AS country,
-  coalesce((SELECT count(*) FROM t_events e WHERE (source_country = n_name OR target_country = n_name) AND goldstein_scale < 0 AND date >= {day(720)} AND date <= {T0}), 0) AS negative_events,
-  (SELECT count(*) FROM t_conflicts c WHERE c.country = n_name AND date >= {day(720)} AND date <= {T0}) AS conflicts,
-  (SELECT count(*) FROM t_sanctions c WHERE c.country = n_name AND first_seen >= {day(720)} AND first_seen <= {T0}) AS sanctions,
-  (SELECT count(DISTINCT name) FROM t_attribution c WHERE c.country = n_name) AS groups,
-  (SELECT count(*) FROM t_outages c WHERE c.country = n_name AND start_time >= {day(720)} AND start_time <= {T0}) AS correlations,
-  coalesce((SELECT CAST(floor(greatest(0.0, coalesce(yoy, 0.0))) AS INTEGER) FROM yoy c WHERE c.country = n_name AND year = (SELECT max(year) FROM yoy d WHERE d.country = n_name AND d.year <= 1998)), 0) AS spending_growth,
-  coalesce((SELECT CAST(floor(round(sum(tiv), 2)) AS BIGINT) FROM t_transfers c WHERE recipient_country = n_name AND date >= {day(720)} AND date <= {T0}), 0) AS arms
-  FROM t_nations),
-risk AS (SELECT *, round(least(100.0, greatest(0.0, {" + ".join(f"{w} * ({_piece(n, m, h)})" for n, (w, m, h) in MARKS.items())})), 1) AS risk_score FROM f)
+TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in scalars.STOP_WORDS) + "))"
+# questions and sets of countries are few, so that all pairs of these, not of rows, are compared
+MATCH = f""", qa AS (SELECT DISTINCT question, {TOKENS.format('question')} AS tk FROM t_cases), qb AS (SELECT DISTINCT question, {TOKENS.format('question')} AS tk FROM t_predictions),
+sm AS (SELECT qa.question AS qa, qb.question AS qb, CASE WHEN len(qa.tk) = 0 OR len(qb.tk) = 0 THEN 0 ELSE CAST(len(list_intersect(qa.tk, qb.tk)) AS DOUBLE) / len(list_distinct(qa.tk || qb.tk)) END AS sim FROM qa, qb),
+ka AS (SELECT DISTINCT question, countries FROM t_cases), kb AS (SELECT *, row_number() OVER (PARTITION BY question, countries ORDER BY market_id) AS nth FROM t_predictions),
+m AS (SELECT ka.question, ka.countries, kb.market_id, round(least(1.0, sim + CASE WHEN list_has_any(string_split(ka.countries, '||'), string_split(kb.countries, '||')) THEN 0.15 ELSE 0.0 END), 4) AS score
+  FROM sm JOIN ka ON ka.question = sm.qa JOIN kb ON kb.question = sm.qb AND nth <= 3 WHERE sim >= 0.2 - 1e-12),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question, countries ORDER BY score DESC, market_id) AS INTEGER) AS rank FROM m WHERE score >= 0.35),
+best AS (SELECT c.case_id, r.market_id, r.score, r.rank, p.price, p.volume, p.platform FROM t_cases c JOIN r ON r.question = c.question AND r.countries = c.countries AND r.rank <= 3 JOIN t_predictions p ON p.market_id = r.market_id)
 """
 
 
-@query("risk_score", RISK + "SELECT country, risk_score, CASE WHEN risk_score >= 75 THEN 'critical' WHEN risk_score >= 50 THEN 'high' WHEN risk_score >= 25 THEN 'medium' ELSE 'low' END AS risk_level FROM risk",
-       "spending", "events", "conflicts", "sanctions", "attribution", "outages", "transfers", "nations")
-def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    countries = table(spark, sf_dir, "nations").select(F.col("n_name").alias("country"))
-    return scores.risk_score(countries, risk_factors(spark, sf_dir), MARKS).select("country", "risk_score", "risk_level")
-
-
-@query("convergence", RISK + f""", s AS (SELECT country, risk_score,
-  CASE WHEN (SELECT count(*) FROM t_events WHERE (source_country = country OR target_country = country) AND goldstein_scale < -3 AND date >= {day(168)} AND date <= {T0}) >= 5 THEN 1 ELSE 0 END AS events,
-  CASE WHEN sanctions > 0 THEN 1 ELSE 0 END AS sanction,
-  CASE WHEN EXISTS (SELECT 1 FROM t_outages o WHERE o.country = risk.country AND start_time >= {day(168)} AND start_time <= {T0}) THEN 1 ELSE 0 END AS outage,
-  CASE WHEN EXISTS (SELECT 1 FROM t_conflicts c WHERE c.country = risk.country AND date >= {day(168)} AND date <= {T0}) THEN 1 ELSE 0 END AS conflict,
-  CASE WHEN spending_growth > 10 THEN 1 ELSE 0 END AS spending FROM risk WHERE risk_score > 0), n AS (SELECT *, events + sanction + outage + conflict + spending AS n_signals FROM s)
-SELECT {sid("'multi_signal_convergence'", 'country', "'1998-07-01'")} AS correlation_id, 'multi_signal_convergence' AS rule_name, CASE WHEN n_signals >= 4 THEN 'critical' ELSE 'high' END AS severity,
-  country AS countries, risk_score, n_signals, n_signals >= 5 AS flagged,
-  array_to_string(list_filter([CASE WHEN events = 1 THEN 'events' END, CASE WHEN sanction = 1 THEN 'sanction' END, CASE WHEN outage = 1 THEN 'outage' END, CASE WHEN conflict = 1 THEN 'conflict' END, CASE WHEN spending = 1 THEN 'spending' END], lambda x: x IS NOT NULL), ',') AS signals
-FROM n WHERE n_signals >= 3""", "spending", "events", "conflicts", "sanctions", "attribution", "outages", "transfers", "nations")
-def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    tense = core.both_sides(t("events").where((F.col("goldstein_scale") < -3) & core.between("date", AS_OF, 7)))
-    signals = [
-        ("events", tense.groupBy("country").count().where("count >= 5")),
-        ("sanction", t("sanctions").where(core.between("first_seen", AS_OF, 30))),
-        ("outage", t("outages").where(core.between("start_time", AS_OF, 7))),
-        ("conflict", t("conflicts").where(core.between("date", AS_OF, 7))),
-        ("spending", risk_factors(spark, sf_dir)["spending_growth"].where("value > 10")),
-    ]
-    return rules.convergence(signals, risk_score(spark, sf_dir), AS_OF, risk_above=0.0)
-
-
-TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in scalars.STOP_WORDS) + "))"
-MATCH = f""", a AS (SELECT *, {TOKENS.format('question')} AS tk FROM t_cases), b AS (SELECT *, {TOKENS.format('question')} AS tk FROM t_predictions),
-j AS (SELECT a.case_id, b.market_id, b.price, b.volume, b.platform, CASE WHEN len(a.tk) = 0 OR len(b.tk) = 0 THEN 0 ELSE CAST(len(list_intersect(a.tk, b.tk)) AS DOUBLE) / len(list_distinct(a.tk || b.tk)) END AS sim, a.country = b.country AS same FROM a, b),
-m AS (SELECT *, round(least(1.0, sim + CASE WHEN same THEN 0.15 ELSE 0.0 END), 4) AS score FROM j WHERE sim >= 0.2 - 1e-12),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, market_id) AS INTEGER) AS rank FROM m WHERE score >= 0.35), best AS (SELECT * FROM r WHERE rank <= 3)
-"""
+def _arrays(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("countries", F.split("countries", r"\|\|"))
 
 
 @query("market_match", MATCH + "SELECT case_id, market_id, score, rank FROM best", "cases", "predictions")
 def market_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.match_markets(table(spark, sf_dir, "cases"), table(spark, sf_dir, "predictions"))
+    return scores.match_markets(_arrays(table(spark, sf_dir, "cases")), _arrays(table(spark, sf_dir, "predictions")))
 
 
 CONSENSUS = MATCH + """, pr AS (SELECT case_id, price, 1.0::DOUBLE AS w FROM t_cases WHERE case_id IN (SELECT case_id FROM best)
@@ -296,7 +254,7 @@ cs AS (SELECT case_id, round(sum(price * w) / sum(w), 4) AS consensus, round(CAS
 
 @query("consensus", CONSENSUS + "SELECT * FROM cs", "cases", "predictions")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases, markets = table(spark, sf_dir, "cases"), table(spark, sf_dir, "predictions")
+    cases, markets = _arrays(table(spark, sf_dir, "cases")), _arrays(table(spark, sf_dir, "predictions"))
     return scores.consensus(cases, scores.match_markets(cases, markets), markets)
 
 
@@ -304,30 +262,3 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
        "cases", "predictions")
 def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.divergence_alerts(consensus(spark, sf_dir), AS_OF)
-
-
-def _engine_rules(spark: SparkSession, sf_dir: str) -> dict:
-    return {1: lambda: diplomatic_apt(spark, sf_dir), 2: lambda: sanction_spike(spark, sf_dir), 3: lambda: conflict_cyber(spark, sf_dir), 4: lambda: rhetoric_shift(spark, sf_dir), 5: lambda: outage_escalation(spark, sf_dir), 6: lambda: military_buildup(spark, sf_dir), 7: lambda: arms_escalation(spark, sf_dir), 9: lambda: outage_apt(spark, sf_dir), 10: lambda: convergence(spark, sf_dir)}
-
-
-_ENGINE = ("diplomatic_apt", "sanction_spike", "conflict_cyber", "rhetoric_shift", "outage_escalation", "military_buildup", "arms_escalation", "outage_apt", "convergence")
-_ENGINE_SQL = "\nUNION ALL ".join(f"SELECT correlation_id, rule_name, severity, countries FROM ({SQL[n]}) AS q_{n}" for n in _ENGINE)
-
-
-def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules, less what an earlier run with the military rule alone has stored."""
-    stored = military_buildup(spark, sf_dir)
-    return scores.run_rules(_engine_rules(spark, sf_dir), stored)
-
-
-QUERIES["rule_engine"] = rule_engine
-SQL["rule_engine"] = f"SELECT DISTINCT * FROM ({_ENGINE_SQL}) WHERE rule_name <> 'military_buildup_cyber'"
-
-
-def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.alerts(scores.run_rules(_engine_rules(spark, sf_dir))).select("correlation_id", "severity", "colour", "subject")
-
-
-QUERIES["alert_rows"] = alert_rows
-SQL["alert_rows"] = f"""SELECT correlation_id, severity, CASE severity WHEN 'critical' THEN '#d32f2f' ELSE '#f57c00' END AS colour,
-  '[' || upper(severity) || '] ' || rule_name || ': ' || replace(countries, '||', ' <-> ') AS subject FROM (SELECT DISTINCT * FROM ({_ENGINE_SQL})) WHERE severity IN ('high', 'critical')"""

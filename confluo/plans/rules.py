@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo.functions.scalars import surrogate_id
+from confluo.functions.scalars import mentioned, surrogate_id
 from confluo.operators.core import between, both_sides, canonical_pair, interval_join, since, top_per_group
 
 # fixed values: event types that mean armed conflict
@@ -138,11 +138,13 @@ def outage_escalation(outages: DataFrame, events: DataFrame, conflicts: DataFram
     severe = (F.col("outage_type") == "country-level") | (F.col("scope") == "national") | F.col("severity").isin("major", "total")
     cut = outages.where(between("start_time", as_of, days) & (F.col("country") != "") & severe)
     cut = cut.select("outage_id", "start_time", "country", F.col("severity").alias("outage_severity"))
-    tense = both_sides(events.where(F.col("goldstein_scale") < below)).select("country", F.col("date").alias("event_at"), "event_id", "goldstein_scale")
+    # no window reaches further than this, so both scans are cut to it
+    around = between("date", as_of, days + hours / 24, -hours / 24)
+    tense = both_sides(events.where((F.col("goldstein_scale") < below) & around)).select("country", F.col("date").alias("event_at"), "event_id", "goldstein_scale")
     near = interval_join(cut, tense, "country", "start_time", "event_at", hours, hours)
     worst = top_per_group(near, ["outage_id"], most, F.col("goldstein_scale"), F.col("event_at"), F.col("event_id"))
     diplomatic = worst.groupBy("outage_id").agg(F.count("*").alias("n_diplomatic"), F.min("goldstein_scale").alias("worst"))
-    fights = conflicts.select("country", F.col("date").alias("fight_at"), F.col("event_id").alias("fight_id"), "fatalities")
+    fights = conflicts.where(around).select("country", F.col("date").alias("fight_at"), F.col("event_id").alias("fight_id"), "fatalities")
     fought = interval_join(cut, fights, "country", "start_time", "fight_at", hours, hours)
     fought = top_per_group(fought, ["outage_id"], most, F.desc("fatalities"), F.col("fight_at"), F.col("fight_id"))
     fought = fought.groupBy("outage_id").agg(F.count("*").alias("n_conflict"))
@@ -152,7 +154,7 @@ def outage_escalation(outages: DataFrame, events: DataFrame, conflicts: DataFram
         surrogate_id("internet_outage_escalation", F.col("country"), F.date_format("start_time", "yyyy-MM-dd"), F.col("outage_id")).alias("correlation_id"),
         F.lit("internet_outage_escalation").alias("rule_name"),
         F.when(total & fight, "critical").otherwise("high").alias("severity"),
-        F.col("country").alias("countries"), "outage_id", "n_diplomatic", "n_conflict", "worst",
+        F.col("country").alias("countries"), F.date_format("start_time", "yyyy-MM-dd").alias("day"), "outage_id", "n_diplomatic", "n_conflict", "worst",
     )
 
 
@@ -183,7 +185,7 @@ def arms_escalation(transfers: DataFrame, neighbours: DataFrame, events: DataFra
         F.min("date").alias("reference"), F.max(F.struct("tiv", "transfer_id")).alias("largest")
     )
     near = bought.join(neighbours, "country").withColumn("country_a", F.least("country", "neighbour")).withColumn("country_b", F.greatest("country", "neighbour"))
-    tense = events.where(F.col("goldstein_scale") < below).select(*canonical_pair("source_country", "target_country"), F.col("date").alias("event_at"))
+    tense = events.where((F.col("goldstein_scale") < below) & between("date", as_of, days + window, -window)).select(*canonical_pair("source_country", "target_country"), F.col("date").alias("event_at"))
     near = near.withColumn("pair", F.concat_ws("||", "country_a", "country_b"))
     tense = tense.select(F.concat_ws("||", "country_a", "country_b").alias("pair"), "event_at")
     found = interval_join(near, tense, "pair", "reference", "event_at", 24 * window, 24 * window)
@@ -212,7 +214,7 @@ def price_shift(prices: DataFrame, at_least: float = 0.10, strong: float = 0.20)
     return out.select(
         surrogate_id("prediction_market_shift", F.col("case_id"), F.col("event_id")).alias("correlation_id"),
         F.lit("prediction_market_shift").alias("rule_name"), F.when(F.abs("delta") >= strong, "high").otherwise("medium").alias("severity"),
-        F.lit("").alias("countries"), "case_id", "event_id", "delta", "trend",
+        F.lit("").alias("countries"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "case_id", "event_id", "delta", "trend",
     )
 
 
@@ -247,6 +249,24 @@ def prediction_event_match(cases: DataFrame, events: DataFrame, as_of: str, move
     )
 
 
+def targeted(profiles: DataFrame, countries: list[str]) -> DataFrame:
+    """(country, name) of the groups whose description names a country, as whole words in any case."""
+    found = profiles.select("name", F.explode(mentioned(F.col("description"), countries)).alias("country"))
+    return found.select("country", "name").distinct()
+
+
+def event_activity(events: DataFrame, as_of: str, days: int = 30, tense_days: int = 7, below: float = -3.0) -> DataFrame:
+    """(country, negative, tense): negative events of the last days and hostile ones of the last week, in one pass."""
+    recent = both_sides(events.where(between("date", as_of, days)).select("source_country", "target_country", "goldstein_scale", "date"))
+    tense = (F.col("goldstein_scale") < below) & (F.col("date") >= since(as_of, tense_days))
+    return recent.groupBy("country").agg(F.count_if(F.col("goldstein_scale") < 0).alias("negative"), F.count_if(tense).alias("tense"))
+
+
+def by_country(correlations: DataFrame) -> DataFrame:
+    """Correlations once for each country they name."""
+    return correlations.withColumn("country", F.explode(F.array_distinct(F.split("countries", r"\|\|")))).where("country <> ''")
+
+
 def outage_apt(outages: DataFrame, groups: DataFrame, attribution: DataFrame, targeting: DataFrame, as_of: str, hours: int = 48, group_days: int = 30, static: int = 3, most: int = 5) -> DataFrame:
     """Outages in countries with offensive groups of their own or groups targeting them (country, name)."""
     cut = outages.where(between("start_time", as_of, hours / 24) & (F.col("country") != ""))
@@ -259,7 +279,7 @@ def outage_apt(outages: DataFrame, groups: DataFrame, attribution: DataFrame, ta
         surrogate_id("outage_apt_activity", F.col("country"), F.col("outage_id")).alias("correlation_id"),
         F.lit("outage_apt_activity").alias("rule_name"),
         F.when((F.col("scope") == "national") & (F.col("n_offensive") > 0), "critical").otherwise("high").alias("severity"),
-        F.col("country").alias("countries"), "outage_id", "n_offensive", "n_targeting",
+        F.col("country").alias("countries"), F.date_format("start_time", "yyyy-MM-dd").alias("day"), "outage_id", "n_offensive", "n_targeting",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.scalars import jaccard, piecewise, severity_rank, surrogate_id, tokens
-from confluo.operators.core import only_new, top_per_group, union_all
+from confluo.operators.core import latest_per_key, only_new, top_per_group, union_all
 
 # fixed values: weight and (mid, high) marks of each factor
 RISK_FACTORS = {
@@ -38,28 +38,38 @@ def risk_score(countries: DataFrame, factors: dict[str, DataFrame], marks: dict[
     return out.withColumn("risk_level", level)
 
 
+def _rarest(rows: DataFrame, often: DataFrame, bound: float) -> DataFrame:
+    """(question, token): of each token set so many of the rarest that a set with a similarity of the bound shares one."""
+    counted = rows.select("question", F.explode("tokens").alias("token")).join(often, "token")
+    words = counted.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("words"))
+    keep = F.size("words") - F.ceil(F.size("words") * bound - 1e-9).cast("int") + 1
+    return words.select("question", F.explode(F.transform(F.slice("words", F.lit(1), keep), lambda w: w["token"])).alias("token"))
+
+
 def match_markets(cases: DataFrame, markets: DataFrame, bonus: float = 0.15, least: float = 0.35, most: int = 3) -> DataFrame:
-    """The best markets of each case by token similarity, raised where a country is shared.
+    """The best markets of each case by token similarity, raised where any country is shared.
 
-    Both are (id, question, country, ...). Every match shares a token, as the bonus alone stays below the threshold, so
-    candidates come from an equi-join on tokens; texts are reduced to their distinct token sets first, which bounds the
-    join by the number of different questions rather than of rows.
+    cases are (case_id, question, countries), markets (market_id, question, countries), countries an array. Every match
+    shares a token, as the bonus alone stays below the threshold. Candidates come from an equi-join on tokens of
+    distinct questions, by their rarest tokens only, so words that stand everywhere pair little by themselves. Of the
+    markets with one question and one set of countries only the first ones can be among the best, so no hot question
+    multiplies rows.
     """
-    a = cases.select(F.col("case_id"), F.col("question").alias("case_question"), F.col("country").alias("case_country"))
-    b = markets.select("market_id", F.col("question").alias("market_question"), F.col("country").alias("market_country"))
-    left = a.select("case_question").distinct().withColumn("case_tokens", tokens(F.col("case_question")))
-    right = b.select("market_question").distinct().withColumn("market_tokens", tokens(F.col("market_question")))
-    pairs = (
-        left.withColumn("token", F.explode("case_tokens"))
-        .join(right.withColumn("token", F.explode("market_tokens")), "token")
-        .select("case_question", "market_question", jaccard(F.col("case_tokens"), F.col("market_tokens")).alias("similarity"))
-        .distinct()
-        .where(F.col("similarity") >= least - bonus)
-    )
-    found = pairs.join(a, "case_question").join(b, "market_question")
-    score = F.least(F.lit(1.0), F.col("similarity") + F.when(F.col("case_country") == F.col("market_country"), bonus).otherwise(0.0))
-    found = found.withColumn("score", F.round(score, 4)).where(F.col("score") >= least)
-    return top_per_group(found, ["case_id"], most, F.desc("score"), F.col("market_id")).select("case_id", "market_id", "score", "rank")
+    a = cases.select("case_id", F.col("question").alias("case_question"), F.array_sort("countries").alias("case_countries"))
+    b = markets.select("market_id", F.col("question").alias("market_question"), F.array_sort("countries").alias("market_countries"))
+    b = top_per_group(b, ["market_question", "market_countries"], most, F.col("market_id")).drop("rank")
+    left = a.select(F.col("case_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
+    right = b.select(F.col("market_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
+    often = left.union(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    keys = [_rarest(rows, often, least - bonus).withColumnRenamed("question", f"{side}_question") for side, rows in (("case", left), ("market", right))]
+    pairs = keys[0].join(keys[1], "token").select("case_question", "market_question").distinct()
+    pairs = pairs.withColumn("similarity", jaccard(tokens(F.col("case_question")), tokens(F.col("market_question")))).where(F.col("similarity") >= least - bonus - 1e-12)
+    # scores are settled between different questions and sets of countries before rows are joined
+    kinds = pairs.join(a.select("case_question", "case_countries").distinct(), "case_question").join(b, "market_question")
+    score = F.least(F.lit(1.0), F.col("similarity") + F.when(F.arrays_overlap("case_countries", "market_countries"), bonus).otherwise(0.0))
+    kinds = kinds.withColumn("score", F.round(score, 4)).where(F.col("score") >= least)
+    best = top_per_group(kinds, ["case_question", "case_countries"], most, F.desc("score"), F.col("market_id"))
+    return a.join(best, ["case_question", "case_countries"]).select("case_id", "market_id", "score", "rank")
 
 
 def consensus(cases: DataFrame, matches: DataFrame, markets: DataFrame) -> DataFrame:
@@ -84,14 +94,20 @@ def divergence_alerts(found: DataFrame, as_of: str, above: float = 0.15, strong:
     )
 
 
-CORRELATION_COLUMNS = ("correlation_id", "rule_name", "severity", "countries")
+CORRELATION_COLUMNS = ("correlation_id", "rule_name", "severity", "countries", "day")
+
+
+def run_rules(rules: dict[int, Callable[[], DataFrame]], existing: DataFrame | None = None, chosen: list[int] | None = None, as_of: str = "1970-01-01") -> DataFrame:
+    """The rules' correlations as one plan: chosen rules, their union, one row an id (the gravest, then the earliest), and
+    only ids not stored yet. day is the rule's own, else that of as_of."""
 
+    def rows(found: DataFrame) -> DataFrame:
+        dated = found if "day" in found.columns else found.withColumn("day", F.lit(as_of[:10]))
+        return dated.select(*CORRELATION_COLUMNS)
 
-def run_rules(rules: dict[int, Callable[[], DataFrame]], existing: DataFrame | None = None, chosen: list[int] | None = None) -> DataFrame:
-    """The rules' correlations as one plan: chosen rules, their union, one row an id, and only ids not stored yet."""
-    found = [rules[n]().select(*CORRELATION_COLUMNS) for n in (chosen or sorted(rules))]
-    out = union_all(found).dropDuplicates(["correlation_id"])
-    return out if existing is None else only_new(out, existing, ["correlation_id"])
+    out = union_all([rows(rules[n]()) for n in (chosen or sorted(rules))])
+    order = [F.desc(severity_rank(F.col("severity"))), F.col("day"), F.col("countries"), F.col("rule_name")]
+    return latest_per_key(out, ["correlation_id"], *order) if existing is None else only_new(out, existing, ["correlation_id"], *order)
 
 
 # fixed values: alert colours by severity

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.operators.core import latest_per_key
+
 # fixed values: the columns of an event export, in file order
 EVENT_COLUMNS = (
     "GlobalEventID", "Day", "MonthYear", "Year", "FractionDate",
@@ -56,9 +58,11 @@ def window_of(at: Column, minutes: int = 15) -> Column:
 
 
 def files_since(files: DataFrame, since: str, until: str) -> DataFrame:
-    """Rows of a text read whose file name carries a 14-digit time in [since, until)."""
-    stamp = F.try_to_timestamp(F.regexp_extract(F.input_file_name(), r"(\d{14})[^/]*$", 1), F.lit("yyyyMMddHHmmss"))
-    return files.withColumn("file_time", stamp).where((F.col("file_time") >= F.lit(since).cast("timestamp")) & (F.col("file_time") < F.lit(until).cast("timestamp")))
+    """Rows of a read from files whose name, or whose folder's, carries a 14-digit time in [since, until). The condition is
+    on the file's own metadata, so files of other times are not opened."""
+    stamp = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{14})[^/]*(?:/[^/]*)?$", 1)
+    digits = lambda at: F.date_format(F.lit(at).cast("timestamp_ntz"), "yyyyMMddHHmmss")
+    return files.where((stamp != "") & (stamp >= digits(since)) & (stamp < digits(until))).withColumn("file_time", F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")))
 
 
 def high_water_mark(target: DataFrame, at: str, fallback: str) -> Column:
@@ -83,11 +87,17 @@ def _struct(columns: str) -> str:
     return ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in columns.split(", "))
 
 
-ARTICLE = "url string, title string, seendate string, domain string, language string, sourcecountry string, tone double, themes array<string>"
+# fixed values: the fields of an article, its places and its event
+ARTICLE_PLACE = "struct<geoType: int, geoName: string, countryCode: string, adm1Code: string, latitude: double, longitude: double, featureId: string>"
+ARTICLE_EVENT = "struct<eventCode: string, eventBaseCode: string, eventRootCode: string, goldsteinScale: double, numArticles: int, actor1CountryCode: string, actor2CountryCode: string, actor1Name: string, actor2Name: string>"
+ARTICLE = (
+    "struct<url: string, url_mobile: string, title: string, seendate: string, socialimage: string, domain: string, language: string, sourcecountry: string, tone: double, "
+    f"themes: array<string>, persons: array<string>, organizations: array<string>, locations: array<{ARTICLE_PLACE}>, cameo: {ARTICLE_EVENT}>"
+)
 
 
 def article_list(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, f"articles array<struct<{_struct(ARTICLE)}>>").select(F.explode("articles").alias("a")).select("a.*")
+    return _json(spark, path, f"articles array<{ARTICLE}>").select(F.explode("articles").alias("a")).select("a.*")
 
 
 def geo_features(spark: SparkSession, path: str) -> DataFrame:
@@ -98,13 +108,14 @@ def geo_features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f.properties").alias("properties"), point.alias("geo"))
 
 
-THREAT_NODE = "id string, name string, description string, aliases array<string>, created string, modified string, first_seen string, last_seen string, confidence int, objectLabel string, countryOfOrigin string, pattern string, valid_from string, valid_until string, goals array<string>"
+THREAT_NODE = "id string, name string, description string, aliases array<string>, created string, modified string, first_seen string, last_seen string, confidence int, objectLabel string, countryOfOrigin string, pattern string, valid_from string, valid_until string, goals array<string>, killChainPhases array<struct<kill_chain_name: string; phase_name: string>>"
 
 
 def threat_objects(spark: SparkSession, path: str, kinds: dict[str, str] | None = None) -> DataFrame:
     """Nodes of all kinds of threat objects as one table with `kind`; labels and origins stay JSON for names_of()."""
     kinds = kinds or {"intrusionSets": "group", "campaigns": "campaign", "indicators": "indicator", "malwares": "malware", "vulnerabilities": "vulnerability"}
-    edges = ", ".join(f"{k}: struct<edges: array<struct<node: struct<{_struct(THREAT_NODE)}>>>>" for k in kinds)
+    node = _struct(THREAT_NODE).replace(";", ",")
+    edges = ", ".join(f"{k}: struct<edges: array<struct<node: struct<{node}>>>>" for k in kinds)
     rows = _json(spark, path, f"data struct<{edges}>")
     out = None
     for source, kind in kinds.items():
@@ -142,10 +153,11 @@ MARKET_C = "id bigint, title string, community_prediction struct<full: struct<q2
 
 
 def market_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed pages of markets, each a JSON array; of repeated ids one row."""
+    """Landed pages of markets, each a JSON array; of repeated ids the first row of the first page by name."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     key = [c for c in ("condition_id", "id") if c in rows.columns]
-    return rows.dropDuplicates(key)
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("_page"), F.monotonically_increasing_id().alias("_row"))
+    return latest_per_key(numbered, key, F.col("_page"), F.col("_row")).drop("_page", "_row")
 
 
 FEED_ARTICLE = "title string, contentSnippet string, content string, link string, url string, isoDate string, pubDate string, source string, source_category string"
@@ -160,7 +172,7 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
 
 
 OFAC = "uid string, sdnType string, firstName string, lastName string, remarks string, akaList struct<aka: array<struct<firstName: string, lastName: string>>>, programList struct<program: array<string>>, addressList struct<address: array<struct<country: string>>>, dateOfBirthList struct<dateOfBirthItem: array<struct<dateOfBirth: string>>>"
-EU = "_euReferenceNumber string, _logicalId string, nameAlias array<struct<_wholeName: string, _lastName: string>>, subjectType struct<_classificationCode: string>, citizenship array<struct<_countryDescription: string>>, regulation struct<_programme: string>"
+EU = "_euReferenceNumber string, _logicalId string, nameAlias array<struct<_wholeName: string, _lastName: string>>, subjectType struct<_VALUE: string, _classificationCode: string>, citizenship array<struct<_countryDescription: string>>, regulation struct<_programme: string>, countryDescription array<string>, programme array<string>"
 UN_PERSON = "FIRST_NAME string, SECOND_NAME string, DATAID string, NATIONALITY struct<VALUE: array<string>>, INDIVIDUAL_ALIAS array<struct<ALIAS_NAME: string>>, UN_LIST_TYPE string"
 UN_ENTITY = "FIRST_NAME string, DATAID string, ENTITY_ALIAS array<struct<ALIAS_NAME: string>>, UN_LIST_TYPE string"
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.functions.scalars import ARTICLE_KEYWORDS, event_severity, first_date, first_given, matched_keywords, outcome_prices, parse_locations, parse_scores, parse_tone, resolve_timestamp, safe_double, safe_int, surrogate_id
+from confluo.functions.scalars import ARTICLE_KEYWORDS, any_word, event_severity, first_date, first_given, matched_keywords, mentioned, outcome_prices, parse_locations, parse_scores, parse_tone, resolve_timestamp, safe_double, safe_int, surrogate_id
 
 
-def _texts(text: Column, most: int) -> Column:
-    return F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: x != ""), 1, most)
+def _texts(text: Column, most: int | None = None) -> Column:
+    return _first(F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: x != ""), most)
+
+
+def _first(values: Column, most: int | None) -> Column:
+    """The first values; all, if no number is given."""
+    return values if most is None else F.slice(values, 1, most)
 
 
 def _geo(lat: Column, lon: Column) -> Column:
@@ -25,31 +30,66 @@ def with_country_names(rows: DataFrame, columns: list[str], names: DataFrame) ->
     return rows
 
 
+# fixed values: the names under which feeds carry a field, in the order in which they are tried
+EVENT_ALIASES = {
+    "event_id": ("event_id", "GlobalEventID"),
+    "date": ("seendate", "DATEADDED", "dateadded", "SQLDATE", "Day", "date"),
+    "source_country": ("source_country", "Actor1CountryCode", "cameo.actor1CountryCode", "sourcecountry"),
+    "target_country": ("target_country", "Actor2CountryCode", "cameo.actor2CountryCode", "targetcountry"),
+    "event_code": ("cameo_code", "EventCode", "cameo.eventCode", "eventcode"),
+    "goldstein_scale": ("goldstein_scale", "GoldsteinScale", "cameo.goldsteinScale", "goldsteinscale"),
+    "tone": ("tone", "AvgTone", "avgtone"),
+    "num_articles": ("num_articles", "NumArticles", "cameo.numArticles", "numarticles"),
+    "quad_class": ("QuadClass",),
+    "lat": ("geo_lat", "ActionGeo_Lat", "actiongeolat"),
+    "lon": ("geo_lon", "ActionGeo_Long", "actiongeolong"),
+    "actor1_name": ("Actor1Name", "cameo.actor1Name"),
+    "actor2_name": ("Actor2Name", "cameo.actor2Name"),
+    "url": ("url", "source_url", "SOURCEURL"),
+}
+
+
+def _paths(raw: DataFrame) -> dict[str, Column]:
+    """The columns of a table and the fields of its structs, by path; names differ by case."""
+    found = {}
+    for field in raw.schema.fields:
+        found[field.name] = F.col(f"`{field.name}`")
+        if field.dataType.typeName() == "struct":
+            found |= {f"{field.name}.{inner.name}": F.col(f"`{field.name}`.`{inner.name}`") for inner in field.dataType.fields}
+    return found
+
+
 def events(raw: DataFrame, as_of: str) -> DataFrame:
-    """Event export -> events; the date added comes before the event's day."""
-    c = F.col
-    date = resolve_timestamp(first_given(c("DATEADDED"), c("Day")), F.lit(as_of).cast("timestamp"))
-    goldstein, tone, articles = safe_double(c("GoldsteinScale")), safe_double(c("AvgTone")), safe_int(c("NumArticles"), 1)
-    source, target = F.upper(F.coalesce("Actor1CountryCode", F.lit(""))), F.upper(F.coalesce("Actor2CountryCode", F.lit("")))
+    """Event exports or article lists -> events. Of each field the first alias counts that is given and not empty or
+    zero; the date added comes before the event's day."""
+    paths = _paths(raw)
+
+    def given(name: str) -> Column:
+        return first_given(*[paths[p] for p in EVENT_ALIASES[name] if p in paths])
+
+    date = resolve_timestamp(given("date"), F.lit(as_of).cast("timestamp"))
+    goldstein, tone, articles = safe_double(given("goldstein_scale")), safe_double(given("tone")), safe_int(given("num_articles"), 1)
+    source, target = F.upper(F.coalesce(given("source_country"), F.lit(""))), F.upper(F.coalesce(given("target_country"), F.lit("")))
     return raw.select(
-        F.coalesce(first_given(c("GlobalEventID")), surrogate_id(c("DATEADDED"), c("SOURCEURL"), source, target)).alias("event_id"),
+        F.coalesce(given("event_id"), surrogate_id(given("date"), given("url"), source, target)).alias("event_id"),
         date.alias("date"), source.alias("source_country"), target.alias("target_country"),
-        F.coalesce("EventCode", F.lit("")).alias("event_code"), goldstein.alias("goldstein_scale"), tone.alias("tone"), articles.alias("num_articles"),
-        safe_int(c("QuadClass")).alias("quad_class"), c("Actor1Name").alias("actor1_name"), c("Actor2Name").alias("actor2_name"),
-        _geo(safe_double(c("ActionGeo_Lat")), safe_double(c("ActionGeo_Long"))).alias("geo"), c("SOURCEURL").alias("url"),
+        F.coalesce(given("event_code"), F.lit("")).alias("event_code"), goldstein.alias("goldstein_scale"), tone.alias("tone"), articles.alias("num_articles"),
+        safe_int(given("quad_class")).alias("quad_class"), F.trim(given("actor1_name")).alias("actor1_name"), F.trim(given("actor2_name")).alias("actor2_name"),
+        _geo(safe_double(given("lat")), safe_double(given("lon"))).alias("geo"), given("url").alias("url"),
         event_severity(goldstein, articles, tone).alias("severity"),
     )
 
 
-def graph(raw: DataFrame, as_of: str) -> DataFrame:
+def graph(raw: DataFrame, as_of: str, themes: int | None = None, places: int | None = None, persons: int | None = None, organizations: int | None = None, scores: int | None = None) -> DataFrame:
+    """Knowledge-graph rows; the numbers cap lists, which are whole unless asked for."""
     c = F.col
     newer = lambda name: F.when(F.coalesce(c(f"V2{name}"), F.lit("")) != "", c(f"V2{name}")).otherwise(c(name))
     return raw.select(
         F.coalesce(first_given(c("GKGRECORDID")), surrogate_id(c("DATE"), c("DocumentIdentifier"))).alias("gkg_id"),
         resolve_timestamp(c("DATE"), F.lit(as_of).cast("timestamp")).alias("date"), c("SourceCommonName").alias("source"), c("DocumentIdentifier").alias("url"),
-        _texts(newer("Themes"), 100).alias("themes"), F.slice(parse_locations(newer("Locations")), 1, 50).alias("locations"),
-        _texts(newer("Persons"), 50).alias("persons"), _texts(newer("Organizations"), 20).alias("organizations"),
-        parse_tone(c("V2Tone")).alias("tone"), parse_scores(c("GCAM")).alias("scores"), F.lit(1).alias("num_articles"),
+        _texts(newer("Themes"), themes).alias("themes"), _first(parse_locations(newer("Locations")), places).alias("locations"),
+        _texts(newer("Persons"), persons).alias("persons"), _texts(newer("Organizations"), organizations).alias("organizations"),
+        parse_tone(c("V2Tone")).alias("tone"), parse_scores(c("GCAM"), scores).alias("scores"), F.lit(1).alias("num_articles"),
     )
 
 
@@ -65,8 +105,8 @@ def conflicts(raw: DataFrame) -> DataFrame:
 
 
 def _kind(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(t.isin("individual", "person", "p"), "person").when(t.isin("entity", "enterprise", "e", "organization"), "organization").when(t.isin("vessel", "aircraft"), "vessel").otherwise("unknown")
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(t.isin("individual", "p") | t.contains("person"), "person").when(t.isin("entity", "enterprise", "e", "organization"), "organization").when(t.isin("vessel", "aircraft"), "vessel").otherwise("unknown")
 
 
 def _entity(list_name: str, uid: Column, name: Column, aliases: Column, kind: Column, country: Column, programs: Column, born: Column) -> list[Column]:
@@ -91,11 +131,19 @@ def sanctions_ofac(raw: DataFrame) -> DataFrame:
 
 
 def sanctions_eu(raw: DataFrame) -> DataFrame:
+    """Entities by their first name that is given; those without any go. Fields stand as attributes or as texts."""
     c = F.col
-    names = F.transform("nameAlias", lambda a: F.coalesce(F.when(a["_wholeName"] != "", a["_wholeName"]), a["_lastName"]))
-    country = F.get(F.transform("citizenship", lambda x: x["_countryDescription"]), F.lit(0))
-    uid = F.coalesce("_euReferenceNumber", "_logicalId")
-    return raw.select(*_entity("EU", uid, F.get(names, F.lit(0)), F.slice(names, 2, 1000), _kind(c("subjectType._classificationCode")), country, F.array_compact(F.array("regulation._programme")), F.lit(None).cast("date")))
+    given = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    names = F.filter(F.transform("nameAlias", lambda a: F.coalesce(given(a["_wholeName"]), given(a["_lastName"]))), lambda n: n.isNotNull())
+    texts = lambda column: F.filter(F.coalesce(c(column), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    country = F.coalesce(F.get(F.filter(F.transform("citizenship", lambda x: given(x["_countryDescription"])), lambda x: x.isNotNull()), F.lit(0)), F.trim(F.get(texts("countryDescription"), F.lit(0))))
+    programs = F.array_distinct(F.concat(F.array_compact(F.array("regulation._programme")), F.transform(texts("programme"), lambda x: F.trim(x))))
+    # who is no person is an organisation
+    kind = F.coalesce(given(c("subjectType._classificationCode")), given(c("subjectType._VALUE")))
+    kind = F.when(_kind(kind) == "unknown", "organization").otherwise(_kind(kind))
+    uid = F.coalesce("_euReferenceNumber", "_logicalId", F.get(names, F.lit(0)))
+    rows = raw.where(F.size(names) > 0)
+    return rows.select(*_entity("EU", uid, F.get(names, F.lit(0)), F.slice(names, F.lit(2), F.greatest(F.lit(0), F.size(names) - 1)), kind, country, programs, F.lit(None).cast("date")))
 
 
 def sanctions_un(persons: DataFrame, entities: DataFrame) -> DataFrame:
@@ -107,6 +155,12 @@ def sanctions_un(persons: DataFrame, entities: DataFrame) -> DataFrame:
     return p.unionByName(e)
 
 
+def sanctions(ofac: DataFrame, eu: DataFrame, un: tuple[DataFrame, DataFrame], as_of: str) -> DataFrame:
+    """The three lists as one table; first_seen is this run's time, which an upsert that keeps it holds on to."""
+    lists = sanctions_ofac(ofac).unionByName(sanctions_eu(eu)).unionByName(sanctions_un(*un))
+    return lists.withColumn("first_seen", F.lit(as_of).cast("timestamp_ntz"))
+
+
 def threats(raw: DataFrame, since: str | None = None) -> DataFrame:
     from confluo.sources.feeds import names_of
 
@@ -117,6 +171,7 @@ def threats(raw: DataFrame, since: str | None = None) -> DataFrame:
         names_of(c("objectLabel"), "value").alias("labels"), F.upper(F.get(names_of(c("countryOfOrigin"), "name"), F.lit(0))).alias("country"),
         F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce(at("first_seen"), at("created")).alias("first_seen"),
         F.coalesce(at("last_seen"), at("modified")).alias("last_seen"), at("modified").alias("modified"), "pattern",
+        F.filter(F.transform(F.coalesce("killChainPhases", F.array()), lambda k: F.coalesce(k["phase_name"], k["kill_chain_name"])), lambda x: x != "").alias("kill_chain_phases"),
     )
     return out if since is None else out.where(F.coalesce("modified", "first_seen") >= F.lit(since).cast("timestamp"))
 
@@ -162,8 +217,10 @@ def spending(raw: DataFrame) -> DataFrame:
     ).where((F.col("year") > 0) & (F.coalesce("country", F.lit("")) != ""))
 
 
-def markets_a(raw: DataFrame) -> DataFrame:
+def markets_a(raw: DataFrame, countries: tuple[str, ...] = (), aliases: dict[str, str] | None = None, keywords: int | None = None) -> DataFrame:
+    """Markets of the first kind; countries are those that question or description name of the given ones."""
     c = F.col
+    named = mentioned(F.concat_ws(" ", "question", "title", "description"), countries, aliases) if countries else F.array().cast("array<string>")
     key = F.coalesce(F.when(c("condition_id") != "", c("condition_id")), c("id"))
     question = F.coalesce(F.when(c("question") != "", c("question")), c("title"), F.lit(""))
     side = lambda name: F.get(F.filter("tokens", lambda t: F.lower(t["outcome"]) == name), F.lit(0))["price"].try_cast("double")
@@ -172,7 +229,8 @@ def markets_a(raw: DataFrame) -> DataFrame:
         F.concat(F.lit("polymarket_"), surrogate_id(F.coalesce(key, question), length=16)).alias("case_id"), key.alias("market_id"), question.alias("question"),
         F.round(F.coalesce(side("yes"), quoted["yes"]), 4).alias("yes_price"), F.round(F.coalesce(side("no"), quoted["no"]), 4).alias("no_price"),
         safe_double(c("volume")).alias("volume"), safe_double(c("liquidity")).alias("liquidity"), F.when(c("active") & ~F.coalesce("closed", F.lit(False)), "active").otherwise("closed").alias("status"),
-        F.slice(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), 1, 20).alias("keywords"),
+        _first(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), keywords).alias("keywords"), named.alias("countries_involved"),
+        c("created_at").try_cast("timestamp").alias("created"), c("end_date").try_cast("timestamp").alias("closes"),
     )
 
 
@@ -192,11 +250,20 @@ def markets_c(raw: DataFrame) -> DataFrame:
     )
 
 
-def is_market_relevant(text: Column, words: str, context: str, orgs: Column, countries: Column, excluded: str) -> Column:
-    """A conflict word with a country or organisation, two countries, or an organisation with a context word."""
+def is_market_relevant(text: Column, tags: Column, countries: Column, words: tuple[str, ...], context: tuple[str, ...], orgs: tuple[str, ...], excluded: str, excluded_tags: tuple[str, ...]) -> Column:
+    """A strong word with a country or organisation, two countries, or an organisation with a context word; never with an
+    excluded tag or pattern. Words and names count as whole words."""
     t = F.lower(text)
-    named = F.size(orgs) > 0
-    return ~t.rlike(excluded) & ((t.rlike(words) & ((F.size(countries) > 0) | named)) | (F.size(countries) >= 2) | (named & t.rlike(context)))
+    barred = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.lower(x).isin(*excluded_tags)) | t.rlike(excluded)
+    org = t.rlike(any_word(orgs))
+    return ~barred & ((t.rlike(any_word(words)) & ((F.size(countries) > 0) | org)) | (F.size(countries) >= 2) | (org & t.rlike(any_word(context))))
+
+
+def names_relevant(question: Column, keywords: tuple[str, ...], names: tuple[str, ...], excluded: tuple[str, ...]) -> Column:
+    """A keyword anywhere, or countries named twice or more, repeats included; never with an excluded text."""
+    t = F.lower(question)
+    mentions = F.size(F.regexp_extract_all(t, F.lit(any_word([n.lower() for n in names])), F.lit(0)))
+    return ~t.rlike(any_word(excluded, whole=False)) & (t.rlike(any_word(keywords, whole=False)) | (mentions >= 2))
 
 
 def articles(raw: DataFrame, keywords: tuple[str, ...] = ARTICLE_KEYWORDS) -> DataFrame:

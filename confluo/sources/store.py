@@ -13,7 +13,8 @@ from confluo.operators.core import only_new, upsert, with_month
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None) -> None:
@@ -28,31 +29,46 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def upsert_table(incoming: DataFrame, path: str, keys: list[str], newest_first: list[str], at: str = "date", as_of: str = "1970-01-01") -> None:
-    """Upsert by key into a table in folders by month, rewriting only the months that incoming rows touch.
+def upsert_table(incoming: DataFrame, path: str, keys: list[str], newest_first: list[str], at: str = "date", as_of: str = "1970-01-01", keep: tuple[str, ...] = ()) -> None:
+    """Upsert by key into a table in folders by month, rewriting only the months that change.
 
-    A key belongs to the month of its date. Merged months go to a staging folder first, so nothing is overwritten while
-    it is read, and running the same upsert again changes nothing.
+    A key belongs to the month of its newest row and stands in no other, so a key whose date moved leaves its old month:
+    months touched are those of incoming rows and those that hold incoming keys. Columns in keep stay as they were first
+    stored (such as the time at which a key was first seen). Merged months go to a staging folder first, so nothing is
+    overwritten while it is read; a month left without rows is deleted. The same upsert again changes nothing.
     """
     spark = incoming.sparkSession
     routed = with_month(incoming, at, as_of)
     order = [F.desc(c) for c in newest_first]
-    if not _exists(spark, path):
-        upsert(routed.limit(0), routed, keys, *order).write.partitionBy("month").parquet(path)
+    if not _exists(spark, f"{path}/month=*"):  # nothing but an empty table, if at all
+        upsert(routed.limit(0), routed, keys, *order).write.mode("append").partitionBy("month").parquet(path)
         return
-    touched = routed.select("month").distinct()
     stored = spark.read.option("basePath", path).parquet(path).withColumn("month", F.col("month").cast("string"))
+    held = stored.join(routed.select(*keys).distinct(), keys, "left_semi")  # keys and months alone are read for this
+    touched = routed.select("month").union(held.select("month")).distinct()
     old = stored.join(touched, "month", "left_semi")
+    if keep:  # what a known key was first stored with
+        first = held.select(*keys, *[F.col(c).alias(f"_first_{c}") for c in keep])
+        routed = routed.join(first, keys, "left").withColumns({c: F.coalesce(f"_first_{c}", c) for c in keep}).drop(*[f"_first_{c}" for c in keep])
+    months = [r["month"] for r in touched.collect()]  # one row a calendar month
     staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
     upsert(old, routed, keys, *order).write.partitionBy("month").parquet(staging)
-    merged = spark.read.option("basePath", staging).parquet(staging)
+    merged = spark.read.option("basePath", staging).parquet(staging).withColumn("month", F.col("month").cast("string"))
+    left = {r["month"] for r in merged.select("month").distinct().collect()}
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    for month in set(months) - left:
+        _delete(spark, f"{path}/month={month}")
+    _delete(spark, staging)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def append_new(incoming: DataFrame, path: str, keys: list[str]) -> None:
     """Append rows whose key the table does not hold."""
     spark = incoming.sparkSession
-    fresh = only_new(incoming, spark.read.parquet(path), keys) if _exists(spark, path) else incoming.dropDuplicates(keys)
+    stored = spark.read.parquet(path) if _exists(spark, path) else incoming.limit(0)
+    fresh = only_new(incoming, stored, keys)
     fresh.write.mode("append").parquet(path)
