@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session that names none, as in tests, gets a folder of its own.
+    Only a local session that names none, as in tests, gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="confluo-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,12 +48,23 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SIEVE_BITS = 24
+
+
+def sieved(rows: DataFrame, keys: DataFrame, *columns: str, name: str) -> DataFrame:
+    """rows with a boolean column: false only where the columns' values stand in no row of keys.
+
+    A table of 1 << SIEVE_BITS bits, one for each hash, is broadcast: at most 1 << (SIEVE_BITS - 6) rows of two numbers,
+    whatever the size of keys. The more keys, the more rows are true by chance; a join that follows settles them.
+    """
+    slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(1 << SIEVE_BITS))
+    places = keys.select(slot.alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), (F.col("_slot") % 64).cast("int").alias("_bit"))
+    table = places.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
+    marked = rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(table), "_word", "left")
+    return marked.withColumn(name, F.coalesce(F.expr("getbit(_mask, CAST(_slot % 64 AS INT))") == 1, F.lit(False))).drop("_slot", "_word", "_mask")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns whose names an operator is about to add (an operator's own columns win)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A to Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

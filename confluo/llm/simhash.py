@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.common import drop_stored, stored, without
+from confluo.llm.common import drop_stored, sieved, stored, without
 
 CHUNK = 4096
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -262,10 +262,16 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", groupe
     first text hash, and of these of the first hash of all columns; rows equal in all columns are interchangeable."""
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
     key = [F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.xxhash64(*hashed).alias("_row")]
-    found = grouped(docs.select(*key, F.col(f"`{text}`").alias("text")), id_col="_id")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_hash", "_row")).alias("s")).select("s._id", "s._hash", "s._row")
     # keys without nulls, so that the join and the search for repeated rows share one exchange of the texts
-    safe = [F.col("_id").isNull().alias("_null"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_hash", "_row"]
+    safe = [F.col("_id").isNull().alias("_null"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name")]
     names = ["_null", "_name", "_hash", "_row"]
-    tagged = docs.select("*", *key).select("*", *safe[:2])
-    return tagged.join(first.select(*safe), names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = stored(grouped(docs.select(*key, F.col(f"`{text}`").alias("text")), id_col="_id").select("component", "_id", "_hash", "_row", *safe), "keep-found")
+    groups = found.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("_null", "_id", "_hash", "_row", "_name")).alias("s")).where("n > 1")
+    groups = stored(groups, "keep-groups")
+    together = found.join(groups.select("component"), "component", "left_semi").select(*names).distinct()
+    gone = together.join(groups.select("s._null", "s._name", "s._hash", "s._row"), names, "left_anti")
+    # rows that are alone in their component stay where they are; of the others the first stays, once
+    tagged = sieved(docs.select("*", *key).select("*", *safe), together, *names, name="_maybe")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    firsts = tagged.where("_maybe").join(gone, names, "left_anti").dropDuplicates(names)
+    return tagged.where("NOT _maybe").select(*columns).union(firsts.select(*columns))
