@@ -6,15 +6,18 @@
    ties), and equal strings hold it at the same place. Consecutive starts with the same anchor are one run. Anchor
    hashes are counted over all documents by Spark; only runs whose anchor stands twice somewhere go on.
 2. Contexts. The text of a run, its starts and the length - 1 bytes after the last, goes to the task of its anchor
-   hash, where equal contexts are one entry with all their places.
+   hash, where equal contexts are one entry with all their places. An anchor with over HOT runs goes to several tasks,
+   by document and place, so no task holds more than about HOT runs of one anchor, however many documents have it.
 3. Interval expansion. Per batch of anchors, the entries are joined by separators, sorted by prefix doubling into a
    Burrows-Wheeler transform, and breadth-first backward extension yields the common-prefix values 0, 1, 2, ... of
    neighbouring suffixes in this order. It stops at `length`: suffixes between two boundaries then share at least that
-   much. Of each such class the earliest place stays; every later one is a span to remove.
-4. Spans return to their documents, are united there, and the text is cut.
+   much. Of each such class the earliest place stays; every later one is a span to remove. An anchor with one entry
+   has nothing to compare: the starts of a run are different strings, and its later places go.
+4. Of an anchor that several tasks share, each leaves the earliest place of every class with a 128-bit hash of its
+   string. Spark reduces these to the first place of each string; the others are spans as well.
+5. Spans return to their documents, are united there, and the text is cut.
 
-Order is by document id, then by offset. A class of anchors whose entries are too many for one transform is parted
-by the text that all strings of a few neighbouring starts share, down to single starts; nothing is dropped.
+Order is by document id, then by offset.
 
 Defined cases: a null text is empty, texts shorter than `length` bytes lose nothing; any length of text is searched
 whole; a null id sorts first; rows of one id are documents of their own, in the order of a hash of id and text, which
@@ -37,6 +40,7 @@ from confluo.llm.common import stored
 K = 24
 PIECE_BYTES = 1 << 20
 TRANSFORM_BYTES = 1_500_000
+HOT = 8192
 _SEPARATOR = 255  # no byte of UTF-8
 
 
@@ -179,17 +183,23 @@ def classes(text: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _spans(entries: list[tuple[bytes, int, np.ndarray]], docs: np.ndarray, places: np.ndarray, rank: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Entries (context, number of starts, places in docs and places) -> (doc, start, stop) to remove. rank orders places."""
-    text = np.frombuffer(b"".join(c + b"\xff" for c, _, _ in entries), np.uint8)
-    begin = np.cumsum([len(c) + 1 for c, _, _ in entries]) - [len(c) + 1 for c, _, _ in entries]
-    starts = np.array([n for _, n, _ in entries])
+Span = tuple[np.ndarray, np.ndarray, np.ndarray]  # documents, starts, stops
+First = tuple[bytes, int, int]  # string, document, start
+
+
+def _spans(entries: list[tuple[bytes, int, np.ndarray, bool]], docs: np.ndarray, places: np.ndarray, rank: np.ndarray, length: int) -> tuple[list[Span], list[First]]:
+    """Entries (context, number of starts, places in docs and places, shared) of some anchors -> spans to remove, and the
+    firsts of the classes of shared anchors. rank orders places."""
+    text = np.frombuffer(b"".join(c + b"\xff" for c, *_ in entries), np.uint8)
+    begin = np.cumsum([len(c) + 1 for c, *_ in entries]) - [len(c) + 1 for c, *_ in entries]
+    starts = np.array([n for _, n, *_ in entries])
     entry = np.repeat(np.arange(len(entries)), starts)
     inner = np.arange(len(entry)) - np.repeat(np.cumsum(starts) - starts, starts)
     own = classes(text, length)[np.repeat(begin, starts) + inner]
-    first = np.array([rank[at].min() for _, _, at in entries])
+    first = np.array([rank[at].min() for _, _, at, _ in entries])
     least = np.full(int(own.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, own, first[entry])
+    spans: list[Span] = []
     # of each entry's earliest place the starts go that stand earlier in another entry
     gone = np.flatnonzero(least[own] < first[entry])
     if len(gone):
@@ -198,80 +208,57 @@ def _spans(entries: list[tuple[bytes, int, np.ndarray]], docs: np.ndarray, place
         for i, x, y in zip(entry[a].tolist(), inner[a].tolist(), inner[b].tolist()):
             at = entries[i][2]
             keep = at[rank[at] == first[i]]
-            yield docs[keep], places[keep] + x, places[keep] + y + length
+            spans.append((docs[keep], places[keep] + x, places[keep] + y + length))
     # later places of an entry go whole
-    for i, (_, n, at) in enumerate(entries):
+    for i, (_, n, at, _) in enumerate(entries):
         later = at[rank[at] > first[i]]
         if len(later):
-            yield docs[later], places[later], places[later] + n - 1 + length
-
-
-def _parted(entries: list[tuple[bytes, int, int, np.ndarray]], length: int, step: int) -> Iterator[list[tuple[bytes, int, int, np.ndarray]]]:
-    """Entries (context, starts, anchor offset, places) of one anchor, parted by blocks of `step` starts at the same
-    distance from the anchor and by the bytes that all strings of a block share; only parts with a repetition."""
-    parts: dict[tuple[int, bytes], dict[tuple[bytes, int], list]] = defaultdict(lambda: defaultdict(list))
-    for context, n, offset, at in entries:
-        x = 0
-        while x < n:
-            block = (offset - x) // step
-            last = offset - block * step  # the block's last start, be it in this run or not
-            y = min(n, last + 1)
-            shared = context[last : last - step + 1 + length]
-            parts[(block, shared)][(context[x : y - 1 + length], y - x, offset - x)].append((x, at))
-            x = y
-    for part in parts.values():
-        found = [(c, n, o, [(x, at) for x, at in places]) for (c, n, o), places in part.items()]
-        if len(found) > 1 or sum(len(at) for _, at in found[0][3]) > 1:
-            yield found
-
-
-def process(rows: list[tuple[int, bytes, int, int, np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows (anchor hash, context, starts, anchor offset, docs, places) of whole anchors -> spans to remove."""
+            spans.append((docs[later], places[later], places[later] + n - 1 + length))
+    shared = np.array([x[3] for x in entries])
+    stay = np.flatnonzero((least[own] == first[entry]) & shared[entry])
+    firsts = []
+    for i, x in zip(entry[stay].tolist(), inner[stay].tolist()):
+        context, _, at, _ = entries[i]
+        k = at[rank[at].argmin()]
+        firsts.append((context[x : x + length], int(docs[k]), int(places[k]) + x))
+    return spans, firsts
+
+
+def process(rows: list[tuple[int, bytes, int, int, np.ndarray, np.ndarray, bool]], length: int) -> tuple[list[Span], list[First]]:
+    """Rows (anchor hash, context, starts, anchor offset, docs, places, shared) of whole anchors, or of a task's part of
+    shared ones -> spans to remove, and firsts."""
     docs, places = np.concatenate([r[4] for r in rows]), np.concatenate([r[5] for r in rows])
     anchors = places + np.repeat([r[3] for r in rows], [len(r[4]) for r in rows])
     by = np.lexsort((anchors, docs))
     new = np.concatenate([[True], (docs[by][1:] != docs[by][:-1]) | (anchors[by][1:] != anchors[by][:-1])])
     rank = np.empty(len(docs), np.int64)
     rank[by] = np.cumsum(new)
-    merged: dict[tuple[int, bytes, int, int], list] = defaultdict(list)
+    merged: dict[tuple[int, bytes, int, int, bool], list] = defaultdict(list)
     n = 0
-    for key, context, starts, offset, d, _ in rows:
-        merged[(key, context, starts, offset)].append(np.arange(n, n + len(d)))
+    for key, context, starts, offset, d, _, shared in rows:
+        merged[(key, context, starts, offset, shared)].append(np.arange(n, n + len(d)))
         n += len(d)
-    entries = [(k, c, s, o, np.concatenate(at) if len(at) > 1 else at[0]) for (k, c, s, o), at in merged.items()]
-    if sum(len(e[1]) + 1 for e in entries) <= 2 * TRANSFORM_BYTES:
-        yield from _spans([(c, s, at) for _, c, s, _, at in entries], docs, places, rank, length)
-        return
-    # one anchor with more entries than a transform takes
-    step = 8
     by_anchor: dict[int, list] = defaultdict(list)
-    for key, c, s, o, at in entries:
-        by_anchor[key].append((c, s, o, at))
-    for group in by_anchor.values():
-        for part in _parted(group, length, step):
-            flat, extra_docs, extra_places, extra_rank = [], [], [], []
-            n = 0
-            for c, s, o, found in part:
-                at = np.concatenate([a for _, a in found])
-                move = np.repeat([x for x, _ in found], [len(a) for _, a in found])
-                flat.append((c, s, np.arange(n, n + len(at))))
-                extra_docs.append(docs[at])
-                extra_places.append(places[at] + move)
-                extra_rank.append(rank[at])
-                n += len(at)
-            d, p, r = np.concatenate(extra_docs), np.concatenate(extra_places), np.concatenate(extra_rank)
-            if sum(len(c) + 1 for c, _, _ in flat) <= 2 * TRANSFORM_BYTES:
-                yield from _spans(flat, d, p, r, length)
-            else:  # down to single starts, whose parts hold one string each
-                singles: dict[bytes, list] = defaultdict(list)
-                for (c, s, at), (_, _, o, _) in zip(flat, part):
-                    for x in range(s):
-                        singles[(o - x, c[x : x + length])].append((x, at))
-                for (_, c), found in singles.items():
-                    at = np.concatenate([a for _, a in found])
-                    move = np.repeat([x for x, _ in found], [len(a) for _, a in found])
-                    if len(at) > 1:
-                        yield from _spans([(c, 1, np.arange(len(at)))], d[at], p[at] + move, r[at], length)
+    for (key, context, starts, _, shared), at in merged.items():
+        by_anchor[key].append((context, starts, np.concatenate(at) if len(at) > 1 else at[0], shared))
+    spans, firsts, mixed = [], [], []
+    for found in by_anchor.values():
+        if len(found) > 1:
+            mixed += found
+            continue
+        ((context, starts, at, shared),) = found
+        first = rank[at].min()
+        later = at[rank[at] > first]
+        if len(later):
+            spans.append((docs[later], places[later], places[later] + starts - 1 + length))
+        if shared:
+            k = at[rank[at].argmin()]
+            firsts += [(context[x : x + length], int(docs[k]), int(places[k]) + x) for x in range(starts)]
+    if mixed:
+        more, others = _spans(mixed, docs, places, rank, length)
+        spans += more
+        firsts += others
+    return spans, firsts
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -304,10 +291,14 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
             wanted = batch.column(3)
             sizes = np.diff(wanted.offsets.to_numpy())
             text, start, n, place, hashed = runs(raw, length, k)
-            hit = _in_lists(text, hashed, np.repeat(np.arange(len(raw)), sizes), wanted.flatten().to_numpy())
-            held: dict[tuple[int, bytes, int, int], tuple[list, list, list]] = {}
+            listed, of, parts = np.repeat(np.arange(len(raw)), sizes), wanted.flatten().field(0).to_numpy(), wanted.flatten().field(1).to_numpy()
+            hit = _in_lists(text, hashed, listed, of)
+            dealt = {(t, h): m for t, h, m in zip(listed[parts > 1].tolist(), of[parts > 1].tolist(), parts[parts > 1].tolist())}
+            held: dict[tuple[int, int, bool, bytes, int, int], tuple[list, list, list]] = {}
             for t, s, m, p, h in zip(text[hit].tolist(), start[hit].tolist(), n[hit].tolist(), place[hit].tolist(), hashed[hit].tolist()):
-                found = held.setdefault((h, raw[t][s : s + m - 1 + length], m, p - s), ([], [], []))
+                many = dealt.get((t, h), 1)
+                part = (int(ids[t]) + (p >> 16) * 0x9E3779B1) % many if many > 1 else 0
+                found = held.setdefault((h, part, many > 1, raw[t][s : s + m - 1 + length], m, p - s), ([], [], []))
                 found[0].append(ids[t])
                 found[1].append(own[t])
                 found[2].append(s)
@@ -317,52 +308,68 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                 offsets = pa.array(np.cumsum([0, *[len(held[x][0]) for x in part]]), pa.int32())
                 yield pa.record_batch(
                     [
-                        pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int32()), pa.array([x[3] for x in part], pa.int32()),
+                        *[pa.array([x[i] for x in part], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()))],
                         pa.ListArray.from_arrays(offsets, pa.array([r for x in part for r in held[x][0]], pa.int64())),
                         pa.ListArray.from_arrays(offsets, pa.array([d for x in part for d in held[x][1]], pa.int64())),
                         pa.ListArray.from_arrays(offsets, pa.array([s for x in part for s in held[x][2]], pa.int32())),
                     ],
-                    names=["anchor", "context", "starts", "offset", "rows", "docs", "places"],
+                    names=["anchor", "part", "shared", "context", "starts", "offset", "rows", "docs", "places"],
                 )
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
+        from xxhash import xxh3_128_digest
+
+        names = ["row", "start", "stop", "doc", "high", "low"]
+        held: list = []
         size = 0
 
         def flush(ready: list) -> Iterator[pa.RecordBatch]:
             if not ready:
                 return
             # rows are numbered in the order of their documents
-            rows, docs = np.concatenate([x[4] for x in ready]), np.concatenate([x[5] for x in ready])
+            rows, docs = np.concatenate([x[5] for x in ready]), np.concatenate([x[6] for x in ready])
             by = np.lexsort((rows, docs))
             code = np.empty(len(by), np.int64)
             code[by] = np.cumsum(np.concatenate([[False], (docs[by][1:] != docs[by][:-1]) | (rows[by][1:] != rows[by][:-1])]))
-            row_of = np.empty(int(code.max()) + 1, np.int64)
-            row_of[code] = rows
-            codes = np.split(code, np.cumsum([len(x[4]) for x in ready])[:-1])
-            found = list(process([(*x[:4], c, x[6]) for x, c in zip(ready, codes)], length))
-            if found:
-                d, a, b = (np.concatenate(x) for x in zip(*found))
+            row_of, doc_of = np.empty(int(code.max()) + 1, np.int64), np.empty(int(code.max()) + 1, np.int64)
+            row_of[code], doc_of[code] = rows, docs
+            codes = np.split(code, np.cumsum([len(x[5]) for x in ready])[:-1])
+            spans, firsts = process([(x[0], x[2], x[3], x[4], c, x[7], x[1]) for x, c in zip(ready, codes)], length)
+            if spans:
+                d, a, b = (np.concatenate(x) for x in zip(*spans))
                 by = np.lexsort((b, a, d))
                 d, a, b = d[by], a[by], b[by]
-                yield pa.record_batch([pa.array(row_of[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["row", "start", "stop"])
-
+                empty = pa.nulls(len(d), pa.int64())
+                yield pa.record_batch([pa.array(row_of[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), empty, empty, empty], names=names)
+            if firsts:
+                d, a = np.array([x[1] for x in firsts]), np.array([x[2] for x in firsts], np.int32)
+                halves = np.frombuffer(b"".join(xxh3_128_digest(x[0]) for x in firsts), "<i8").reshape(-1, 2)
+                yield pa.record_batch([pa.array(row_of[d]), pa.array(a), pa.array(a + np.int32(length)), pa.array(doc_of[d]), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=names)
+
+        group = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), *batch.columns[4:]):
-                if size >= TRANSFORM_BYTES and row[0] != rows[-1][0]:
-                    yield from flush(rows)
-                    rows, size = [], 0
-                rows.append((*row[:4], row[4].values.to_numpy(), row[5].values.to_numpy(), row[6].values.to_numpy().astype(np.int64)))
-                size += len(row[1]) + 1 if len(rows) < 2 or row[1] != rows[-2][1] else 0
-        yield from flush(rows)
+            for row in zip(*(c.to_pylist() for c in batch.columns[:6]), *batch.columns[6:]):
+                if size >= TRANSFORM_BYTES and row[:2] != group:
+                    yield from flush(held)
+                    held, size = [], 0
+                group = row[:2]
+                context = row[3]
+                size += len(context) + 1 if not held or context != held[-1][2] else 0
+                held.append((row[0], row[2], *row[3:6], row[6].values.to_numpy(), row[7].values.to_numpy(), row[8].values.to_numpy().astype(np.int64)))
+        yield from flush(held)
 
     grams = docs.join(copies, "row", "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, times int")
-    often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    marked = grams.select("anchor", "row").join(often, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    marked = grams.select("anchor", "row").join(often, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
     found = docs.join(marked, "row").select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
-    found = found.mapInArrow(contexts, "anchor long, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
-    found = found.repartition("anchor").sortWithinPartitions("anchor", "context")
-    return found.mapInArrow(remove, "row long, start int, stop int")
+    found = found.mapInArrow(contexts, "anchor long, part int, shared boolean, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
+    found = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context")
+    out = stored(found.mapInArrow(remove, "row long, start int, stop int, doc long, high long, low long"), "suffix-spans")
+    # strings that several tasks have seen: all places but the first of each
+    firsts = out.where("high IS NOT NULL")
+    least = firsts.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "start")).alias("least")).where("n > 1")
+    again = firsts.join(least, ["high", "low"]).where(F.struct("doc", "row", "start") != F.col("least"))
+    return out.where("high IS NULL").select("row", "start", "stop").union(again.select("row", "start", "stop"))
 
 
 def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_hash: np.ndarray) -> np.ndarray:
