@@ -1,17 +1,20 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound, shared kth scores.
 
-Vectors are dealt into shards by a hash of their id, queries into blocks; a task searches one block in one shard. It
-builds a ball tree over the shard, bounds a node's scores by query . centre + |query| * radius, and visits leaves in
-descending order of that bound until it falls below the query's current kth score. Each query is searched in one home
-shard first; the kth score found there is the floor it carries to all other shards, where most nodes then fall at once.
+Vectors are dealt to cells, each to the nearest of at most CENTRES vectors, and large cells to several shards. The
+centres are chosen far from each other among DRAWN times as many vectors, drawn by a hash of the id. A task searches one block of queries in one shard: it builds a ball tree over the shard, bounds a node's
+scores by query . centre + |query| * radius, and visits leaves in descending order of that bound until it falls below
+the query's current kth score. Each query is searched first in a shard of the cell whose bound is highest; the kth score
+found there is the floor it carries to all others. Cells are balls too, so a query goes only to those whose bound
+reaches its floor, and a shard only to blocks with such a query; what is ruled out is never shuffled. Vectors spread
+evenly rule out little; then every query meets every shard, as an exact answer needs.
 
 Scores are integers: components are floor(scale * x), and products are summed exactly.
 
 Defined cases: rows whose vector is null or holds a null or non-finite component, and rows without an id, take no
 part; vectors of another length than the query's are no candidates of it; of several query rows of one id that of the
 smallest vector asks; a query never finds rows of its own id; repeated candidate rows are found once each; ties go to
-the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty table; other columns are not
-carried. Sums beyond 64 bits are not defined.
+the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty table; other columns, whatever
+their names, are not carried. Sums beyond 64 bits are not defined.
 """
 
 from __future__ import annotations
@@ -26,25 +29,88 @@ from pyspark.sql import functions as F
 from confluo.llm.common import stored
 
 LEAF = 32
+CENTRES, DRAWN = 256, 8
+Cells = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by dimension: cell numbers, centres, radii
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(id, dim, vec) with vec as little-endian 64-bit integers; only rows that take part."""
+def _integers(values: np.ndarray, scale: float) -> np.ndarray:
+    return np.floor(scale * values.astype(np.float64)).astype("<i8")
+
+
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """values cut at offsets, as one binary each."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which centre is nearest to each row, and a bound of how far it is."""
+    best = (x @ (-2 * centres.T) + (centres**2).sum(axis=1)).argmin(axis=1)
+    away = np.sqrt(((x - centres[best]) ** 2).sum(axis=1))
+    return best, away * (1 + 1e-9) + 1e-9
+
+
+def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """n rows of x, each the farthest from those before it; fewer, if no others differ."""
+    chosen, away = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def dealt(vectors: DataFrame, cells: Cells, scale: float) -> DataFrame:
+    """(id, v) -> (id, dim, vec, cell, away) of rows that take part: integers as little-endian 64-bit numbers, the cell
+    (-1 where no centre has the length) and the distance from its centre."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)[offsets[0] : offsets[-1]]  # nulls are NaN
+            offsets = offsets - offsets[0]
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            good = (bad[offsets[1:]] == bad[offsets[:-1]]) & lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            whole = _integers(np.where(np.isfinite(values), values, 0.0), scale)
+            dims, cell, away = np.diff(offsets), np.full(len(good), -1), np.zeros(len(good))
+            for dim, (numbers, centres, _) in cells.items():
+                own = np.flatnonzero(good & (dims == dim))
+                if len(own):
+                    x = whole[(offsets[own][:, None] + np.arange(dim)).ravel()].reshape(len(own), dim).astype(np.float64)
+                    best, away[own] = _nearest(x, centres)
+                    cell[own] = numbers[best]
+            columns = [batch.column(0), pa.array(dims.astype(np.int32)), _binary(whole, offsets), pa.array(cell.astype(np.int32)), pa.array(away)]
+            yield pa.record_batch([c.filter(pa.array(good)) for c in columns], names=["id", "dim", "vec", "cell", "away"])
+
+    return vectors.mapInArrow(run, "id long, dim int, vec binary, cell int, away double")
+
+
+def reached(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
+    """queries (query_id, dim, vec, floor, ...) with cell: only the one of the highest bound, or every one whose bound
+    reaches the floor."""
+    names = [*queries.columns, "cell"]
+    at = {c: i for i, c in enumerate(queries.columns)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, vecs = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i is None or not x.is_valid or x.values.null_count:
+            dims, floor = batch.column(at["dim"]).to_numpy(), batch.column(at["floor"]).to_numpy()
+            rows, found = [], []
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                if dim not in cells:
+                    rows.append(own)
+                    found.append(np.full(len(own), -1))
                     continue
-                x = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    dims.append(len(x))
-                    vecs.append(np.floor(scale * x).astype("<i8").tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["id", "dim", "vec"])
+                numbers, centres, radii = cells[dim]
+                q = _matrix(batch.column(at["vec"]).take(pa.array(own)), dim).astype(np.float64)
+                near, norms = q @ centres.T, np.sqrt((q**2).sum(axis=1))[:, None]
+                bound = near + norms * radii + 1e-9 * (1 + np.abs(near) + norms * (radii + np.sqrt((centres**2).sum(axis=1))))
+                who, which = (np.arange(len(own)), bound.argmax(axis=1)) if first else np.nonzero(bound >= floor[own][:, None])
+                rows.append(own[who])
+                found.append(numbers[which])
+            index = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.record_batch([*[c.take(index) for c in batch.columns], pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))], names=names)
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "id long, dim int, vec binary")
+    return queries.mapInArrow(run, queries.withColumn("cell", F.lit(0)).schema)
 
 
 class BallTree:
@@ -89,7 +155,7 @@ class BallTree:
 
 def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row of x, score) of each query's k best rows that reach its floor."""
-    exact = np.abs(x).max(initial=0.0) * np.abs(queries).max(initial=0.0) * max(1, x.shape[1]) < 2.0**53
+    exact = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, x.shape[1]) < 2.0**53
     tree = BallTree(x.astype(np.float64))
     points = tree.x if exact else x
     q = queries.astype(np.float64)
@@ -154,12 +220,13 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     return found[0], rows[found], best[found]
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), dim)
 
 
-def _search_groups(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """candidates (dim, shard, block, id, vec), queries (dim, shard, block, query_id, vec, floor) -> best rows."""
+def _search_groups(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """data (dim, cell, part, id, vec), queries (dim, cell, part, block, query_id, vec, floor) -> best rows of each block
+    in each shard that it asks."""
     names = ["query_id", "vec_id", "score"]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
@@ -171,8 +238,11 @@ def _search_groups(candidates: DataFrame, queries: DataFrame, k: int) -> DataFra
         who, at, score = search(_matrix(rows.column("vec"), dim), ids, _matrix(asked.column("vec"), dim), query_ids, k, asked.column("floor").to_numpy())
         return pa.table([query_ids[who], ids[at], score], schema=schema)
 
-    key = ["dim", "shard", "block"]
-    return candidates.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score long")
+    shard = ["dim", "cell", "part"]
+    key = [*shard, "block"]
+    wanted = stored(queries.select(*key).distinct(), "topk-wanted")
+    candidates = data.join(wanted, shard).select(*key, "id", "vec")
+    return candidates.groupBy(*key).cogroup(queries.select(*key, "query_id", "vec", "floor").groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -180,21 +250,40 @@ def top_k(
     shards: int = 64, least_rows: int = 1024, most_bytes: int = 32 << 20, block_rows: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each row for which is_query, a condition on id, holds."""
-    data = stored(quantised(vectors, id_col, vec_col, scale), "topk-vectors")
-    counts = data.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.count_if(is_query).alias("q")).first()
+    raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("v"))
+    counts = raw.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     rows = max(least_rows, min(-(-counts["n"] // shards), most_bytes // (8 * max(1, counts["dim"] or 1))))
-    n_shards, blocks = max(1, -(-counts["n"] // rows)), max(1, -(-counts["q"] // block_rows))
-    data = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int"))
-    candidates = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = data.where(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("dim", "vec")).alias("v"))
-    asked = asked.select(
-        "query_id", "v.*", F.pmod(F.xxhash64("query_id"), F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)).cast("int").alias("block")
-    )
+    n_centres = max(1, min(CENTRES, counts["n"] // rows))
+    drawn = raw.where("id IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(DRAWN * n_centres).collect()
+    usable = [r["v"] for r in drawn if None not in r["v"] and np.isfinite(r["v"]).all()]
+    cells: Cells = {}
+    for dim in sorted({len(v) for v in usable}):
+        own = [v for v in usable if len(v) == dim]
+        centres = _far_apart(_integers(np.array(own), scale).astype(np.float64), max(1, n_centres * len(own) // len(usable)))
+        cells[dim] = np.arange(len(centres)), centres, np.zeros(0)
+    data = stored(dealt(raw, cells, scale), "topk-vectors")
+    sizes = data.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"), F.max("away").alias("radius"))
+    sizes = stored(sizes, "topk-cells")
+    # at most CENTRES rows; a cell that nobody is nearest to is not asked
+    known = {(r["dim"], r["cell"]): r["radius"] for r in sizes.where("cell >= 0").collect()}
+    for dim, (numbers, centres, _) in cells.items():
+        used = np.array([n for n in numbers.tolist() if (dim, n) in known], np.int64)
+        cells[dim] = used, centres[used], np.array([known[dim, n] for n in used.tolist()])
+    parts = sizes.select("dim", "cell", "parts")
+    data = data.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     low = F.lit(-(1 << 63))
-    home = stored(_search_groups(candidates, asked.withColumn("floor", low), k), "topk-home")
+    asked = data.where(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("dim", "vec")).alias("v")).select("query_id", "v.*")
+    # a block holds queries of one home cell, so that they ask about the same shards
+    asked = reached(asked.withColumn("floor", low), cells, True).join(parts, ["dim", "cell"])
+    crowd = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    block = (F.col("cell") + 1) * F.lit(1 << 32) + F.pmod(F.xxhash64("query_id", F.lit(5)), F.col("blocks"))
+    asked = asked.join(crowd, ["dim", "cell"]).withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts", "blocks")
+    asked = stored(asked, "topk-queries")
+    home = stored(_search_groups(data, asked, k), "topk-home")
     floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))
-    away = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", low)).withColumn("home", F.col("shard"))
-    away = away.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where("shard <> home").drop("home")
-    found = home.union(_search_groups(candidates, away, k))
+    away = asked.withColumnsRenamed({"cell": "home", "part": "seat"}).drop("floor").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", low))
+    away = reached(away, cells, False).join(parts, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    away = stored(away.where("cell <> home OR part <> seat").drop("home", "seat", "parts"), "topk-away")
+    found = home.union(_search_groups(data, away, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
