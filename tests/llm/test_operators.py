@@ -81,10 +81,15 @@ def test_pii_added_kinds_and_redaction(spark):
 
 def test_pii_needs_no_digit_and_stops_at_the_number(spark):
     rows = ["device aa:bb:cc:dd:ee:ff is here", "AT61 1904 3002 3457 3201 PAID", "AT611904300234573201 PAID", "AT61 1904 3002 3457 3201 paid", "xAT611904300234573201", "ZZ61 1904 3002 3457 3201"]
-    got = [pii.listed(F.col("spans")) for _ in (1,)]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
-    found = [r.l for r in pii.find(df).orderBy("doc_id").select(got[0].alias("l")).collect()]
+    found = [r.l for r in pii.find(df).orderBy("doc_id").select(pii.listed(F.col("spans")).alias("l")).collect()]
     assert found == ["mac:7:24", "iban:0:24", "iban:0:20", "iban:0:24", "", ""]
+    rng = random.Random(9)  # no kind is found in a text without what all texts must hold
+    free = ["".join(rng.choice("abcdefABCDEF+-./ ()_%") for _ in range(300)) for _ in range(200)]
+    needs = F.expr("false")
+    for _, pattern, *_ in pii.KINDS.values():
+        needs = needs | F.col("text").rlike(pattern)
+    assert spark.createDataFrame([(t,) for t in free], "text string").where(needs).isEmpty()
 
 
 # --- top-k -----------------------------------------------------------------------------------------------------------
@@ -108,6 +113,34 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_topk_of_clusters_asks_few_shards(spark, monkeypatch):
+    """Far clusters: a query goes to its own cells only. Columns of the operator's own names ride along unread."""
+    sent = []
+    groups = topk._search_groups
+    monkeypatch.setattr(topk, "_search_groups", lambda data, queries, k: sent.append(queries.count()) or groups(data, queries, k))
+    rng = np.random.default_rng(8)
+    middles = 40 * np.eye(12)
+    vectors = np.concatenate([m + rng.normal(size=(200, 12)) for m in middles])
+    rows = [(i, [float(x) for x in v], "x", 7, 7, 7) for i, v in enumerate(rng.permutation(vectors))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, dim int, cell int, score int")
+    got = {}
+    for r in topk.top_k(frame, F.col("id") % 100 == 0, shards=16, least_rows=50, block_rows=3).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    q = np.floor(1024 * np.array([r[1] for r in rows])).astype(int)
+    for i in range(0, len(rows), 100):
+        scores = q @ q[i]
+        want = sorted((-int(s), j) for j, s in enumerate(scores) if j != i)[:10]
+        assert sorted(got[i], key=lambda x: (-x[1], x[0])) == [(j, -s) for s, j in want]
+    assert sent[0] == 24 and sent[1] < 0.5 * 24 * 16
+
+
+def test_topk_of_sums_beyond_doubles(spark):
+    rows = [(0, [2.0**29 + 1 / 1024, 1 / 1024])] + [(i, [2.0**12, j / 1024]) for i, j in ((1, 5), (2, 9), (3, 9), (4, -3))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(frame, F.col("id") == 0).orderBy("rank").collect()]
+    assert got == [(i, (2**39 + 1) * 2**22 + j) for i, j in ((2, 9), (3, 9), (1, 5), (4, -3))]
+
+
 # --- learned models --------------------------------------------------------------------------------------------------
 
 
@@ -207,23 +240,30 @@ def test_suffix_dedup_equals_brute_force(spark, length, k):
         assert (gone == want[r.doc_id]).all() and r.n_removed == gone.sum() and r.kept == bytes(np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)[~gone])
 
 
-@pytest.mark.parametrize("most", [200, 1])
-def test_large_anchors_are_parted_exactly(monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "TRANSFORM_BYTES", most)
-    texts = {i: t or "" for i, t in _passages(9).items()}
-    ids = np.array(sorted(texts))
-    raw = [texts[i].encode() for i in ids]
-    by_anchor = {}
-    for t, s, n, p, h in zip(*(x.tolist() for x in suffix_dedup.runs(raw, 100))):
-        by_anchor.setdefault(h, {}).setdefault((raw[t][s : s + n - 1 + 100], n, p - s), []).append((ids[t], s))
-    gone = {i: np.zeros(len(texts[i].encode()), bool) for i in texts}
-    for h, found in by_anchor.items():
-        rows = [(h, c, n, o, np.array([d for d, _ in v]), np.array([s for _, s in v])) for (c, n, o), v in found.items()]
-        for d, a, b in suffix_dedup.process(rows, 100):
-            for x, y, z in zip(d, a, b):
-                gone[x][y:z] = True
+@pytest.mark.parametrize("hot,size", [(1, 1_500_000), (5, 300), (40, 1)])
+def test_anchors_shared_by_tasks_equal_brute_force(spark, monkeypatch, hot, size):
+    """A passage in every document, its anchors dealt to many tasks, and transforms of few entries."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "TRANSFORM_BYTES", size)
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = _passages(9) | {1000 + i: "".join(rng.choice("xyz") for _ in range(i % 40)) + line + str(i) for i in range(60)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want = _removed(texts, 100)
-    assert all((gone[i] == want[i]).all() for i in texts)
+    for r in suffix_dedup.deduplicate(frame).collect():
+        gone = np.zeros(r.n_bytes, bool)
+        for s in r.spans:
+            gone[s.start : s.stop] = True
+        assert (gone == want[r.doc_id]).all()
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of over 4 MB are searched in parts; one repeats a stretch across a part's edge, another itself."""
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 123, 4_300_000).astype(np.uint8).tobytes().decode()
+    texts = {1: raw, 2: raw[4_194_000:4_194_900], 3: "z" * 50 + raw[100:400] * 2}
+    got = {r.doc_id: (r.n_removed, [tuple(s) for s in r.spans]) for r in suffix_dedup.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: (0, []), 2: (900, [(0, 900)]), 3: (600, [(50, 650)])}
 
 
 def test_suffix_dedup_edge_cases(spark, odd):
