@@ -3,6 +3,8 @@ alerts, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return adapters.table(spark, sf_dir, adapters.live(name))
 
 
+# the columns and the longest windows, in days before and after, in which any rule, signal or factor reads a table
+SLICES = {
+    "events": (("event_id", "date", "source_country", "target_country", "goldstein_scale", "tone"), ("date", 455, 90)),
+    "conflicts": (("event_id", "date", "country", "event_type", "fatalities"), ("date", 30, 2)),
+    "outages": (("outage_id", "start_time", "country", "outage_type", "scope", "severity"), ("start_time", 7, 0)),
+    "sanctions": (("entity_id", "country", "program", "first_seen"), ("first_seen", 30, 0)),
+    "indicators": (("country", "ingested_at"), ("ingested_at", 120, 0)),
+    "transfers": (("transfer_id", "recipient_country", "tiv", "date"), ("date", 365, 0)),
+    "groups": (("name", "confidence", "modified"), None),
+    "attribution": (("country", "name"), None),
+    "spending": (("country", "year", "spending"), None),
+    "neighbours": (("country", "neighbour"), None),
+}
+
+
 class Tables:
-    """The tables of one run: each is read when it is first asked for, events as a slice that all rules share."""
+    """The tables of one run: each is cut to what the rules read, once, and kept for all of them.
+
+    prepare() makes several at a time, so that small jobs do not wait for each other.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.known = spark, sf_dir, {}
@@ -42,16 +62,26 @@ class Tables:
             self.known[name] = self._made(name)
         return self.known[name]
 
+    def prepare(self, *names: str) -> Tables:
+        missing = [n for n in names if n not in self.known]
+        with ThreadPoolExecutor(len(missing) or 1) as pool:
+            self.known |= dict(zip(missing, pool.map(self._made, missing)))
+        return self
+
     def _made(self, name: str) -> DataFrame:
         if name == "hits":
+            self.prepare(*SLICES)
             return materialised(scores.run_rules(first_rules(self), as_of=AS_OF), "rule-hits")
         if name == "event_activity":
             return materialised(rules.event_activity(self("events"), AS_OF), "event-activity")
         rows = table(self.spark, self.sf_dir, name)
-        if name == "events":  # the longest window: a year of arms imports with 90 days on either side
-            rows = rows.where(core.between("date", AS_OF, 455, -90)).select("event_id", "date", "source_country", "target_country", "goldstein_scale", "tone")
-            rows = materialised(rows, "events-slice")
-        return rows
+        if name not in SLICES:
+            return rows
+        columns, window = SLICES[name]
+        if window:
+            at, before, after = window
+            rows = rows.where(core.between(at, AS_OF, before, -after))
+        return materialised(rows.select(*columns), f"slice-{name}")
 
 
 def first_rules(t) -> dict:
@@ -342,13 +372,14 @@ SELECT case_id, related_events, related_sanctions, groups, related_correlations
 def case_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each case with what happened in its countries: every table is reduced to countries before the join."""
     t = Tables(spark, sf_dir)
+    listed = table(spark, sf_dir, "sanctions")  # of all time
     nation = lambda c: F.concat(F.lit("NATION_"), (c % 25).cast("string"))
     cases = t("cases").select("case_id", F.array_sort(F.array_distinct(F.array(nation(F.col("case_id")), nation(F.col("case_id") + 7)))).alias("countries"))
     spread = cases.select("countries").distinct().withColumn("country", F.explode("countries"))  # cases of the same countries share their counts
     recent = core.both_sides(t("events").where(core.between("date", AS_OF, 7))).select("country", "event_id").distinct()
     parts = [
         spread.join(recent, "country").groupBy("countries").agg(F.count_distinct("event_id").alias("related_events")),
-        spread.join(t("sanctions").groupBy("country").count(), "country").groupBy("countries").agg(F.sum("count").alias("related_sanctions")),
+        spread.join(listed.groupBy("country").count(), "country").groupBy("countries").agg(F.sum("count").alias("related_sanctions")),
         spread.join(t("attribution").distinct(), "country").groupBy("countries").agg(F.count_distinct("name").alias("groups")),
         spread.join(rules.by_country(t("hits")).select("country", "correlation_id"), "country").groupBy("countries").agg(F.count_distinct("correlation_id").alias("related_correlations")),
     ]
