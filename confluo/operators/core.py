@@ -97,6 +97,16 @@ def partial_update(rows: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return found.drop(*[f"_new_{c}" for c in fields])
 
 
+def trailing_scores(daily: DataFrame, keys: Sequence[str], short: int = 7, long: int = 30) -> DataFrame:
+    """(keys, day, n, total, squares), one row a day -> with the means of the last `short` and `long` days and the z-score
+    of the first in the second's population deviation (null where that is 0)."""
+    over = lambda days: Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
+    total = lambda c, days: F.sum(c).over(over(days))
+    out = daily.withColumns({"mean_short": total("total", short) / total("n", short), "mean_long": total("total", long) / total("n", long)})
+    out = out.withColumn("std_long", F.sqrt(F.greatest(F.lit(0.0), total("squares", long) / total("n", long) - F.col("mean_long") ** 2)))
+    return out.withColumn("z", F.when(F.col("std_long") > 0, (F.col("mean_short") - F.col("mean_long")) / F.col("std_long")))
+
+
 def with_month(rows: DataFrame, at: str, as_of: str) -> DataFrame:
     """rows with month, of the as_of month where there is no date."""
     return rows.withColumn("month", F.date_format(F.coalesce(F.col(at), F.lit(as_of).cast("timestamp_ntz")), "yyyy-MM"))

@@ -215,5 +215,44 @@ def stream_price_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = jobs.parquet_stream(spark, f"{sf_dir}/events.parquet", "ts")
     prices = stream.select(F.col("user_id").alias("case_id"), "event_id", "ts", (F.col("value") / 500).alias("price"))
     out = scratch_path(spark, "shifts")
-    jobs.price_shifts(prices, scratch_path(spark, "state"), out, scratch_path(spark, "offsets"))
-    return spark.read.parquet(out).select("case_id", "event_id", "delta", "trend")
+    jobs.price_shifts(prices, out, scratch_path(spark, "offsets"))
+    return spark.read.schema(jobs.SHIFT).parquet(out).select("case_id", "event_id", "delta", "trend")
+
+
+@query("stream_dedup_ids", "SELECT event_id, user_id FROM events")
+def stream_dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that arrives twice: each id once, with state of a day only."""
+    landed = scratch_path(spark, "twice")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    rows.union(rows).write.parquet(landed)
+    stream = jobs.deduplicated(jobs.parquet_stream(spark, landed, "ts"), "event_id", "ts")
+    return _drained(spark, stream.select("event_id", "user_id"), "append")
+
+
+SCORES = """, t AS (SELECT key, d, sum(s) OVER w7 / sum(n) OVER w7 AS m7, sum(s) OVER w30 / sum(n) OVER w30 AS m30, sum(q) OVER w30 / sum(n) OVER w30 AS q30 FROM d
+  WINDOW w7 AS (PARTITION BY key ORDER BY d RANGE BETWEEN INTERVAL '6 DAY' PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY key ORDER BY d RANGE BETWEEN INTERVAL '29 DAY' PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, sqrt(greatest(0.0, q30 - m30 * m30)) AS sd FROM t)
+SELECT key, strftime(d, '%Y-%m-%d') AS day, round(m7, 4) AS mean_short, round(m30, 4) AS mean_long, round(CASE WHEN sd > 1e-6 THEN (m7 - m30) / sd END, 3) AS z FROM z"""
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    z = F.when(F.col("std_long") > 1e-6, F.col("z"))
+    return rows.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("mean_short", 4).alias("mean_short"), F.round("mean_long", 4).alias("mean_long"), F.round(z, 3).alias("z"))
+
+
+@query("tone_scores", ", d AS (SELECT source_country AS key, CAST(date AS DATE) AS d, CAST(sum(CAST(round(tone) AS BIGINT)) AS DOUBLE) AS s, CAST(sum(CAST(round(tone) AS BIGINT) * CAST(round(tone) AS BIGINT)) AS DOUBLE) AS q, count(*) AS n FROM t_live_events GROUP BY 1, 2)" + SCORES, "live_events")
+def tone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each country's tone of the last week against its last month, for every day."""
+    whole = F.round("tone").cast("long")
+    daily = table(spark, sf_dir, "live_events").groupBy(F.col("source_country").alias("key"), F.to_date("date").alias("day"))
+    daily = daily.agg(F.count("*").alias("n"), F.sum(whole).cast("double").alias("total"), F.sum(whole * whole).cast("double").alias("squares"))
+    return _scores(core.trailing_scores(daily, ["key"]))
+
+
+@query("stream_scores", "WITH d AS (SELECT event_type AS key, CAST(ts AS DATE) AS d, CAST(sum(CAST(round(value) AS BIGINT)) AS DOUBLE) AS s, CAST(sum(CAST(round(value) AS BIGINT) * CAST(round(value) AS BIGINT)) AS DOUBLE) AS q, count(*) AS n FROM events GROUP BY 1, 2)" + SCORES)
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream."""
+    stream = jobs.parquet_stream(spark, f"{sf_dir}/events.parquet", "ts").select("ts", F.col("event_type").alias("key"), F.round("value").alias("value"))
+    out = scratch_path(spark, "scores")
+    jobs.tone_scores(stream, "ts", ["key"], "value", out, scratch_path(spark, "offsets"))
+    return _scores(spark.read.parquet(out))

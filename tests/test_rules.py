@@ -77,3 +77,57 @@ def test_small_functions(spark):
     assert str(df.select(first_date(F.array(F.lit("x"), F.lit("3 Feb 1970")))).first()[0]) == "1970-02-03"
     assert df.select(mentioned(F.lit("Who will tell us of the uk?"), ["us", "united kingdom"], {"uk": "united kingdom"})).first()[0] == ["UNITED KINGDOM", "US"]
     assert [tuple(x) for x in df.select(parse_scores(F.lit("b:1,a:2,b:3,bad,c:x"))).first()[0]] == [("a", 2.0), ("b", 3.0)]
+
+
+def test_event_scans_are_bounded(spark, tmp_path):
+    """Both rules that look around a date read only the events that any window can reach."""
+    rows = [(f"e{i}", datetime(2020 + i % 5, 6, 28), "A", "B", -9.0, 0.0) for i in range(20)]
+    events(spark, rows).write.parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "e"))
+    fights = stored.select("event_id", "date", F.col("source_country").alias("country"), F.lit(3).alias("fatalities"))
+    fights.write.parquet(str(tmp_path / "f"))
+    cut = spark.createDataFrame([(1, at(29), "A", "country-level", "national", "total")], "outage_id int, start_time timestamp_ntz, country string, outage_type string, scope string, severity string")
+    bought = spark.createDataFrame([("t", "A", 5.0, at(1))], "transfer_id string, recipient_country string, tiv double, date timestamp_ntz")
+    near = spark.createDataFrame([("A", "B")], "country string, neighbour string")
+    found = rules.outage_escalation(cut, stored, spark.read.parquet(str(tmp_path / "f")), AS_OF)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plans = [found, rules.arms_escalation(bought, near, stored, AS_OF)]
+    for frame in plans:
+        frame.collect()
+        scans = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in line and "date" in line]
+        assert scans and all("GreaterThanOrEqual(date" in line and "LessThanOrEqual(date" in line for line in scans)
+    assert found.first().n_diplomatic == 4 and plans[1].first().after == 4
+
+
+def test_matching_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("arr", "orr", "ill", "unn")]
+    ask = lambda: " ".join(["gadget", *rng.sample(words, rng.randint(1, 5))])  # noqa: E731  a word that every question has
+    rows = lambda n: [(i, ask(), rng.sample("ABCDEF", rng.randint(1, 2))) for i in range(n)]
+    cases, markets = rows(60), rows(80)
+    got = {}
+    frames = [spark.createDataFrame(r, f"{k}_id int, question string, countries array<string>") for r, k in ((cases, "case"), (markets, "market"))]
+    for r in scores.match_markets(*frames).collect():
+        got.setdefault(r.case_id, []).append((r["rank"], r.market_id, r.score))
+    for i, question, where in cases:
+        a, found = set(question.split()), []
+        for j, other, there in markets:
+            b = set(other.split())
+            score = round(min(1.0, len(a & b) / len(a | b) + (0.15 if set(where) & set(there) else 0)), 4)
+            if score >= 0.35:
+                found.append((-score, j))
+        assert sorted(got.get(i, [])) == [(n + 1, j, -s) for n, (s, j) in enumerate(sorted(found)[:3])]
+
+
+def test_engine_prefers_the_gravest(spark):
+    rule = lambda *rows: lambda: spark.createDataFrame(rows, "correlation_id string, rule_name string, severity string, countries string, day string")
+    found = scores.run_rules({1: rule(("i", "r", "low", "A", "2024-01-01")), 2: rule(("i", "r", "high", "B", "2024-01-02"), ("j", "r", "low", "C", "2024-01-03"))})
+    assert sorted((r.correlation_id, r.severity, r.day) for r in found.collect()) == [("i", "high", "2024-01-02"), ("j", "low", "2024-01-03")]
+    assert {r.day for r in scores.run_rules({1: lambda: rule(("i", "r", "low", "A", "x"))().drop("day")}, as_of=AS_OF).collect()} == {"2024-06-30"}
+
+
+def test_targets_in_descriptions(spark):
+    profiles = spark.createDataFrame([("Bear", "attacks MALI, Niger and maliens"), ("Cat", None), ("Dog", "Nigeria only")], "name string, description string")
+    assert sorted((r.country, r.name) for r in rules.targeted(profiles, ["Mali", "Niger"]).collect()) == [("MALI", "Bear"), ("NIGER", "Bear")]
