@@ -71,8 +71,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         place = np.arange(len(data), dtype=np.uint64)
         head = np.repeat(first, last - first)
         inside = np.flatnonzero(~blank)
-        value = mixed[inside] * (((place[inside] - head.astype(np.uint64)) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
-        value ^= value >> np.uint64(31)
+        value = mixed[inside] + (place[inside] - head.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+        value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        value ^= value >> np.uint64(32)
         hashed = np.add.reduceat(value, np.concatenate([[0], np.cumsum(last - first)[:-1]])) if len(first) else np.zeros(0, np.uint64)
     again = np.bincount(line[1:], weights=(hashed[1:] == hashed[:-1]) & (line[1:] == line[:-1]), minlength=n) if len(first) > 1 else np.zeros(n)
     keys = np.sort((line.astype(np.uint64) << np.uint64(36)) | (hashed >> np.uint64(28)))
