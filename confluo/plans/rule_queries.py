@@ -212,8 +212,9 @@ def prediction_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outage_apt_sql(hours: int, targeting: str = "SELECT nb.neighbour AS country, a.name FROM t_neighbours nb JOIN t_attribution a ON a.country = nb.country") -> str:
     return recent(30) + f""", ac AS (SELECT country, count(DISTINCT name) AS n FROM active GROUP BY 1), st AS (SELECT country, least(3, count(DISTINCT name)) AS n FROM t_attribution GROUP BY 1),
+tr AS (SELECT country, least(5, count(DISTINCT name)) AS n FROM t_attribution WHERE lower(name) IN (SELECT lower(name) FROM t_groups) GROUP BY 1),
 tg AS (SELECT country, least(5, count(DISTINCT name)) AS n FROM ({targeting}) GROUP BY 1),
-j AS (SELECT o.*, coalesce(ac.n, st.n, 0) AS n_off, coalesce(tg.n, 0) AS n_tgt FROM t_outages o LEFT JOIN ac USING (country) LEFT JOIN st USING (country) LEFT JOIN tg USING (country) WHERE start_time >= {day(hours)} AND start_time <= {T0})
+j AS (SELECT o.*, coalesce(ac.n, tr.n, st.n, 0) AS n_off, coalesce(tg.n, 0) AS n_tgt FROM t_outages o LEFT JOIN ac USING (country) LEFT JOIN tr USING (country) LEFT JOIN st USING (country) LEFT JOIN tg USING (country) WHERE start_time >= {day(hours)} AND start_time <= {T0})
 SELECT {sid("'outage_apt_activity'", 'country', 'outage_id')} AS correlation_id, 'outage_apt_activity' AS rule_name, CASE WHEN scope = 'national' AND n_off > 0 THEN 'critical' ELSE 'high' END AS severity,
   country AS countries, strftime(start_time, '%Y-%m-%d') AS day, outage_id, CAST(n_off AS INTEGER) AS n_offensive, n_tgt AS n_targeting FROM j WHERE n_off > 0 OR n_tgt > 0"""
 

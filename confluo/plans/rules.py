@@ -268,13 +268,20 @@ def by_country(correlations: DataFrame) -> DataFrame:
 
 
 def outage_apt(outages: DataFrame, groups: DataFrame, attribution: DataFrame, targeting: DataFrame, as_of: str, hours: int = 48, group_days: int = 30, static: int = 3, most: int = 5) -> DataFrame:
-    """Outages in countries with offensive groups of their own or groups targeting them (country, name)."""
+    """Outages in countries with offensive groups of their own or groups targeting them (country, name).
+
+    A country's own groups are those active lately, else those that the group table knows at all, else the first ones of
+    the attribution.
+    """
     cut = outages.where(between("start_time", as_of, hours / 24) & (F.col("country") != ""))
     active = recent_groups(groups, attribution, as_of, group_days).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias("active"))
-    known = top_per_group(attribution.distinct(), ["country"], static, F.col("name")).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias("known"))
+    first = lambda rows, k, name: top_per_group(rows, ["country"], k, F.col("name")).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias(name))
+    named = attribution.select("country", "name").distinct()
+    tracked = first(named.join(groups.select(F.lower("name").alias("_key")), F.lower("name") == F.col("_key"), "left_semi"), most, "tracked")
+    known = first(named, static, "known")
     aimed = top_per_group(targeting.distinct(), ["country"], most, F.col("name")).groupBy("country").agg(F.count("*").alias("n_targeting"))
-    out = cut.join(active, "country", "left").join(known, "country", "left").join(aimed, "country", "left")
-    out = out.withColumn("n_offensive", F.size(F.coalesce("active", "known", F.array()))).withColumn("n_targeting", F.coalesce("n_targeting", F.lit(0)))
+    out = cut.join(active, "country", "left").join(tracked, "country", "left").join(known, "country", "left").join(aimed, "country", "left")
+    out = out.withColumn("n_offensive", F.size(F.coalesce("active", "tracked", "known", F.array()))).withColumn("n_targeting", F.coalesce("n_targeting", F.lit(0)))
     return out.where((F.col("n_offensive") > 0) | (F.col("n_targeting") > 0)).select(
         surrogate_id("outage_apt_activity", F.col("country"), F.col("outage_id")).alias("correlation_id"),
         F.lit("outage_apt_activity").alias("rule_name"),

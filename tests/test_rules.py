@@ -131,3 +131,11 @@ def test_engine_prefers_the_gravest(spark):
 def test_targets_in_descriptions(spark):
     profiles = spark.createDataFrame([("Bear", "attacks MALI, Niger and maliens"), ("Cat", None), ("Dog", "Nigeria only")], "name string, description string")
     assert sorted((r.country, r.name) for r in rules.targeted(profiles, ["Mali", "Niger"]).collect()) == [("MALI", "Bear"), ("NIGER", "Bear")]
+
+
+def test_own_groups_fall_back_twice(spark):
+    cut = spark.createDataFrame([(i, at(29), c, "regional") for i, c in enumerate("ABCD")], "outage_id int, start_time timestamp_ntz, country string, scope string")
+    groups = spark.createDataFrame([("Bear", 9, at(28)), ("cat", 9, datetime(2020, 1, 1)), ("Crow", 9, datetime(2020, 1, 1))], "name string, confidence int, modified timestamp_ntz")
+    who = spark.createDataFrame([("A", "bear"), ("A", "x"), ("B", "Cat"), ("B", "crow"), ("B", "y"), *[("C", f"z{i}") for i in range(9)]], "country string, name string")
+    nobody = who.limit(0)
+    assert sorted((r.countries, r.n_offensive) for r in rules.outage_apt(cut, groups, who, nobody, AS_OF).collect()) == [("A", 1), ("B", 2), ("C", 3)]
