@@ -273,11 +273,12 @@ def top_k(
     data = data.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     low = F.lit(-(1 << 63))
     asked = data.where(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min(F.struct("dim", "vec")).alias("v")).select("query_id", "v.*")
-    # a block holds queries of one home cell, so that they ask about the same shards
+    # cells fill blocks in turn, so that about block_rows queries share a copy of a shard, and in a large cell only its own
     asked = reached(asked.withColumn("floor", low), cells, True).join(parts, ["dim", "cell"])
-    crowd = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    block = (F.col("cell") + 1) * F.lit(1 << 32) + F.pmod(F.xxhash64("query_id", F.lit(5)), F.col("blocks"))
-    asked = asked.join(crowd, ["dim", "cell"]).withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts", "blocks")
+    crowd = asked.groupBy("dim", "cell").agg(F.count("*").alias("crowd"))  # one row a cell
+    crowd = crowd.withColumn("before", F.sum("crowd").over(Window.orderBy("dim", "cell")) - F.col("crowd"))
+    block = F.floor(F.col("before") / block_rows) + F.pmod(F.xxhash64("query_id", F.lit(5)), F.ceil(F.col("crowd") / block_rows))
+    asked = asked.join(crowd, ["dim", "cell"]).withColumn("block", block).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts", "crowd", "before")
     asked = stored(asked, "topk-queries")
     home = stored(_search_groups(data, asked, k), "topk-home")
     floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(low).alias("floor"))

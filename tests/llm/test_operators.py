@@ -240,10 +240,11 @@ def test_suffix_dedup_equals_brute_force(spark, length, k):
         assert (gone == want[r.doc_id]).all() and r.n_removed == gone.sum() and r.kept == bytes(np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)[~gone])
 
 
-@pytest.mark.parametrize("hot,size", [(1, 1_500_000), (5, 300), (40, 1)])
-def test_anchors_shared_by_tasks_equal_brute_force(spark, monkeypatch, hot, size):
-    """A passage in every document, its anchors dealt to many tasks, and transforms of few entries."""
+@pytest.mark.parametrize("hot,hottest,size", [(1, 1, 1_500_000), (1, 10_000, 300), (5, 30, 300), (40, 50, 1)])
+def test_anchors_shared_by_tasks_equal_brute_force(spark, monkeypatch, hot, hottest, size):
+    """A passage in every document, its anchors parted or dealt to many tasks, and transforms of few entries."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
     monkeypatch.setattr(suffix_dedup, "TRANSFORM_BYTES", size)
     rng = random.Random(11)
     line = "".join(rng.choice("abcdefgh ") for _ in range(260))
@@ -293,6 +294,17 @@ def test_packing_round_trip(spark, docs, odd):
     assert packing.pack(odd, queries.tokenizer_path()).where("doc_id = 1").first().length == 1
 
 
+def test_packing_of_repeated_and_missing_ids(spark, odd):
+    """Rows of one id are told apart by their number of tokens; columns named like the result's are not read."""
+    rows = odd.withColumns({c: F.lit(7) for c in ("start", "length", "ids", "offset", "sequence_id")})
+    pieces = packing.pack(rows, queries.tokenizer_path()).toPandas()
+    whole = pieces.groupby(["doc_id", "doc_tokens"], dropna=False)["length"].sum().reset_index()
+    texts = [(r.doc_id, r.text or "") for r in odd.collect()]
+    assert (whole["length"] % whole.doc_tokens == 0).all() and (whole["length"] // whole.doc_tokens).sum() == len(texts)
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]]
+
+
 def test_word_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -395,6 +407,17 @@ def test_links_of_dense_balls(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_simhash_of_missing_ids_and_clashing_columns(spark, odd):
+    got = simhash.near_duplicates(odd).collect()
+    by = {}
+    for r in got:
+        by.setdefault(str(r.doc_id), set()).add((r.fingerprint, r.component_id))
+    assert len(got) == odd.count() and len(by["None"]) == 1
+    assert {r.component_id for r in got if (r.text if "text" in r.asDict() else None) is None and r.doc_id in (1, 2, 3)} == {1} and by["4"] == by["5"] and next(iter(by["4"]))[1] == 4
+    alone = spark.createDataFrame([(None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(alone).collect()} == {None}
+
+
 def test_keep_one(spark, odd):
     kept = simhash.keep_one(odd)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "7", "8", "None"] and kept.columns == odd.columns
