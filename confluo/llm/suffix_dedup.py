@@ -6,8 +6,10 @@
    ties), and equal strings hold it at the same place. Consecutive starts with the same anchor are one run. Anchor
    hashes are counted over all documents by Spark; only runs whose anchor stands twice somewhere go on.
 2. Contexts. The text of a run, its starts and the length - 1 bytes after the last, goes to the task of its anchor
-   hash, where equal contexts are one entry with all their places. An anchor with over HOT runs goes to several tasks,
-   by document and place, so no task holds more than about HOT runs of one anchor, however many documents have it.
+   hash, where equal contexts are one entry with all their places. An anchor with over HOT runs is parted: its strings
+   that start far before it, and those that start near, by a hash of the bytes that all of them share, so that equal
+   strings stay together. One with over HOTTEST runs goes to several tasks by document and place instead. So no task
+   holds more than about HOTTEST runs of one anchor, however many documents have it.
 3. Interval expansion. Per batch of anchors, the entries are joined by separators, sorted by prefix doubling into a
    Burrows-Wheeler transform, and breadth-first backward extension yields the common-prefix values 0, 1, 2, ... of
    neighbouring suffixes in this order. It stops at `length`: suffixes between two boundaries then share at least that
@@ -29,18 +31,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.common import stored
+from confluo.llm.common import sieved, stored
 
 K = 24
 PIECE_BYTES = 1 << 20
 TRANSFORM_BYTES = 1_500_000
-HOT = 8192
+HOT, HOTTEST = 8192, 32_768
+PARTED = -1  # in place of a number of tasks
 _SEPARATOR = 255  # no byte of UTF-8
 
 
@@ -161,18 +165,25 @@ def classes(text: np.ndarray, length: int) -> np.ndarray:
     known = np.zeros(n + 1, bool)  # boundaries whose common prefix is below the depth reached
     known[0] = known[n] = True
     begin, end = np.array([0]), np.array([n])
+    change = np.cumsum(np.concatenate([[0], transform[1:] != transform[:-1]]))
     for _ in range(length):
-        size = end - begin
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        of = np.repeat(np.arange(len(size)), size)
+        # an interval with one byte before all its suffixes moves as a whole
+        alike = change[begin] == change[end - 1]
+        whole, size = begin[alike], (end - begin)[alike]
+        inside = transform[whole] != _SEPARATOR
+        moved, size = step[whole[inside]], size[inside]
+        begin, end = begin[~alike], end[~alike]
+        # extensions by one byte of another interval are runs of consecutive places of the same interval
+        count = end - begin
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        of = np.repeat(np.arange(len(count)), count)
         inside = transform[at] != _SEPARATOR
-        # extensions by one byte of an interval are runs of consecutive places of the same interval
         packed = np.sort((step[at[inside]].astype(np.uint64) << np.uint64(32)) | of[inside].astype(np.uint64))
         to, of = (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF)
-        if not len(to):
-            break
-        cut = np.flatnonzero((to[1:] != to[:-1] + 1) | (of[1:] != of[:-1]) | (text[order[to[1:]]] != text[order[to[:-1]]])) + 1
-        begin, end = to[np.concatenate([[0], cut])], to[np.append(cut, len(to)) - 1] + 1
+        begin, end = moved, moved + size
+        if len(to):
+            cut = np.flatnonzero((to[1:] != to[:-1] + 1) | (of[1:] != of[:-1]) | (text[order[to[1:]]] != text[order[to[:-1]]])) + 1
+            begin, end = np.concatenate([begin, to[np.concatenate([[0], cut])]]), np.concatenate([end, to[np.append(cut, len(to)) - 1] + 1])
         fresh = ~known[end]
         begin, end = begin[fresh], end[fresh]
         known[end] = True
@@ -273,7 +284,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(row, doc, text) -> (row, start, stop): what goes from rows that are no copies, in parts that may overlap."""
+    """(row, doc, text) -> (row, spans): what goes from rows that are no copies, in parts that may overlap, a row often."""
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,6 +296,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
             times = np.diff(np.append(first, len(text)))
             yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "row", "times"])
 
+    half = (length - k + 1) // 2
+
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, own, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _texts(batch.column(2))
@@ -293,15 +306,22 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
             text, start, n, place, hashed = runs(raw, length, k)
             listed, of, parts = np.repeat(np.arange(len(raw)), sizes), wanted.flatten().field(0).to_numpy(), wanted.flatten().field(1).to_numpy()
             hit = _in_lists(text, hashed, listed, of)
-            dealt = {(t, h): m for t, h, m in zip(listed[parts > 1].tolist(), of[parts > 1].tolist(), parts[parts > 1].tolist())}
+            dealt = {(t, h): m for t, h, m in zip(listed[parts != 1].tolist(), of[parts != 1].tolist(), parts[parts != 1].tolist())}
             held: dict[tuple[int, int, bool, bytes, int, int], tuple[list, list, list]] = {}
             for t, s, m, p, h in zip(text[hit].tolist(), start[hit].tolist(), n[hit].tolist(), place[hit].tolist(), hashed[hit].tolist()):
                 many = dealt.get((t, h), 1)
-                part = (int(ids[t]) + (p >> 16) * 0x9E3779B1) % many if many > 1 else 0
-                found = held.setdefault((h, part, many > 1, raw[t][s : s + m - 1 + length], m, p - s), ([], [], []))
-                found[0].append(ids[t])
-                found[1].append(own[t])
-                found[2].append(s)
+                pieces = [(0, s, m)]
+                if many == PARTED:  # starts at least `half` bytes before the anchor, and the others
+                    far = min(m, max(0, p - s - half + 1))
+                    pieces = [(2 * (crc32(raw[t][p - half : p + k]) >> 2), s, far), (2 * (crc32(raw[t][p : p + length - half + 1]) >> 2) + 1, s + far, m - far)]
+                elif many > 1:
+                    pieces = [((int(ids[t]) + (p >> 16) * 0x9E3779B1) % many, s, m)]
+                for part, at, count in pieces:
+                    if count:
+                        found = held.setdefault((h, part, many > 1, raw[t][at : at + count - 1 + length], count, p - at), ([], [], []))
+                        found[0].append(ids[t])
+                        found[1].append(own[t])
+                        found[2].append(at)
             keys = list(held)
             for a in range(0, len(keys), 20_000):
                 part = keys[a : a + 20_000]
@@ -319,7 +339,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        names = ["row", "start", "stop", "doc", "high", "low"]
+        names = ["row", "spans", "start", "doc", "high", "low"]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         held: list = []
         size = 0
 
@@ -338,13 +359,15 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
             if spans:
                 d, a, b = (np.concatenate(x) for x in zip(*spans))
                 by = np.lexsort((b, a, d))
-                d, a, b = d[by], a[by], b[by]
-                empty = pa.nulls(len(d), pa.int64())
-                yield pa.record_batch([pa.array(row_of[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), empty, empty, empty], names=names)
+                d, a, b = d[by], a[by].astype(np.int32), b[by].astype(np.int32)
+                edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))  # one output row a document
+                listed = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "stop"]))
+                empty = pa.nulls(len(listed), pa.int64())
+                yield pa.record_batch([pa.array(row_of[d[edge[:-1]]]), listed, pa.nulls(len(listed), pa.int32()), empty, empty, empty], names=names)
             if firsts:
                 d, a = np.array([x[1] for x in firsts]), np.array([x[2] for x in firsts], np.int32)
                 halves = np.frombuffer(b"".join(xxh3_128_digest(x[0]) for x in firsts), "<i8").reshape(-1, 2)
-                yield pa.record_batch([pa.array(row_of[d]), pa.array(a), pa.array(a + np.int32(length)), pa.array(doc_of[d]), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=names)
+                yield pa.record_batch([pa.array(row_of[d]), pa.nulls(len(d), kind), pa.array(a), pa.array(doc_of[d]), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=names)
 
         group = None
         for batch in batches:
@@ -359,17 +382,24 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
         yield from flush(held)
 
     grams = docs.join(copies, "row", "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, times int")
-    often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    marked = grams.select("anchor", "row").join(often, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
+    grams = stored(grams, "suffix-anchors")
+    often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
+    parts = F.when(F.col("n") <= HOT, 1).when(F.col("n") <= HOTTEST, PARTED).otherwise(F.ceil(F.col("n") / HOT))
+    often = stored(often.select("anchor", parts.cast("int").alias("parts")), "suffix-often")
+    # most anchors stand once and need not move
+    likely = sieved(grams.select("anchor", "row"), often, "anchor", name="_maybe").where("_maybe").drop("_maybe")
+    marked = likely.join(often, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
     found = docs.join(marked, "row").select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
     found = found.mapInArrow(contexts, "anchor long, part int, shared boolean, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
     found = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context")
-    out = stored(found.mapInArrow(remove, "row long, start int, stop int, doc long, high long, low long"), "suffix-spans")
+    schema = "row long, spans array<struct<start:int,stop:int>>, start int, doc long, high long, low long"
+    out = stored(found.mapInArrow(remove, schema), "suffix-spans")
     # strings that several tasks have seen: all places but the first of each
-    firsts = out.where("high IS NOT NULL")
+    firsts = out.where("high IS NOT NULL").select("row", "start", "doc", "high", "low")
     least = firsts.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "start")).alias("least")).where("n > 1")
     again = firsts.join(least, ["high", "low"]).where(F.struct("doc", "row", "start") != F.col("least"))
-    return out.where("high IS NULL").select("row", "start", "stop").union(again.select("row", "start", "stop"))
+    later = again.select("row", F.array(F.struct("start", (F.col("start") + length).alias("stop"))).alias("spans"))
+    return out.where("high IS NULL").select("row", "spans").union(later)
 
 
 def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_hash: np.ndarray) -> np.ndarray:
@@ -389,8 +419,8 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     copies = stored(later_copies(docs), "suffix-copies")
     spans = repeated_spans(docs, copies, length, k)
     # a copy goes whole, if it has a string of that length at all
-    whole = copies.select("row", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))
-    by_row = spans.union(whole).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    whole = copies.select("row", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("spans"))
+    by_row = spans.union(whole).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
