@@ -11,8 +11,10 @@ Tokens are those of the `tokenizers` library. Its words do not depend on each ot
 it once and remembered; texts are cut into words in numpy. Texts with special tokens, or with characters for which the
 two libraries might disagree, go to the tokenizer whole.
 
-Defined cases: a null or empty text is one end token; any length of text is packed, cut into pieces; repeated rows are
-documents of their own; an empty table gives an empty table; other columns of the input are not carried.
+Defined cases: a null or empty text is one end token; any length of text is packed, cut into pieces; repeated rows and
+rows of one id, or without one, are documents of their own; pieces of equal length are placed in the order of their
+documents, sequences of equal cost in their own; an empty table gives an empty table; other columns of the input, also
+those named like the result's, are not carried.
 """
 
 from __future__ import annotations
