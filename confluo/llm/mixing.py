@@ -93,31 +93,34 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, tolerance: floa
     state = state.select("source", "source_size", "target", lam.alias("lam"), F.lit(-40.0).alias("low"), F.lit(40.0).alias("high"), (below & (F.col("target") > 0)).alias("open"))
     state, turn = stored(state, "mix-state"), 0
     while not state.where("open").isEmpty():
-        turn += 1
-        rate = _rate(F.col("prior"), F.col("lam"), F.col("size"), cap)
-        mass = F.col("n") * F.col("size")
-        sums = (
-            cells.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & F.col("s.open"))
-            .groupBy(F.col("s.source").alias("source"))
-            .agg(F.sum(mass * rate).alias("tokens"), F.sum(F.when(rate < cap, mass * F.col("size") * rate).otherwise(0.0)).alias("curvature"))
-        )
-        new = state.alias("s").join(sums.alias("c"), F.col("c.source").eqNullSafe(F.col("s.source")), "left").select("s.*", "tokens", "curvature")
-        above = F.col("tokens") > F.col("target")
-        new = new.withColumns({"low": F.when(above, F.col("low")).otherwise(F.col("lam")), "high": F.when(above, F.col("lam")).otherwise(F.col("high"))})
-        newton = F.col("lam") + F.ln(F.col("target") / F.col("tokens")) * F.col("tokens") / F.col("curvature")
-        inside = (F.col("curvature") > 0) & (F.col("tokens") > 0) & (newton > F.col("low")) & (newton < F.col("high")) & F.lit(turn <= 12 or turn % 2 == 0)
-        step = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        met = F.abs(F.col("tokens") - F.col("target")) <= tolerance * F.col("target")
-        spent = F.col("high") - F.col("low") <= 1e-13
-        going = F.col("open") & F.col("tokens").isNotNull() & ~met & ~spent
-        new = new.select(
-            "source", "source_size", "target", F.when(going, F.round(step, 15)).otherwise(F.col("lam")).alias("lam"), "low", "high", F.coalesce(going, F.lit(False)).alias("open")
-        )
-        last, state = state, stored(new, "mix-state")
+        # two steps a job
+        last, state = state, stored(_newton(cells, _newton(cells, state, cap, tolerance, turn + 1), cap, tolerance, turn + 2), "mix-state")
         drop_stored(last)
+        turn += 2
     return state.select("source", "source_size", "target", "lam")
 
 
+def _newton(cells: DataFrame, state: DataFrame, cap: float, tolerance: float, turn: int) -> DataFrame:
+    """One step for the sources that are open."""
+    rate = _rate(F.col("prior"), F.col("lam"), F.col("size"), cap)
+    mass = F.col("n") * F.col("size")
+    names = ["source_size", "target", "lam", "low", "high", "open"]
+    sums = (
+        cells.alias("c").join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
+        .groupBy(F.col("s.source").alias("source"), *names)
+        .agg(F.sum(mass * rate).alias("tokens"), F.sum(F.when(rate < cap, mass * F.col("size") * rate).otherwise(0.0)).alias("curvature"))
+    )
+    above = F.col("tokens") > F.col("target")
+    sums = sums.withColumns({"low": F.when(above, F.col("low")).otherwise(F.col("lam")), "high": F.when(above, F.col("lam")).otherwise(F.col("high"))})
+    newton = F.col("lam") + F.ln(F.col("target") / F.col("tokens")) * F.col("tokens") / F.col("curvature")
+    usable = (F.col("curvature") > 0) & (F.col("tokens") > 0) & F.lit(turn <= 12 or turn % 2 == 0)
+    step = F.when(usable, F.when((newton > F.col("low")) & (newton < F.col("high")), newton))
+    step = F.coalesce(step, (F.col("low") + F.col("high")) / 2)
+    met = F.abs(F.col("tokens") - F.col("target")) <= tolerance * F.col("target")
+    going = F.col("open") & ~met & (F.col("high") - F.col("low") > 1e-13)
+    return sums.select("source", "source_size", "target", F.when(going, F.round(step, 15)).otherwise(F.col("lam")).alias("lam"), "low", "high", going.alias("open"))
+
+
 def _group(size: Column, rate: Column) -> Column:
     """The number of a document's group: its rate in steps, the length of its size in bits and their leading ones."""
     cut = F.greatest(F.lit(0), F.length(F.bin(size)) - LEADING)
