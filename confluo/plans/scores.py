@@ -51,25 +51,31 @@ def match_markets(cases: DataFrame, markets: DataFrame, bonus: float = 0.15, lea
 
     cases are (case_id, question, countries), markets (market_id, question, countries), countries an array. Every match
     shares a token, as the bonus alone stays below the threshold. Candidates come from an equi-join on tokens of
-    distinct questions, by their rarest tokens only, so words that stand everywhere pair little by themselves. Of the
-    markets with one question and one set of countries only the first ones can be among the best, so no hot question
-    multiplies rows.
+    distinct questions, by their rarest tokens only, so words that stand everywhere pair little by themselves. A case's
+    best markets are among the best of its question, or among the best of its question with one of its countries. Both
+    lists are as short as the result and are made of the first markets of each question, or of each question and
+    country, so no hot question multiplies rows.
     """
-    a = cases.select("case_id", F.col("question").alias("case_question"), F.array_sort("countries").alias("case_countries"))
-    b = markets.select("market_id", F.col("question").alias("market_question"), F.array_sort("countries").alias("market_countries"))
-    b = top_per_group(b, ["market_question", "market_countries"], most, F.col("market_id")).drop("rank")
+    a = cases.select("case_id", F.col("question").alias("case_question"), F.array_distinct("countries").alias("countries"))
+    b = markets.select("market_id", F.col("question").alias("market_question"), F.array_distinct("countries").alias("countries"))
     left = a.select(F.col("case_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
     right = b.select(F.col("market_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
     often = left.union(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     keys = [_rarest(rows, often, least - bonus).withColumnRenamed("question", f"{side}_question") for side, rows in (("case", left), ("market", right))]
     pairs = keys[0].join(keys[1], "token").select("case_question", "market_question").distinct()
     pairs = pairs.withColumn("similarity", jaccard(tokens(F.col("case_question")), tokens(F.col("market_question")))).where(F.col("similarity") >= least - bonus - 1e-12)
-    # scores are settled between different questions and sets of countries before rows are joined
-    kinds = pairs.join(a.select("case_question", "case_countries").distinct(), "case_question").join(b, "market_question")
-    score = F.least(F.lit(1.0), F.col("similarity") + F.when(F.arrays_overlap("case_countries", "market_countries"), bonus).otherwise(0.0))
-    kinds = kinds.withColumn("score", F.round(score, 4)).where(F.col("score") >= least)
-    best = top_per_group(kinds, ["case_question", "case_countries"], most, F.desc("score"), F.col("market_id"))
-    return a.join(best, ["case_question", "case_countries"]).select("case_id", "market_id", "score", "rank")
+
+    def best(rows: DataFrame, extra: float, *by: str) -> DataFrame:
+        """Of each question (and country) the best markets, with this much added to the similarity."""
+        first = top_per_group(rows, ["market_question", *by], most, F.col("market_id")).drop("rank")
+        scored = pairs.join(first, "market_question").withColumn("score", F.round(F.least(F.lit(1.0), F.col("similarity") + extra), 4)).where(F.col("score") >= least)
+        return top_per_group(scored, ["case_question", *by], most, F.desc("score"), F.col("market_id")).select("case_question", *by, "market_id", "score")
+
+    anywhere = a.join(best(b.select("market_id", "market_question"), 0.0), "case_question").select("case_id", "market_id", "score")
+    placed = b.select("market_id", "market_question", F.explode("countries").alias("country"))
+    shared = a.select("case_id", "case_question", F.explode("countries").alias("country")).join(best(placed, bonus, "country"), ["case_question", "country"])
+    found = anywhere.union(shared.select("case_id", "market_id", "score")).groupBy("case_id", "market_id").agg(F.max("score").alias("score"))
+    return top_per_group(found, ["case_id"], most, F.desc("score"), F.col("market_id")).select("case_id", "market_id", "score", "rank")
 
 
 def consensus(cases: DataFrame, matches: DataFrame, markets: DataFrame) -> DataFrame:
