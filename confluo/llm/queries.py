@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import chat, langid, merkle, mixing, packing, pii, quality, simhash, suffix_dedup, topk
+from confluo.llm import alignment, bpe, chat, langid, merkle, mixing, packing, pii, quality, simhash, spelling, suffix_dedup, topk
 from confluo.llm.common import stored, table
 
 
@@ -148,14 +148,29 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(words, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-def tokenizer_path() -> str:
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", *alignment.ADDED, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_spans, op2_ball_tree_top_k, op3_language_id, op4_suffix_dedup, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_ball_tree_top_k, op3_language_id, op4_suffix_dedup, op5_cost_balanced_packing, op6_chat_format, op7_simhash_near_dedup, op8_merkle_fingerprints, op9_line_crf_quality, op10_source_mix, op11_spelling_variants, op12_bpe_codec, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
