@@ -25,6 +25,13 @@ def _late(power: int) -> str:
     return f"CAST(floor({' * '.join([f'({spread} / 2880.0E0)'] * (power - 1) + [spread])}) AS INT)"
 
 
+def _question() -> str:
+    """A part's name and three to ten more words, by rule: the first of five words, the others of ever more."""
+    word = lambda i, n: f"' ' || '{'abcdefghij'[i] * 2}' || translate(CAST((p_partkey * {7 + 6 * i} + p_size) % {n} AS STRING), '0123456789', 'bcdfghjklm')"
+    more = [f"CASE WHEN p_size % 8 >= {i - 2} THEN {word(i, n)} ELSE '' END" for i, n in zip(range(3, 10), (29, 61, 127, 251, 509, 1021, 2039))]
+    return " || ".join(["p_name", word(0, 5), word(1, 5), word(2, 13), *more])
+
+
 TABLES = {
     "events": """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS event_id, l_shipdate AS date,
@@ -75,14 +82,14 @@ SELECT n_name AS country, CAST(extract(year FROM o_orderdate) AS INT) AS year,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS spending
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 GROUP BY n_name, CAST(extract(year FROM o_orderdate) AS INT)""",
-    "cases": """
-SELECT p_partkey AS case_id, p_name AS question, p_type || '||' || p_brand AS countries, p_type AS country, p_size / 50.0E0 AS price, p_retailprice AS volume,
+    "cases": f"""
+SELECT p_partkey AS case_id, {_question()} AS question, p_type || '||' || p_brand AS countries, p_type AS country, p_size / 50.0E0 AS price, p_retailprice AS volume,
   CASE WHEN p_size % 5 = 0 THEN 'closed' ELSE 'active' END AS status
-FROM {part}""",
-    "predictions": """
-SELECT p_partkey AS market_id, p_name AS question, p_type || '||' || p_brand AS countries, p_size / 50.0E0 AS price, p_retailprice AS volume,
+FROM {{part}}""",
+    "predictions": f"""
+SELECT p_partkey AS market_id, {_question()} AS question, p_type || '||' || p_brand AS countries, p_size / 50.0E0 AS price, p_retailprice AS volume,
   CASE WHEN p_partkey % 4 = 1 THEN 'B' ELSE 'C' END AS platform
-FROM {part}""",
+FROM {{part}}""",
     "prices": "SELECT user_id AS case_id, event_id, ts, value / 500 AS price FROM {events}",
     "activity": "SELECT event_id, ts, user_id, event_type, value FROM {events}",
     "articles": "SELECT doc_id, substring(text, 1, 80) AS title, text, source, lang FROM {documents}",

@@ -227,9 +227,10 @@ def outage_apt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z]+')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in scalars.STOP_WORDS) + "))"
-# questions and sets of countries are few, so that all pairs of these, not of rows, are compared
+# questions that share a word, then sets of countries, not rows, are compared
 MATCH = f""", qa AS (SELECT DISTINCT question, {TOKENS.format('question')} AS tk FROM t_cases), qb AS (SELECT DISTINCT question, {TOKENS.format('question')} AS tk FROM t_predictions),
-sm AS (SELECT qa.question AS qa, qb.question AS qb, CASE WHEN len(qa.tk) = 0 OR len(qb.tk) = 0 THEN 0 ELSE CAST(len(list_intersect(qa.tk, qb.tk)) AS DOUBLE) / len(list_distinct(qa.tk || qb.tk)) END AS sim FROM qa, qb),
+wa AS (SELECT question, len(tk) AS n, unnest(tk) AS w FROM qa), wb AS (SELECT question, len(tk) AS n, unnest(tk) AS w FROM qb),
+sm AS (SELECT wa.question AS qa, wb.question AS qb, CAST(count(*) AS DOUBLE) / (wa.n + wb.n - count(*)) AS sim FROM wa JOIN wb ON wa.w = wb.w GROUP BY wa.question, wb.question, wa.n, wb.n),
 ka AS (SELECT DISTINCT question, countries FROM t_cases), kb AS (SELECT *, row_number() OVER (PARTITION BY question, countries ORDER BY market_id) AS nth FROM t_predictions),
 m AS (SELECT ka.question, ka.countries, kb.market_id, round(least(1.0, sim + CASE WHEN list_has_any(string_split(ka.countries, '||'), string_split(kb.countries, '||')) THEN 0.15 ELSE 0.0 END), 4) AS score
   FROM sm JOIN ka ON ka.question = sm.qa JOIN kb ON kb.question = sm.qb AND nth <= 3 WHERE sim >= 0.2 - 1e-12),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.functions.scalars import jaccard, piecewise, severity_rank, surrogate_id, tokens
+from confluo.functions.scalars import piecewise, severity_rank, surrogate_id, tokens
 from confluo.operators.core import latest_per_key, only_new, top_per_group, union_all
+from confluo.operators.similarity import similar_sets
 
 # fixed values: weight and (mid, high) marks of each factor
 RISK_FACTORS = {
@@ -38,32 +39,20 @@ def risk_score(countries: DataFrame, factors: dict[str, DataFrame], marks: dict[
     return out.withColumn("risk_level", level)
 
 
-def _rarest(rows: DataFrame, often: DataFrame, bound: float) -> DataFrame:
-    """(question, token): of each token set so many of the rarest that a set with a similarity of the bound shares one."""
-    counted = rows.select("question", F.explode("tokens").alias("token")).join(often, "token")
-    words = counted.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("words"))
-    keep = F.size("words") - F.ceil(F.size("words") * bound - 1e-9).cast("int") + 1
-    return words.select("question", F.explode(F.transform(F.slice("words", F.lit(1), keep), lambda w: w["token"])).alias("token"))
-
-
 def match_markets(cases: DataFrame, markets: DataFrame, bonus: float = 0.15, least: float = 0.35, most: int = 3) -> DataFrame:
     """The best markets of each case by token similarity, raised where any country is shared.
 
     cases are (case_id, question, countries), markets (market_id, question, countries), countries an array. Every match
-    shares a token, as the bonus alone stays below the threshold. Candidates come from an equi-join on tokens of
-    distinct questions, by their rarest tokens only, so words that stand everywhere pair little by themselves. A case's
+    shares a token, as the bonus alone stays below the threshold. Distinct questions are paired by `similar_sets`. A case's
     best markets are among the best of its question, or among the best of its question with one of its countries. Both
     lists are as short as the result and are made of the first markets of each question, or of each question and
     country, so no hot question multiplies rows.
     """
     a = cases.select("case_id", F.col("question").alias("case_question"), F.array_distinct("countries").alias("countries"))
     b = markets.select("market_id", F.col("question").alias("market_question"), F.array_distinct("countries").alias("countries"))
-    left = a.select(F.col("case_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
-    right = b.select(F.col("market_question").alias("question")).distinct().withColumn("tokens", tokens(F.col("question")))
-    often = left.union(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    keys = [_rarest(rows, often, least - bonus).withColumnRenamed("question", f"{side}_question") for side, rows in (("case", left), ("market", right))]
-    pairs = keys[0].join(keys[1], "token").select("case_question", "market_question").distinct()
-    pairs = pairs.withColumn("similarity", jaccard(tokens(F.col("case_question")), tokens(F.col("market_question")))).where(F.col("similarity") >= least - bonus - 1e-12)
+    asked = lambda rows, question: rows.select(F.col(question).alias("id")).distinct().withColumn("tokens", tokens(F.col("id")))
+    pairs = similar_sets(asked(a, "case_question"), asked(b, "market_question"), least - bonus)
+    pairs = pairs.withColumnsRenamed({"left_id": "case_question", "right_id": "market_question"})
 
     def best(rows: DataFrame, extra: float, *by: str) -> DataFrame:
         """Of each question (and country) the best markets, with this much added to the similarity."""
