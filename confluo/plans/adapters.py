@@ -26,10 +26,11 @@ def _late(power: int) -> str:
 
 
 def _question() -> str:
-    """A part's name and three to ten more words, by rule: the first of five words, the others of ever more."""
-    word = lambda i, n: f"' ' || '{'abcdefghij'[i] * 2}' || translate(CAST((p_partkey * {7 + 6 * i} + p_size) % {n} AS STRING), '0123456789', 'bcdfghjklm')"
-    more = [f"CASE WHEN p_size % 8 >= {i - 2} THEN {word(i, n)} ELSE '' END" for i, n in zip(range(3, 10), (29, 61, 127, 251, 509, 1021, 2039))]
-    return " || ".join(["p_name", word(0, 5), word(1, 5), word(2, 13), *more])
+    """Five to twelve words by rule: one of five, one of 64 names, and three to ten that neighbouring parts share."""
+    digits = lambda number: f"translate(CAST({number} AS STRING), '0123456789', 'bcdfghjklm')"
+    near = [f"' ' || '{c * 2}' || {digits(f'CAST(floor(p_partkey / {n}) AS INT)')}" for c, n in zip("bcdefghijk", (3, 5, 9, 4, 6, 13, 17, 23, 29, 37))]
+    more = [f"CASE WHEN p_size % 8 > {i} THEN {word} ELSE '' END" for i, word in enumerate(near[3:])]
+    return " || ".join(["replace(p_name, ' ', '')", f"' aa' || {digits('p_size % 5')}", *near[:3], *more])
 
 
 TABLES = {
