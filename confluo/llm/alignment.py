@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from confluo.llm.bpe import ByteBPE, Words, flat_ranges, pooled, vocabulary
 from confluo.llm.common import stored, without
 
-BLOCK, SHARDS, FAN = 256, 256, 128
+BLOCK, SHARDS, FAN = 256, 64, 128
 SLICE = 4_000_000
 _BITS = 20  # ids are below 1 << 20
 
@@ -43,7 +43,7 @@ class Pieces:
     """A sentencepiece BPE model whose pieces hold spaces only in front: stretches of spaces and what follows them are
     encoded apart, each distinct one once."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
@@ -312,8 +312,8 @@ def pair_counts(blocks: DataFrame, n_blocks: int) -> DataFrame:
     def dense(key: tuple, rows: pa.Table, table: pa.Table) -> pa.Table:
         made, keys = _hash_of(table)
         vector = np.zeros(len(keys), "<i8")
-        for pairs, docs in zip(rows["keys"].to_pylist(), rows["docs"].to_pylist()):
-            vector[_verified(made, keys, _longs(pairs))] += _longs(docs)  # a block's pairs are distinct
+        pairs, docs = (_longs(b"".join(rows[c].to_pylist())) for c in ("keys", "docs"))
+        np.add.at(vector, _verified(made, keys, pairs), docs)
         return pa.table({"shard": [key[0].as_py()], "lane": [key[1].as_py()], "value": [vector.tobytes()]}, schema=_PARTIAL)
 
     vectors = blocks.groupBy("shard", "lane").cogroup(_by_lane(hashes, lanes).groupBy("shard", "lane")).applyInArrow(dense, "shard int, lane long, value binary")
@@ -327,7 +327,9 @@ def pair_counts(blocks: DataFrame, n_blocks: int) -> DataFrame:
         most = np.zeros(len(a), np.int64)
         np.maximum.at(most, group, counts)
         best = counts == most[group]
-        found = [_verified(made, keys, _longs(pairs)) for pairs in rows["keys"].to_pylist()]
+        asked = rows["keys"].to_pylist()
+        index = _verified(made, keys, _longs(b"".join(asked)))
+        found = np.split(index, np.cumsum([len(x) // 8 for x in asked])[:-1])[: len(asked)]  # none for a lane that asks nothing
         return pa.table({"block": rows["block"], "keys": rows["keys"], "counts": pa.array([counts[i].astype("<i8").tobytes() for i in found], pa.binary()), "best": pa.array([best[i].tobytes() for i in found], pa.binary())})
 
     asked = blocks.groupBy("shard", "lane").cogroup(answers.groupBy("shard", "lane"))

@@ -53,7 +53,7 @@ class Words:
     """Ids of words that stand in a byte buffer: known ones by their hash, others from `encode`, which takes
     (buffer, starts, lengths) and returns (ids, number of ids of each word)."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most_words: int = 600_000):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most_words: int = 1_000_000):
         self.encode, self.most_words = encode, most_words
         self.forget()
 
@@ -140,7 +140,7 @@ class Words:
 class ByteBPE:
     """A byte-level BPE vocabulary: encode and decode."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
