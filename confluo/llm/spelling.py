@@ -2,16 +2,17 @@
 
 Words are counted by Spark. A word is then a vector of letter counts: the alphabet is every code point that words may
 hold. One edit changes one count by one (insertion, deletion) or two counts by one (replacement), so the squared
-distance of two near words is 1 or 2, and their lengths differ by at most one. Words lie in blocks by length and by the
-number of letters from each of PARTS fixed parts of the alphabet; near words lie in the same block or in an adjacent
-one, in which no number differs by more than one. A block with over CHUNK words is cut into chunks by a hash. Two chunks
-meet in one task: the NumPy product of their count matrices gives all squared distances, |a|^2 + |b|^2 - 2ab; pairs at
-1 or 2 are kept and their edit is verified on the code points. Only near pairs leave a task.
+distance of two near words is 1 or 2, and their lengths differ by at most one. Words lie in blocks of one length and one
+number of letters from each of CLASSES fixed classes of the alphabet; near words lie in the same block or in an adjacent
+one, where one class has a letter more or less, or one has a letter more and another a letter less. A block with over
+CHUNK words is cut into chunks by a hash. A task meets two chunks: the NumPy product of their count matrices gives all
+squared distances, |a|^2 + |b|^2 - 2ab; pairs at 1 or 2 are kept and their edit is verified on the code points. Only near
+pairs leave a task.
 
 Forms and roots are Spark joins: a word's form is its most frequent near word, if that is FORM times as frequent; roots
 follow forms by pointer doubling, so n links take log2(n) joins. Frequencies grow along a chain, so it ends.
 
-Memory of a task: two chunks at a time. A word goes to as many tasks as its block's neighbours have chunks. Nothing
+Memory of a task: a batch of pairs of chunks. A chunk goes to as many tasks as its block's neighbours have chunks. Nothing
 passes the driver but whether a root still moves.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as the empty string in the planted deletions;
@@ -22,7 +23,7 @@ word; an empty table gives an empty table; other columns of the input are not ca
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import product
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from confluo.llm.common import drop_stored, stored
 
 LEAST_LETTERS, LEAST_N, FORM = 6, 5, 5
-CHUNK, CHUNK_LETTERS, PARTS = 2048, 400_000, 2
+CHUNK, CHUNK_LETTERS, CLASSES = 2048, 400_000, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = [*LOWER, *(chr(c) for c in range(0xC0, 0x100))]
 
@@ -57,10 +58,17 @@ def word_counts(docs: DataFrame, every: int = 199) -> DataFrame:
     return counted.where((F.length("word") >= LEAST_LETTERS) & (F.col("n") >= LEAST_N))
 
 
-def _in_part(word: Column, part: int) -> Column:
-    """How many of the word's letters are in a part of the alphabet: every (PARTS + 1)th letter; the last part is not counted."""
-    chosen = "".join(LETTERS[part :: PARTS + 1])
-    return F.length(word) - F.length(F.translate(word, chosen, ""))
+def _in_class(word: Column, number: int) -> Column:
+    """How many of the word's letters are in a class of the alphabet, every CLASSES-th letter."""
+    return F.length(word) - F.length(F.translate(word, "".join(LETTERS[number::CLASSES]), ""))
+
+
+def _steps() -> list[tuple[int, ...]]:
+    """To a block itself and to those of its neighbours that come after it: what one edit may change in the classes."""
+    unit = [tuple(int(i == k) for i in range(CLASSES)) for k in range(CLASSES)]
+    minus = lambda x, y: tuple(p - q for p, q in zip(x, y))
+    none = (0,) * CLASSES
+    return [none, *unit, *[minus(x, y) for x, y in permutations(unit, 2) if minus(x, y) > none]]
 
 
 def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,51 +127,36 @@ def near_words(a: list[str], b: list[str], rows: int = 1024) -> tuple[np.ndarray
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n) -> (word, other, other_n): all near pairs, in both directions."""
-    numbers = [F.length("word"), *[_in_part(F.col("word"), p) for p in range(PARTS)]]
-    blocked = words.select("word", "n", F.array(*numbers).alias("block"))
-    fit = F.greatest(F.lit(1.0), F.least(F.lit(CHUNK), F.lit(CHUNK_LETTERS) / F.first("block")[0]))
-    sizes = blocked.groupBy("block").agg(F.ceil(F.count("*") / fit).cast("int").alias("chunks"))
-    # a block meets those of its neighbours that come after it, and itself
-    steps = [s for s in product((-1, 0, 1), repeat=PARTS + 1) if s >= (0,) * (PARTS + 1)]
-    moved = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
+    blocked = words.select("word", "n", F.array(*[_in_class(F.col("word"), k) for k in range(CLASSES)]).alias("block"))
+    fit = F.greatest(F.lit(1.0), F.least(F.lit(CHUNK), F.lit(CHUNK_LETTERS) / F.first(F.length("word"))))
+    sizes = stored(blocked.groupBy("block").agg(F.ceil(F.count("*") / fit).cast("int").alias("chunks")), "spelling-sizes")
+    # a chunk is one row, of CHUNK words or so
+    chunk = F.pmod(F.xxhash64("word"), F.col("chunks")).cast("int")
+    chunks = blocked.join(sizes, "block").groupBy("block", chunk.alias("i")).agg(F.collect_list(F.struct("word", "n")).alias("held"))
+    chunks = stored(chunks.select("block", "i", F.transform("held", lambda h: h["word"]).alias("words"), F.transform("held", lambda h: h["n"]).alias("ns")), "spelling-chunks")
+    moved = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _steps()])
     other = F.transform(moved, lambda s: F.zip_with(s, F.col("block"), lambda x, y: x + y))
-    pairs = sizes.select("block", "chunks", F.explode(other).alias("block_b"))
-    pairs = pairs.join(sizes.select(F.col("block").alias("block_b"), F.col("chunks").alias("chunks_b")), "block_b")
-    pairs = stored(pairs, "spelling-blocks")
+    pairs = sizes.select("block", "chunks", F.explode(other).alias("block_b")).join(sizes.select(F.col("block").alias("block_b"), F.col("chunks").alias("chunks_b")), "block_b")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
-    task = ["block", "block_b", "i", "j"]
-    dealt = blocked.join(pairs, "block").select("word", "n", "block", "block_b", F.lit(0).alias("side"), own("chunks").alias("i"), F.explode(every("chunks_b")).alias("j"))
-    others = blocked.withColumnRenamed("block", "block_b").join(pairs, "block_b")
-    dealt_b = others.select("word", "n", "block", "block_b", F.lit(1).alias("side"), F.explode(every("chunks")).alias("i"), own("chunks_b").alias("j"))
-    # within a block two chunks meet once
-    both = dealt.unionByName(dealt_b).where((F.col("block") != F.col("block_b")) | (F.col("i") <= F.col("j")))
-    rows = both.select(F.xxhash64(*task).alias("task"), *task, "side", "word", "n").repartition("task", *task).sortWithinPartitions(*task)
+    tasks = pairs.withColumn("i", F.explode(every("chunks"))).withColumn("j", F.explode(every("chunks_b"))).drop("chunks", "chunks_b")
+    tasks = tasks.where((F.col("block") != F.col("block_b")) | (F.col("i") <= F.col("j")))  # within a block two chunks meet once
+    of = lambda side, block, i: chunks.select(F.col("block").alias(block), F.col("i").alias(i), F.col("words").alias(f"words_{side}"), F.col("ns").alias(f"ns_{side}"))
+    met = tasks.join(of("a", "block", "i"), ["block", "i"]).join(of("b", "block_b", "j"), ["block_b", "j"])
+    same = (F.col("block") == F.col("block_b")) & (F.col("i") == F.col("j"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        sides: tuple[list, list] = ([], [])
-
-        def ready() -> pa.RecordBatch:
-            (a, b), same = sides, group is not None and group[0] == group[1] and group[2] == group[3]
-            i, j = near_words([w for w, _ in a], [w for w, _ in b])
-            pairs = [(*a[x], *b[y]) for x, y in zip(i.tolist(), j.tolist())]
-            if not same:
-                pairs += [(w, n, v, m) for v, m, w, n in pairs]
-            return pa.record_batch([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[2] for p in pairs], pa.string()), pa.array([p[3] for p in pairs], pa.int64())], names=["word", "other", "other_n"])
-
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for block, block_b, i, j, side, word, n in zip(*columns):
-                if (found := (block, block_b, i, j)) != group:
-                    if group is not None:
-                        yield ready()
-                    group, sides = found, ([], [])
-                sides[side].append((word, n))
-        if group is not None:
-            yield ready()
-
-    return rows.select(*task, "side", "word", "n").mapInArrow(run, "word string, other string, other_n long")
+            for row in range(batch.num_rows):
+                alone, a, n_a, b, n_b = (batch.column(k)[row].as_py() for k in range(5))
+                i, j = near_words(a, b)
+                if len(i):
+                    i, j = i.tolist(), j.tolist()
+                    word, other, other_n = [a[x] for x in i], [b[y] for y in j], [n_b[y] for y in j]
+                    if not alone:
+                        word, other, other_n = word + other, other + word, other_n + [n_a[x] for x in i]
+                    yield pa.record_batch([pa.array(word, pa.string()), pa.array(other, pa.string()), pa.array(other_n, pa.int64())], names=["word", "other", "other_n"])
+
+    return met.select(same.alias("alone"), "words_a", "ns_a", "words_b", "ns_b").mapInArrow(run, "word string, other string, other_n long")
 
 
 def variants(docs: DataFrame, every: int = 199) -> DataFrame:
