@@ -97,13 +97,47 @@ def partial_update(rows: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return found.drop(*[f"_new_{c}" for c in fields])
 
 
+def _inside(value: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least(high, value))
+
+
+def moments(value: Column) -> Column:
+    """An aggregate: (n, total, mean, m2) of a group's values, m2 the sum of squared deviations. Nulls and NaN do not count.
+
+    The mean lies between the least and the greatest value, also where the total was rounded, and a constant group has
+    exactly that mean and m2 = 0, which Spark's own variance may miss by what its merging of partitions rounds.
+    """
+    known = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = {"n": F.count(known), "total": zero(F.sum(known)), "mean": zero(_inside(F.avg(known), F.min(known), F.max(known))), "m2": F.when(F.min(known) < F.max(known), F.var_pop(known) * F.count(known)).otherwise(0.0)}
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+
+def merged_moments(parts: Column) -> Column:
+    """The moments of all values from an array of the moments of parts, pairwise: no difference of large sums is taken."""
+
+    def merge(x: Column, y: Column) -> Column:
+        n, total, step = x["n"] + y["n"], x["total"] + y["total"], y["mean"] - x["mean"]
+        both = _inside(total / n, F.least(x["mean"], y["mean"]), F.greatest(x["mean"], y["mean"]))
+        mean = F.when(x["n"] == 0, y["mean"]).when(y["n"] == 0, x["mean"]).otherwise(both)
+        m2 = x["m2"] + y["m2"] + F.when((x["n"] > 0) & (y["n"] > 0), step * step * x["n"] * (y["n"] / n)).otherwise(0.0)
+        return F.struct(n.alias("n"), total.alias("total"), mean.alias("mean"), m2.alias("m2"))
+
+    return F.reduce(parts, F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("total", "mean", "m2")]), merge)
+
+
+def deviation(of: Column) -> Column:
+    """The population deviation; null without values."""
+    return F.when(of["n"] > 0, F.sqrt(of["m2"] / of["n"]))
+
+
 def trailing_scores(daily: DataFrame, keys: Sequence[str], short: int = 7, long: int = 30) -> DataFrame:
-    """(keys, day, n, total, squares), one row a day -> with the means of the last `short` and `long` days and the z-score
-    of the first in the second's population deviation (null where that is 0)."""
+    """(keys, day, moments), one row a day -> with the means of the last `short` and `long` days and the z-score of the first
+    in the second's population deviation (null where that is 0). A window holds one row a day, `long` at most."""
     over = lambda days: Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
-    total = lambda c, days: F.sum(c).over(over(days))
-    out = daily.withColumns({"mean_short": total("total", short) / total("n", short), "mean_long": total("total", long) / total("n", long)})
-    out = out.withColumn("std_long", F.sqrt(F.greatest(F.lit(0.0), total("squares", long) / total("n", long) - F.col("mean_long") ** 2)))
+    out = daily.withColumns({f"_{name}": merged_moments(F.collect_list("moments").over(over(days))) for name, days in (("short", short), ("long", long))})
+    mean = lambda name: F.when(F.col(f"_{name}.n") > 0, F.col(f"_{name}.mean"))
+    out = out.withColumns({"mean_short": mean("short"), "mean_long": mean("long"), "std_long": deviation(F.col("_long"))}).drop("_short", "_long")
     return out.withColumn("z", F.when(F.col("std_long") > 0, (F.col("mean_short") - F.col("mean_long")) / F.col("std_long")))
 
 

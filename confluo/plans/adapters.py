@@ -93,7 +93,7 @@ SELECT p_partkey AS market_id, {_question()} AS question, p_type || '||' || p_br
 FROM {{part}}""",
     "prices": "SELECT user_id AS case_id, event_id, ts, value / 500 AS price FROM {events}",
     "activity": "SELECT event_id, ts, user_id, event_type, value FROM {events}",
-    "articles": "SELECT doc_id, substring(text, 1, 80) AS title, text, source, lang FROM {documents}",
+    "articles": "SELECT doc_id, split_part(text, chr(10), 1) AS title, text, source, lang FROM {documents}",
     "nations": "SELECT n_nationkey, n_name, n_regionkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
     "parts": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM {part}",
 }
@@ -122,7 +122,7 @@ WHERE l_returnflag = 'R'""",
 SELECT s_name AS name, 'Active since ' || CAST(1990 + s_suppkey % 9 AS STRING) || ', aims at NATION_' || CAST(s_suppkey * 7 % 25 AS STRING) || ' and Nation_' || CAST(s_suppkey % 25 AS STRING) || '; not NATION_1x.' AS description
 FROM {supplier}""",
     "reports": """
-SELECT doc_id, substring(text, 1, 40) || ' NATION_' || CAST(doc_id % 25 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN ' and the Northern State, again Nation_' || CAST((doc_id + 1) % 25 AS STRING) ELSE '' END AS text,
+SELECT doc_id, coalesce(text, '') || ' NATION_' || CAST(doc_id % 25 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN ' and the Northern State, again Nation_' || CAST((doc_id + 1) % 25 AS STRING) ELSE '' END AS text,
   source, TIMESTAMP '1998-07-01 00:00:00' - CAST(doc_id % 720 AS INT) * INTERVAL '1' HOUR AS date
 FROM {documents}""",
     "questions": """

@@ -14,7 +14,7 @@ from confluo.plans import rules
 from confluo.plans.adapters import AS_OF, cte, table
 from confluo.plans.rule_queries import T0, sid
 from confluo.sources import feeds, normalise, store
-from confluo.sources.scratch import scratch_path
+from confluo.sources.scratch import in_slices, scratch_path
 from confluo.streaming import jobs
 
 QUERIES: dict = {}
@@ -52,6 +52,10 @@ POINTS = """CASE WHEN g <= -9 THEN 4 WHEN g <= -7 THEN 3 WHEN g <= -5 THEN 2 WHE
   + CASE WHEN t <= -8 THEN 2 WHEN t <= -5 THEN 1.5 WHEN t <= -3 THEN 1 WHEN t <= -1 THEN 0.5 ELSE 0 END AS pts"""
 
 
+# the library's own id where the export has none
+EVENT_ID = f"""CASE WHEN part % 4 = 0 THEN {sid("CASE WHEN part % 3 = 0 THEN strftime(date, '%Y%m%d%H%M%S') ELSE strftime(date, '%Y%m%d') END", "'u/' || event_id", "source_country", "target_country")} ELSE event_id END"""
+
+
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated lines as an export has them, with stray quotes, and for every tenth row a line that is cut off."""
     values = dict.fromkeys(feeds.EVENT_COLUMNS, F.lit("")) | {
@@ -64,7 +68,7 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("date", F.explode(F.when(F.col("part") % 10 == 0, F.array(whole, F.lit('cut "off\tline'))).otherwise(F.array(whole))).alias("value"))
 
 
-@query("feed_events", f""", e AS (SELECT *, CASE WHEN part % 4 = 0 THEN {sid("CASE WHEN part % 3 = 0 THEN strftime(date, '%Y%m%d%H%M%S') ELSE strftime(date, '%Y%m%d') END", "'u/' || event_id", "source_country", "target_country")} ELSE event_id END AS id,
+@query("feed_events", f""", e AS (SELECT *, {EVENT_ID} AS id,
   round(goldstein_scale, 2) AS g, CASE WHEN num_articles = 0 THEN 1 ELSE num_articles END AS n, round(tone, 2) AS t FROM t_events), p AS (SELECT *, {POINTS} FROM e)
 SELECT id AS event_id, strftime(date, '%Y-%m-%d') AS day, CASE WHEN ns.n_nationkey < 20 THEN 'LAND ' || CAST(ns.n_nationkey AS VARCHAR) ELSE source_country END AS source_country, target_country, event_code,
   g AS goldstein_scale, t AS tone, CAST(n AS INTEGER) AS num_articles, CAST(quad_class AS INTEGER) AS quad_class, '"' || actor1_name AS actor1_name, {SEVERITY} AS severity
@@ -134,11 +138,11 @@ def feed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("properties")["name"].alias("name"), "geo.lat", "geo.lon")
 
 
-@query("feed_news", ", k AS (SELECT doc_id, source, length(text) AS n, list_filter([" + ", ".join(f"'{w}'" for w in scalars.ARTICLE_KEYWORDS) + "], lambda x: regexp_matches(lower('Report ' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN ' of war' ELSE ' of a warm coup' END || ' ' || text), '\\b' || x || '\\b')) AS m, text FROM t_articles WHERE text IS NOT NULL) SELECT doc_id, source, array_to_string(m, ',') AS keywords, least(length(text), 500) AS n_summary FROM k WHERE len(m) > 0", "articles")
+@query("feed_news", ", k AS (SELECT doc_id, source, length(text) AS n, list_filter([" + ", ".join(f"'{w}'" for w in scalars.ARTICLE_KEYWORDS) + "], lambda x: regexp_matches(lower('Report ' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN ' of war' ELSE ' of a warm coup' END || ' ' || coalesce(text, '')), '\\b' || x || '\\b')) AS m, text FROM t_articles) SELECT doc_id, source, array_to_string(m, ',') AS keywords, least(length(coalesce(text, '')), 500) AS n_summary FROM k WHERE len(m) > 0", "articles")
 def feed_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "feed-news")
     title = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, " of war").otherwise(" of a warm coup"))
-    table(spark, sf_dir, "articles").where("text IS NOT NULL").select(title.alias("title"), F.col("text").alias("content"), F.concat(F.lit("http://n/"), F.col("doc_id").cast("string")).alias("link"), "source", F.lit("1998-06-01T00:00:00Z").alias("isoDate")).write.json(path)
+    table(spark, sf_dir, "articles").select(title.alias("title"), F.col("text").alias("content"), F.concat(F.lit("http://n/"), F.col("doc_id").cast("string")).alias("link"), "source", F.lit("1998-06-01T00:00:00Z").alias("isoDate")).write.json(path)
     rows = normalise.articles(feeds.feed_articles(spark, path))
     return rows.select(F.substring("url", 10, 20).cast("long").alias("doc_id"), "source", F.array_join("keywords", ",").alias("keywords"), F.length("summary").cast("long").alias("n_summary"))
 
@@ -308,12 +312,12 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     schema = rows.withColumn("month", F.lit("")).schema
     missing = store.read_table(spark, path, schema)  # nothing has been written yet
-    store.ensure_table(spark, path, schema, "month")
+    store.ensure_table(spark, path)
     store.upsert_table(rows.where("event_id % 3 <> 0").unionByName(missing.drop("month")), path, ["event_id", "country"], ["version"])
     later = rows.where("event_id % 2 = 0").withColumns({"date": F.col("date") + F.expr("INTERVAL '40' DAY"), "fatalities": F.col("fatalities") + 1, "version": F.lit(1)})
     for _ in range(2):
         store.upsert_table(later, path, ["event_id", "country"], ["version"])
-    return spark.read.schema(schema).parquet(path).select("event_id", "country", "fatalities", "month")
+    return store.read_table(spark, path, schema).select("event_id", "country", "fatalities", "month")
 
 
 @query("high_water_mark", "SELECT country, count(*) AS n FROM t_conflicts WHERE date > (SELECT max(date) FROM t_conflicts WHERE date < TIMESTAMP '1998-03-01') GROUP BY 1", "conflicts")
@@ -334,29 +338,24 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("stream_ingest", "SELECT event_id, strftime(max(date), '%Y-%m-%d') AS day FROM t_events WHERE part % 4 <> 0 GROUP BY 1", "events")
+@query("stream_ingest", f""", e AS (SELECT *, {EVENT_ID} AS id FROM t_events) SELECT id AS event_id, strftime(max(date), '%Y-%m-%d') AS day FROM e GROUP BY 1""", "events")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event files as a stream, upserted by id; a second stream over the same files changes nothing."""
     folder, path = scratch_path(spark, "landing"), scratch_path(spark, "ingested")
     lines = _event_lines(spark, sf_dir)
-    lines.where(~F.col("value").startswith("\t")).select("value").write.text(folder)
+    lines.select("value").write.text(folder)
     for _ in range(2):
         jobs.ingest_events(spark, folder, path, scratch_path(spark, "offsets"), AS_OF)
-    return spark.read.parquet(path).select("event_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
+    stored = spark.createDataFrame([], "event_id string, date timestamp_ntz").schema
+    return store.read_table(spark, path, stored).select("event_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-@query("stream_near", f"""SELECT o.outage_id, e.event_id, e.fatalities FROM t_live_outages o JOIN t_live_conflicts e ON o.country = e.country AND e.date BETWEEN o.start_time - INTERVAL '6' HOUR AND o.start_time + INTERVAL '6' HOUR
-WHERE o.start_time >= {T0} - INTERVAL '720' HOUR""", "live_outages", "live_conflicts")
+@query("stream_near", "SELECT o.outage_id, e.event_id, e.fatalities FROM t_live_outages o JOIN t_live_conflicts e ON o.country = e.country AND e.date BETWEEN o.start_time - INTERVAL '48' HOUR AND o.start_time + INTERVAL '48' HOUR", "live_outages", "live_conflicts")
 def stream_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two streams joined within some hours."""
-    streams = []
-    for name, at in (("live_outages", "start_time"), ("live_conflicts", "date")):
-        path = scratch_path(spark, name)
-        table(spark, sf_dir, name).write.parquet(path)
-        streams.append(jobs.parquet_stream(spark, path, at))
-    recent = streams[0].where(F.col("start_time") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL '720' HOUR"))
-    near = jobs.outages_near_events(recent, streams[1], hours=6, delay="4000 days")
-    return _drain(near.select("o.outage_id", "e.event_id", "e.fatalities"), "near")
+    """Two streams joined within two days; their files arrive in order of time, one of each a batch."""
+    cuts = ["1998-04-20", "1998-05-15", "1998-06-08"]
+    streams = [jobs.parquet_stream(spark, in_slices(table(spark, sf_dir, name), at, cuts, name), at, per_trigger=1) for name, at in (("live_outages", "start_time"), ("live_conflicts", "date"))]
+    return _drain(jobs.outages_near_events(*streams).select("o.outage_id", "e.event_id", "e.fatalities"), "near")
 
 
 @query("stream_enriched", "SELECT event_id, CASE event_type WHEN 'click' THEN 'CLICKED' WHEN 'view' THEN 'VIEWED' ELSE upper(event_type) END AS event_type FROM t_activity", "activity")
@@ -376,4 +375,4 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         found.write.mode("append").parquet(landed)
     jobs.alert_stream(spark.readStream.schema(found.schema).parquet(landed), path, scratch_path(spark, "offsets"))
-    return spark.read.parquet(path).select("correlation_id", "severity")
+    return store.read_table(spark, path, found.select("correlation_id", "severity").schema)

@@ -11,7 +11,7 @@ from confluo.plans import panels, rules
 from confluo.plans import rule_queries as R
 from confluo.plans.adapters import AS_OF, cte, table
 from confluo.sources import normalise
-from confluo.sources.scratch import scratch_path
+from confluo.sources.scratch import in_slices, scratch_path
 from confluo.streaming import jobs
 
 QUERIES: dict = {}
@@ -202,11 +202,12 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, tone, "complete").select(F.date_format("end", "yyyy-MM-dd").alias("day"), "event_type", F.round("mean", 4).alias("mean"), "n")
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a user and kind of event, as a stream with state."""
-    stream = jobs.parquet_stream(spark, f"{sf_dir}/events.parquet", "ts").withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    return _drained(spark, jobs.deduplicated(stream, "key", "ts", "4000 days").select("user_id", "event_type"), "append")
+    """One row a user, kind of event and day, as a stream with a day of state; files arrive in order of time, one a batch."""
+    landed = in_slices(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", ["2024-01-08", "2024-01-15", "2024-01-23"], "sorted-events")
+    stream = jobs.parquet_stream(spark, landed, "ts", per_trigger=1).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("key", F.concat_ws(":", "user_id", "event_type", "day"))
+    return _drained(spark, jobs.deduplicated(stream, "key", "ts").select("user_id", "event_type", "day"), "append")
 
 
 @query("stream_price_shift", """WITH c AS (SELECT user_id AS case_id, event_id, round(value / 500 - lag(value / 500) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS delta FROM events)
@@ -229,30 +230,28 @@ def stream_dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, stream.select("event_id", "user_id"), "append")
 
 
-SCORES = """, t AS (SELECT key, d, sum(s) OVER w7 / sum(n) OVER w7 AS m7, sum(s) OVER w30 / sum(n) OVER w30 AS m30, sum(q) OVER w30 / sum(n) OVER w30 AS q30 FROM d
+SCORES = """, t AS (SELECT key, d, sum(s) OVER w7 / CAST(sum(n) OVER w7 AS DOUBLE) AS m7, sum(s) OVER w30 AS s30, sum(q) OVER w30 AS q30, sum(n) OVER w30 AS n30 FROM d
   WINDOW w7 AS (PARTITION BY key ORDER BY d RANGE BETWEEN INTERVAL '6 DAY' PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY key ORDER BY d RANGE BETWEEN INTERVAL '29 DAY' PRECEDING AND CURRENT ROW)),
-z AS (SELECT *, sqrt(greatest(0.0, q30 - m30 * m30)) AS sd FROM t)
-SELECT key, strftime(d, '%Y-%m-%d') AS day, round(m7, 4) AS mean_short, round(m30, 4) AS mean_long, round(CASE WHEN sd > 1e-6 THEN (m7 - m30) / sd END, 3) AS z FROM z"""
+z AS (SELECT *, s30 / CAST(n30 AS DOUBLE) AS m30, sqrt(CAST(n30 * q30 - s30 * s30 AS DOUBLE)) / n30 AS sd FROM t)
+SELECT key, strftime(d, '%Y-%m-%d') AS day, round(m7, 4) AS mean_short, round(m30, 4) AS mean_long, round(CASE WHEN sd > 0 THEN (m7 - m30) / sd END, 3) AS z FROM z"""
 
 
 def _scores(rows: DataFrame) -> DataFrame:
-    z = F.when(F.col("std_long") > 1e-6, F.col("z"))
-    return rows.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("mean_short", 4).alias("mean_short"), F.round("mean_long", 4).alias("mean_long"), F.round(z, 3).alias("z"))
+    return rows.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("mean_short", 4).alias("mean_short"), F.round("mean_long", 4).alias("mean_long"), F.round("z", 3).alias("z"))
 
 
-@query("tone_scores", ", d AS (SELECT source_country AS key, CAST(date AS DATE) AS d, CAST(sum(CAST(round(tone) AS BIGINT)) AS DOUBLE) AS s, CAST(sum(CAST(round(tone) AS BIGINT) * CAST(round(tone) AS BIGINT)) AS DOUBLE) AS q, count(*) AS n FROM t_live_events GROUP BY 1, 2)" + SCORES, "live_events")
+@query("tone_scores", ", d AS (SELECT source_country AS key, CAST(date AS DATE) AS d, sum(CAST(round(tone) AS BIGINT)) AS s, sum(CAST(round(tone) AS BIGINT) * CAST(round(tone) AS BIGINT)) AS q, count(*) AS n FROM t_live_events GROUP BY 1, 2)" + SCORES, "live_events")
 def tone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each country's tone of the last week against its last month, for every day."""
-    whole = F.round("tone").cast("long")
     daily = table(spark, sf_dir, "live_events").groupBy(F.col("source_country").alias("key"), F.to_date("date").alias("day"))
-    daily = daily.agg(F.count("*").alias("n"), F.sum(whole).cast("double").alias("total"), F.sum(whole * whole).cast("double").alias("squares"))
+    daily = daily.agg(core.moments(F.round("tone")).alias("moments"))
     return _scores(core.trailing_scores(daily, ["key"]))
 
 
-@query("stream_scores", "WITH d AS (SELECT event_type AS key, CAST(ts AS DATE) AS d, CAST(sum(CAST(round(value) AS BIGINT)) AS DOUBLE) AS s, CAST(sum(CAST(round(value) AS BIGINT) * CAST(round(value) AS BIGINT)) AS DOUBLE) AS q, count(*) AS n FROM events GROUP BY 1, 2)" + SCORES)
+@query("stream_scores", "WITH d AS (SELECT event_type AS key, CAST(ts AS DATE) AS d, sum(CAST(round(value) AS BIGINT)) AS s, sum(CAST(round(value) AS BIGINT) * CAST(round(value) AS BIGINT)) AS q, count(*) AS n FROM events GROUP BY 1, 2)" + SCORES)
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of a stream."""
     stream = jobs.parquet_stream(spark, f"{sf_dir}/events.parquet", "ts").select("ts", F.col("event_type").alias("key"), F.round("value").alias("value"))
     out = scratch_path(spark, "scores")
     jobs.tone_scores(stream, "ts", ["key"], "value", out, scratch_path(spark, "offsets"))
-    return _scores(spark.read.parquet(out))
+    return _scores(jobs.read_scores(spark, out, spark.sql("SELECT '' AS key")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.scalars import mentioned, surrogate_id
-from confluo.operators.core import between, both_sides, canonical_pair, interval_join, since, top_per_group
+from confluo.operators.core import between, both_sides, canonical_pair, deviation, interval_join, merged_moments, moments, since, top_per_group
 
 # fixed values: event types that mean armed conflict
 CONFLICT_TYPES = ("Battles", "Violence against civilians", "Explosions/Remote violence", "Strategic developments")
@@ -107,22 +107,18 @@ def conflict_cyber(conflicts: DataFrame, groups: DataFrame, attribution: DataFra
 def rhetoric_shift(events: DataFrame, as_of: str, short: int = 7, long: int = 30, least: int = 10, z: float = 2.0, exact_std: bool = False) -> DataFrame:
     """Country pairs whose mean tone of the last days is off the longer baseline.
 
-    Both windows are aggregated in one pass, by direction first, then merged to pairs: weighted means, and the larger
-    of the two directions' deviations (or, with exact_std, the pooled one).
+    Both windows are aggregated in one pass to moments, by direction first, then merged to pairs; the deviation is the
+    larger of the two directions' (or, with exact_std, that of the pair). Constant tones have deviation 0 and no score.
     """
     tone = F.col("tone")
     now = F.when(F.col("date") >= since(as_of, short), tone)
     used = events.where(between("date", as_of, long) & (F.col("source_country") != "") & (F.col("target_country") != "") & tone.isNotNull())
-    directed = used.groupBy("source_country", "target_country").agg(
-        F.count(now).alias("n_short"), F.sum(now).alias("sum_short"), F.count(tone).alias("n_long"), F.sum(tone).alias("sum_long"),
-        F.stddev_pop(tone).alias("std_long"), F.sum(tone * tone).alias("squares"),
-    )
-    pairs = directed.groupBy(*canonical_pair("source_country", "target_country")).agg(
-        *[F.sum(c).alias(c) for c in ("n_short", "sum_short", "n_long", "sum_long", "squares")], F.max("std_long").alias("std_long")
+    directed = used.groupBy("source_country", "target_country").agg(moments(now).alias("short"), moments(tone).alias("long"))
+    pairs = directed.groupBy(*canonical_pair("source_country", "target_country")).agg(  # two directions at most
+        merged_moments(F.collect_list("short")).alias("short"), merged_moments(F.collect_list("long")).alias("long"), F.max(deviation(F.col("long"))).alias("std_long")
     )
-    pairs = pairs.withColumn("mean_short", F.col("sum_short") / F.col("n_short")).withColumn("mean_long", F.col("sum_long") / F.col("n_long"))
-    std = F.sqrt(F.col("squares") / F.col("n_long") - F.col("mean_long") ** 2) if exact_std else F.col("std_long")
-    pairs = pairs.withColumn("z", F.when(std > 0, (F.col("mean_short") - F.col("mean_long")) / std))
+    pairs = pairs.select("country_a", "country_b", *[F.col(f"{w}.{c}").alias(f"{c}_{w}") for w in ("short", "long") for c in ("n", "mean")], (deviation(F.col("long")) if exact_std else F.col("std_long")).alias("std"))
+    pairs = pairs.withColumn("z", F.when(F.col("std") > 0, (F.col("mean_short") - F.col("mean_long")) / F.col("std")))
     out = pairs.where((F.col("n_short") >= least) & (F.col("n_long") >= least) & (F.abs("z") >= z))
     return out.select(
         surrogate_id("rhetoric_shift", F.col("country_a"), F.col("country_b"), _day(as_of)).alias("correlation_id"),
@@ -230,15 +226,24 @@ def case_changes(prices: DataFrame, as_of: str) -> DataFrame:
     return known.select("case_id", F.col("now.ts").alias("at"), F.col("now.price").alias("price"), change("day").alias("change_24h"), change("week").alias("change_7d"))
 
 
+def worst_events(events: DataFrame, most: int) -> DataFrame:
+    """(country, event_id, goldstein_scale, event_at): so many of each country's worst events. Of any set of countries the
+    so many worst are among these, so a join with cases meets few rows a country."""
+    rows = both_sides(events).select("country", "event_id", "goldstein_scale", F.col("date").alias("event_at"))
+    order = (F.col("goldstein_scale"), F.col("event_at"), F.col("event_id"))
+    once = top_per_group(rows, ["country", "event_id"], 1, *order).drop("rank")
+    return top_per_group(once, ["country"], most, *order).drop("rank")
+
+
 def prediction_event_match(cases: DataFrame, events: DataFrame, as_of: str, moved: float = 0.10, intensity: float = 7.0, days: int = 7, hours: int = 72, most: int = 10) -> DataFrame:
     """Cases (case_id, countries, at, change_24h, change_7d) that moved while an intense event befell one of their countries."""
     change = F.when(F.abs(F.coalesce("change_24h", F.lit(0.0))) > F.abs(F.coalesce("change_7d", F.lit(0.0))), F.col("change_24h")).otherwise(F.col("change_7d"))
     movers = cases.where(between("at", as_of, days)).withColumn("change", change).where(F.abs("change") > moved)
-    strong = both_sides(events.where((F.abs("goldstein_scale") > intensity) & between("date", as_of, hours / 24)))
-    strong = strong.select("country", "event_id", "goldstein_scale", F.col("date").alias("event_at"))
-    found = movers.withColumn("country", F.explode("countries")).join(strong, "country")
-    found = top_per_group(found, ["case_id", "event_id"], 1, F.col("goldstein_scale"), F.col("event_at")).drop("rank")
-    worst = top_per_group(found, ["case_id"], most, F.col("goldstein_scale"), F.col("event_at"), F.col("event_id"))
+    order = (F.col("goldstein_scale"), F.col("event_at"), F.col("event_id"))
+    strong = worst_events(events.where((F.abs("goldstein_scale") > intensity) & between("date", as_of, hours / 24)), most)
+    found = movers.withColumn("country", F.explode(F.array_distinct("countries"))).join(strong, "country")
+    found = top_per_group(found, ["case_id", "event_id"], 1, *order).drop("rank")
+    worst = top_per_group(found, ["case_id"], most, *order)
     out = worst.groupBy("case_id", "at", "change").agg(F.count("*").alias("n_events"), F.min(F.struct("goldstein_scale", "event_at", "event_id")).alias("worst"))
     early = F.col("at") < F.col("worst.event_at")
     return out.select(

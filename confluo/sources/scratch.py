@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,12 @@ def materialised(rows: DataFrame, name: str) -> DataFrame:
     path = scratch_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def in_slices(rows: DataFrame, at: str, cuts: list[str], name: str) -> str:
+    """A folder of files that arrive in order of time: rows up to the first cut, from it to the next, and so on."""
+    path = scratch_path(rows.sparkSession, name)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.where(F.col(at) >= low)
+        (part if high is None else part.where(F.col(at) < high)).coalesce(1).write.mode("append").parquet(path)
+    return path

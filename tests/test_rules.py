@@ -139,3 +139,41 @@ def test_own_groups_fall_back_twice(spark):
     who = spark.createDataFrame([("A", "bear"), ("A", "x"), ("B", "Cat"), ("B", "crow"), ("B", "y"), *[("C", f"z{i}") for i in range(9)]], "country string, name string")
     nobody = who.limit(0)
     assert sorted((r.countries, r.n_offensive) for r in rules.outage_apt(cut, groups, who, nobody, AS_OF).collect()) == [("A", 1), ("B", 2), ("C", 3)]
+
+
+def test_constant_tones_have_no_deviation_and_raise_nothing(spark):
+    for tone in (0.7, 3.3, -2.3, 1e9 + 0.1):
+        rows = [(f"{i}", datetime(2024, 6, 1 + i % 29, i % 24), "AB"[i % 2], "BA"[i % 2], 0.0, tone) for i in range(137)]
+        frame = events(spark, rows)
+        for exact in (True, False):
+            assert rules.rhetoric_shift(frame, AS_OF, exact_std=exact).count() == 0
+        daily = frame.groupBy("source_country", F.to_date("date").alias("day")).agg(core.moments(F.col("tone")).alias("moments"))
+        scored = core.trailing_scores(daily, ["source_country"]).collect()
+        assert {(r.std_long, r.z, r.mean_long) for r in scored} == {(0.0, None, tone)}
+    many = spark.range(1_000_000).select((F.col("id") % 13).alias("k"), F.lit(0.1).alias("x"))
+    whole = many.groupBy("k").agg(core.moments(F.col("x")).alias("m")).agg(core.merged_moments(F.collect_list("m")).alias("m")).first().m
+    assert (whole.n, whole.mean, whole.m2) == (1_000_000, 0.1, 0.0)
+
+
+def test_merged_moments_equal_those_of_all_values(spark):
+    values = [(i % 5, 1e6 + (i * 37 % 101) / 7) for i in range(999)] + [(5, None), (6, float("nan"))]
+    frame = spark.createDataFrame(values, "k int, x double")
+    parts = frame.groupBy("k").agg(core.moments(F.col("x")).alias("m"))
+    m, std = parts.agg(core.merged_moments(F.collect_list("m")).alias("m")).select("m", core.deviation(F.col("m"))).first()
+    want = [x for _, x in values if x is not None and x == x]
+    mean = sum(want) / len(want)
+    assert m.n == 999 and abs(m.mean - mean) < 1e-6 and abs(std - (sum((x - mean) ** 2 for x in want) / 999) ** 0.5) < 1e-9
+
+
+def test_a_busy_country_sends_few_events_to_the_join(spark):
+    """Ten events a country meet its cases, however many there are; the result is that of all pairs."""
+    e = events(spark, [(f"e{i}", datetime(2024, 6, 29, i % 20, i // 60), "A", "AB"[i % 7 == 0], -7.5 - (i * 31 % 97) / 40, 0.0) for i in range(600)])
+    cases = spark.createDataFrame([(i, ["A", "A", "B"] if i % 2 else ["B"], at(29), 0.5, 0.0) for i in range(200)], "case_id int, countries array<string>, at timestamp_ntz, change_24h double, change_7d double")
+    found = rules.prediction_event_match(cases, e, AS_OF)
+    rows = found.collect()
+    worst = {c: sorted((r.goldstein_scale, r.date, r.event_id) for r in e.collect() if c in (r.source_country, r.target_country))[:10] for c in "AB"}
+    for r in rows:
+        want = sorted({*worst["B"], *(worst["A"] if r.case_id % 2 else [])})[:10]
+        assert (r.n_events, r.worst_event) == (len(want), want[0][2])
+    assert len(rows) == 200
+    assert {r["count"] for r in rules.worst_events(e, 10).groupBy("country").count().collect()} == {10}

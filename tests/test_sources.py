@@ -92,13 +92,14 @@ def test_store(spark, tmp_path):
     store.upsert_table(rows(("a", 1, None), ("b", 1, None)), path, ["k"], ["v"])
     for _ in range(2):
         store.upsert_table(rows(("b", 2, None), ("c", 1, None)), path, ["k"], ["v"])
-    got = sorted((r.k, r.v, r.month) for r in spark.read.option("basePath", path).parquet(path).withColumn("month", F.col("month").cast("string")).collect())
+    whole = spark.createDataFrame([], "k string, v int, month string").schema
+    got = sorted(map(tuple, store.read_table(spark, path, whole).collect()))
     assert got == [("a", 1, "2025-05"), ("b", 2, "2025-05"), ("c", 1, "2025-05")]
-    new = spark.createDataFrame([("x", 1), ("x", 2)], "id string, v int")
+    new = spark.createDataFrame([("x", 1, "2025-05-03"), ("x", 2, "2025-05-03")], "id string, v int, day string")
     store.append_new(new, str(tmp_path / "n"), ["id"])
     store.append_new(new, str(tmp_path / "n"), ["id"])
-    assert spark.read.parquet(str(tmp_path / "n")).count() == 1
+    assert store.read_table(spark, str(tmp_path / "n"), new.schema).count() == 1
     schema = new.schema
     assert store.read_table(spark, str(tmp_path / "none"), schema).count() == 0
-    store.ensure_table(spark, str(tmp_path / "none"), schema)
+    store.ensure_table(spark, str(tmp_path / "none"))
     assert store.read_table(spark, str(tmp_path / "none"), schema).count() == 0
