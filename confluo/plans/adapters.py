@@ -91,9 +91,9 @@ FROM {{part}}""",
 SELECT p_partkey AS market_id, {_question()} AS question, p_type || '||' || p_brand AS countries, p_size / 50.0E0 AS price, p_retailprice AS volume,
   CASE WHEN p_partkey % 4 = 1 THEN 'B' ELSE 'C' END AS platform
 FROM {{part}}""",
-    "prices": "SELECT user_id AS case_id, event_id, ts, value / 500 AS price FROM {events}",
+    "prices": "SELECT user_id AS case_id, event_id, ts, value / 500 AS price, 10 + CAST(event_id % 97 AS BIGINT) AS volume FROM {events}",
     "activity": "SELECT event_id, ts, user_id, event_type, value FROM {events}",
-    "articles": "SELECT doc_id, split_part(text, chr(10), 1) AS title, text, source, lang FROM {documents}",
+    "articles": "SELECT doc_id, split_part(text, chr(10), 1) AS title, text, source, lang, TIMESTAMP '1998-07-01 00:00:00' - CAST(doc_id * 7 % 720 AS INT) * INTERVAL '1' HOUR AS date FROM {documents}",
     "nations": "SELECT n_nationkey, n_name, n_regionkey, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey",
     "parts": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM {part}",
 }

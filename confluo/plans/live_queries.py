@@ -3,17 +3,19 @@ alerts, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.operators import core
-from confluo.plans import adapters, rules, scores
+from confluo.plans import adapters, rollup, rules, scores
 from confluo.plans import rule_queries as R
 from confluo.plans.adapters import AS_OF, cte
 from confluo.plans.rule_queries import BODIES, MARKET_AS_OF, MOVES, T0, YOY, day, sid
-from confluo.sources.scratch import materialised
+from confluo.sources import store
+from confluo.sources.scratch import materialised, scratch_path
 
 RHETORIC_AS_OF = "1998-07-04 00:00:00"
 QUERIES: dict = {}
@@ -48,10 +50,21 @@ SLICES = {
 }
 
 
+_kept: dict[tuple, str] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """The session and what its tables' files are, so that nothing kept outlives a change of the tables."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 class Tables:
     """The tables of one run: each is cut to what the rules read, once, and kept for all of them.
 
-    prepare() makes several at a time, so that small jobs do not wait for each other.
+    prepare() makes several at a time, so that small jobs do not wait for each other. Hits of the rules and the hourly
+    rollup are stored tables, which later runs of a session over the same files read.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -68,12 +81,21 @@ class Tables:
             self.known |= dict(zip(missing, pool.map(self._made, missing)))
         return self
 
+    def _stored(self, name: str, fill: Callable[[str], None]) -> str:
+        key = (name, *_fingerprint(self.spark, self.sf_dir))
+        if key not in _kept or not store.exists(self.spark, _kept[key]):
+            path = scratch_path(self.spark, name)
+            fill(path)
+            _kept[key] = path
+        return _kept[key]
+
     def _made(self, name: str) -> DataFrame:
-        if name == "hits":
-            self.prepare(*SLICES)
-            return materialised(scores.run_rules(first_rules(self), as_of=AS_OF), "rule-hits")
-        if name == "event_activity":
-            return materialised(rules.event_activity(self("events"), AS_OF), "event-activity")
+        if name in ("hits", "correlations"):
+            path = self._stored(name, lambda path: store.append_new(getattr(self, f"_{name}")(), path, ["correlation_id"]))
+            return store.read_table(self.spark, path, self.spark.createDataFrame([], ", ".join(f"{c} string" for c in scores.CORRELATION_COLUMNS)).schema)
+        if name == "rollup":
+            path = self._stored(name, lambda path: rollup.add(rollup.partials(*[table(self.spark, self.sf_dir, n) for n in ("events", "conflicts", "sanctions", "outages", "transfers")]), path, "all"))
+            return rollup.read(self.spark.range(0), path, AS_OF, 30)
         rows = table(self.spark, self.sf_dir, name)
         if name not in SLICES:
             return rows
@@ -83,6 +105,14 @@ class Tables:
             rows = rows.where(core.between(at, AS_OF, before, -after))
         return materialised(rows.select(*columns), f"slice-{name}")
 
+    def _hits(self) -> DataFrame:
+        self.prepare(*SLICES)
+        return scores.run_rules(first_rules(self), as_of=AS_OF)
+
+    def _correlations(self) -> DataFrame:
+        rest = {n: f for n, f in all_rules(self).items() if n in (8, 10, 11, 12)}
+        return core.union_all([self("hits"), scores.run_rules(rest, as_of=AS_OF)])
+
 
 def first_rules(t) -> dict:
     """The rules that name countries and read no other rule's rows."""
@@ -181,7 +211,7 @@ def live_outage_apt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outage_apt_targeting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that aim at a country are found in their descriptions."""
     t = Tables(spark, sf_dir)
-    aimed = rules.targeted(t("profiles"), [f"NATION_{i}" for i in range(25)])
+    aimed = rules.targeted(t("profiles"), t("nations").select(F.col("n_name").alias("alias"), F.col("n_name").alias("name")))
     return rules.outage_apt(t("outages"), t("groups"), t("attribution"), aimed, AS_OF)
 
 
@@ -189,16 +219,17 @@ def outage_apt_targeting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_factors(t) -> dict[str, DataFrame]:
-    count = lambda df: df.groupBy("country").agg(F.count("*").alias("value"))
-    latest = core.latest_per_key(rules.with_yoy(t("spending").where("year <= 1998")), ["country"], F.desc("year"))
+    """Each factor by country: windows are sums of the rollup, correlations are the stored ones."""
+    counted = lambda kind, value="n": rollup.by_country(t("rollup"), kind, AS_OF, 30, value)
+    latest = core.latest_per_key(rules.with_yoy(table(t.spark, t.sf_dir, "spending").where("year <= 1998")), ["country"], F.desc("year"))
     return {
-        "negative_events": t("event_activity").select("country", F.col("negative").alias("value")),
-        "conflicts": count(t("conflicts").where(core.between("date", AS_OF, 30))),
-        "sanctions": count(t("sanctions").where(core.between("first_seen", AS_OF, 30))),
-        "groups": t("attribution").groupBy("country").agg(F.count_distinct("name").alias("value")),
-        "correlations": count(rules.by_country(t("hits"))),
+        "negative_events": counted("event", "negative"),
+        "conflicts": counted("conflict"),
+        "sanctions": counted("sanction"),
+        "groups": table(t.spark, t.sf_dir, "attribution").groupBy("country").agg(F.count_distinct("name").alias("value")),
+        "correlations": rules.by_country(t("hits")).groupBy("country").agg(F.count("*").alias("value")),
         "spending_growth": latest.select("country", F.greatest(F.lit(0.0), F.coalesce("yoy", F.lit(0.0))).cast("int").alias("value")),
-        "arms": t("transfers").where(core.between("date", AS_OF, 30)).groupBy(F.col("recipient_country").alias("country")).agg(F.floor(F.round(F.sum("tiv"), 2)).cast("long").alias("value")),
+        "arms": counted("transfer", "amount").select("country", F.floor(F.round("value", 2)).cast("long").alias("value")),
     }
 
 
@@ -231,9 +262,9 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("risk_gauge", RISK + f"SELECT country, risk_score, {LEVEL} FROM risk WHERE country = 'NATION_3'", *_RISK_TABLES)
-def risk_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_gauge(spark: SparkSession, sf_dir: str, country: str = "NATION_3") -> DataFrame:
     """The latest score of one country."""
-    return _risk(Tables(spark, sf_dir)).where("country = 'NATION_3'").select("country", "risk_score", "risk_level")
+    return _risk(Tables(spark, sf_dir)).where(F.col("country") == country).select("country", "risk_score", "risk_level")
 
 
 SIGNALS = ("events", "sanction", "outage", "market", "groups_active", "conflict", "spending")
@@ -244,9 +275,10 @@ def converging(t) -> DataFrame:
     cut = t("hits").where(F.col("rule_name").isin("diplomatic_escalation_apt", "outage_apt_activity", "military_buildup_cyber"))
     moved = market_cases(t).where(F.abs("change_7d") > 0.05).select(F.explode("countries").alias("country"))
     factors = risk_factors(t)
+    seen = lambda kind, days, value="n": rollup.by_country(t("rollup"), kind, AS_OF, days, value)
     signals = [
-        t("event_activity").where("tense >= 100"), t("sanctions").where(core.between("first_seen", AS_OF, 30)), t("outages").where(core.between("start_time", AS_OF, 7)), moved,
-        rules.by_country(cut), t("conflicts").where(core.between("date", AS_OF, 7)), factors["spending_growth"].where("value > 10"),
+        seen("event", 7, "tense").where("value >= 100"), seen("sanction", 30), seen("outage", 7), moved,
+        rules.by_country(cut), seen("conflict", 7), factors["spending_growth"].where("value > 10"),
     ]
     risk = scores.risk_score(t("nations").select(F.col("n_name").alias("country")), factors)
     return rules.convergence(list(zip(SIGNALS, signals)), risk, AS_OF)
@@ -289,9 +321,8 @@ ENGINE_SQL = f"SELECT DISTINCT * FROM ({HITS_SQL}\nUNION ALL " + "\nUNION ALL ".
 
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    rest = {n: f for n, f in all_rules(t).items() if n in (8, 10, 11, 12)}
-    return core.union_all([t("hits"), scores.run_rules(rest, as_of=AS_OF)])
+    """The stored correlations of all rules."""
+    return Tables(spark, sf_dir)("correlations")
 
 
 @query("rule_engine", f"SELECT * FROM ({ENGINE_SQL}) WHERE rule_name <> 'military_buildup_cyber'")
@@ -346,10 +377,11 @@ def rule_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.top_terms(correlations(spark, sf_dir), ["rule_name"], 15)
 
 
-@query("country_signals", f"SELECT correlation_id, rule_name, severity FROM ({ENGINE_SQL}) WHERE contains('||' || countries || '||', '||NATION_3||') ORDER BY correlation_id LIMIT 5")
-def country_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = correlations(spark, sf_dir).where(F.array_contains(F.split("countries", r"\|\|"), "NATION_3"))
-    return named.orderBy("correlation_id").limit(5).select("correlation_id", "rule_name", "severity")
+@query("country_signals", f"SELECT correlation_id, rule_name, severity, day FROM ({ENGINE_SQL}) WHERE contains('||' || countries || '||', '||NATION_3||') AND rule_name NOT IN ('military_buildup_cyber', 'rhetoric_shift') ORDER BY day DESC, correlation_id LIMIT 5")
+def country_signals(spark: SparkSession, sf_dir: str, country: str = "NATION_3", hidden: tuple[str, ...] = ("military_buildup_cyber", "rhetoric_shift")) -> DataFrame:
+    """A country's newest signals, without those of some rules."""
+    named = correlations(spark, sf_dir).where(F.array_contains(F.split("countries", r"\|\|"), country) & ~F.col("rule_name").isin(*hidden))
+    return named.orderBy(F.desc("day"), "correlation_id").limit(5).select("correlation_id", "rule_name", "severity", "day")
 
 
 @query("activity_total", f""", e AS ({ENGINE_SQL}), d AS ({DAYS}), a AS (SELECT strftime(date, '%Y-%m-%d') AS day FROM t_events UNION ALL SELECT day FROM e)

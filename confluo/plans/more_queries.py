@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confluo.functions import scalars
 from confluo.operators import core
+from confluo.operators.names import names_in
 from confluo.plans import panels, rules
 from confluo.plans import rule_queries as R
 from confluo.plans.adapters import AS_OF, cte, table
@@ -39,10 +40,10 @@ def shifts_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.date_histogram(moved, "ts", "week", *WEEKS).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("volume_weekly", f", w AS ({WEEK_SQL}) SELECT strftime(w, '%Y-%m-%d') AS bucket, coalesce(CAST(sum(CAST(round(price * 10000) AS BIGINT)) AS BIGINT), 0) AS n FROM w LEFT JOIN t_prices ON date_trunc('week', ts) = w GROUP BY 1", "prices")
+@query("volume_weekly", f", w AS ({WEEK_SQL}) SELECT strftime(w, '%Y-%m-%d') AS bucket, coalesce(CAST(sum(volume) AS BIGINT), 0) AS n FROM w LEFT JOIN t_prices ON date_trunc('week', ts) = w GROUP BY 1", "prices")
 def volume_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sum a week, in whole units so that no order of summing shows."""
-    rows = core.date_histogram(table(spark, sf_dir, "prices"), "ts", "week", *WEEKS, metric=F.sum(F.round(F.col("price") * 10000).cast("long")))
+    """The traded volume of each week."""
+    rows = core.date_histogram(table(spark, sf_dir, "prices"), "ts", "week", *WEEKS, metric=F.sum("volume"))
     return rows.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
@@ -97,14 +98,14 @@ def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("country_cases", "SELECT case_id, question, round(price, 4) AS price FROM t_cases WHERE list_contains(string_split(countries, '||'), 'Brand#3') ORDER BY volume DESC, case_id LIMIT 20", "cases")
-def country_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "cases").where(F.array_contains(F.split("countries", r"\|\|"), "Brand#3")).orderBy(F.desc("volume"), "case_id").limit(20)
+def country_cases(spark: SparkSession, sf_dir: str, country: str = "Brand#3") -> DataFrame:
+    rows = table(spark, sf_dir, "cases").where(F.array_contains(F.split("countries", r"\|\|"), country)).orderBy(F.desc("volume"), "case_id").limit(20)
     return rows.select("case_id", "question", F.round("price", 4).alias("price"))
 
 
 @query("outage_history", "SELECT outage_id, scope, severity, strftime(start_time, '%Y-%m-%d') AS day FROM t_outages WHERE country = 'NATION_3' ORDER BY start_time DESC, outage_id LIMIT 20", "outages")
-def outage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panels.latest(table(spark, sf_dir, "outages").where("country = 'NATION_3'"), "start_time", 20, "outage_id")
+def outage_history(spark: SparkSession, sf_dir: str, country: str = "NATION_3") -> DataFrame:
+    rows = panels.latest(table(spark, sf_dir, "outages").where(F.col("country") == country), "start_time", 20, "outage_id")
     return rows.select("outage_id", "scope", "severity", F.date_format("start_time", "yyyy-MM-dd").alias("day"))
 
 
@@ -118,17 +119,25 @@ NAMES = tuple(f"Nation_{i}" for i in range(25))
 NAMES_SQL = r"list_sort(list_distinct(list_transform(regexp_extract_all(upper(text), '\b(?:NATION_(?:1[0-9]|2[0-4]|[0-9])|NORTHERN STATE)\b'), lambda x: CASE x WHEN 'NORTHERN STATE' THEN 'NATION_7' ELSE x END)))"
 
 
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of countries, and another name of one."""
+    names = table(spark, sf_dir, "nations").select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"))
+    return names.union(spark.sql("SELECT 'Northern State', 'Nation_7'"))
+
+
 @query("article_countries", f", k AS (SELECT doc_id, {NAMES_SQL} AS m FROM t_reports) SELECT doc_id, array_to_string(m, ',') AS countries FROM k WHERE len(m) > 0", "reports")
 def article_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Countries that articles name, also by another name."""
-    found = scalars.mentioned(F.col("text"), NAMES, {"northern state": "nation_7"})
-    return table(spark, sf_dir, "reports").select("doc_id", found.alias("m")).where(F.size("m") > 0).select("doc_id", F.array_join("m", ",").alias("countries"))
+    found = names_in(table(spark, sf_dir, "reports"), _aliases(spark, sf_dir), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("names", ",").alias("countries"))
 
 
 @query("country_articles", f", k AS (SELECT doc_id, date, {NAMES_SQL} AS m FROM t_reports) SELECT doc_id, strftime(date, '%Y-%m-%d') AS day FROM k WHERE list_contains(m, 'NATION_3') ORDER BY date DESC, doc_id LIMIT 20", "reports")
-def country_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def country_articles(spark: SparkSession, sf_dir: str, country: str = "NATION_3") -> DataFrame:
     """The latest articles that name a country."""
-    rows = table(spark, sf_dir, "reports").where(F.array_contains(scalars.mentioned(F.col("text"), NAMES, {"northern state": "nation_7"}), "NATION_3"))
+    reports = table(spark, sf_dir, "reports")
+    naming = names_in(reports, _aliases(spark, sf_dir), "doc_id", "text").where(F.array_contains("names", country)).select(F.col("id").alias("doc_id"))
+    rows = reports.join(naming, "doc_id", "left_semi")
     return panels.latest(rows, "date", 20, "doc_id").select("doc_id", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 

@@ -58,6 +58,25 @@ def event_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.groupBy("severity", F.col("source_country").alias("country")).agg(F.count("*").alias("n"))
 
 
+RANGE = ("1998-01-01 00:00:00", "1998-07-01 00:00:00")
+
+
+@query("severity_breakdown", SQL["event_severity"].removeprefix(f"WITH {cte('events')}\n").replace("FROM t_events)", f"FROM t_events WHERE date >= TIMESTAMP '{RANGE[0]}' AND date < TIMESTAMP '{RANGE[1]}')").replace("  source_country AS country, count(*) AS n FROM p GROUP BY 1, 2", "  count(*) AS n FROM p GROUP BY 1"), "events")
+def severity_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a time range by severity, of all countries."""
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in RANGE)
+    e = table(spark, sf_dir, "events").where((F.col("date") >= start) & (F.col("date") < end))
+    return e.groupBy(scalars.event_severity(F.col("goldstein_scale"), F.col("num_articles"), F.col("tone")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("move_texts", """, c AS (SELECT *, round(price - lag(price) OVER (PARTITION BY case_id ORDER BY ts, event_id), 4) AS delta FROM t_prices)
+SELECT case_id, event_id, printf('Case %d moved %+.2f%% to %.4f', case_id, 100 * delta, price) AS text FROM c WHERE abs(delta) >= 0.1""", "prices")
+def move_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an alert says of a market's move, in formatted numbers."""
+    moved = rules.price_changes(table(spark, sf_dir, "prices")).where(F.abs("delta") >= 0.1)
+    return moved.select("case_id", "event_id", F.format_string("Case %d moved %+.2f%% to %.4f", "case_id", 100 * F.col("delta"), "price").alias("text"))
+
+
 @query("diplomatic_apt", recent(30) + f""", p AS (SELECT least(source_country, target_country) AS a, greatest(source_country, target_country) AS b,
   count(*) AS n_events, min(goldstein_scale) AS worst, arg_min(event_id, struct_pack(g := goldstein_scale, d := date, e := event_id)) AS worst_event FROM t_events
   WHERE goldstein_scale < -5 AND date >= {day(168)} AND date <= {T0} GROUP BY 1, 2),

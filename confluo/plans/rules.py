@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo.functions.scalars import mentioned, surrogate_id
+from confluo.functions.scalars import surrogate_id
+from confluo.operators.names import names_in
 from confluo.operators.core import between, both_sides, canonical_pair, deviation, interval_join, merged_moments, moments, since, top_per_group
 
 # fixed values: event types that mean armed conflict
@@ -28,24 +29,36 @@ def _ladder(value: Column, *steps: tuple[float, str], otherwise: str | None) ->
     return out
 
 
-def recent_groups(groups: DataFrame, attribution: DataFrame, as_of: str, days: int) -> DataFrame:
-    """(country, name, confidence) of groups changed lately that the attribution table gives to a country."""
-    recent = groups.where(between("modified", as_of, days)).select(F.lower("name").alias("key"), "confidence")
+def recent_groups(groups: DataFrame, attribution: DataFrame, as_of: str, days: int, validate: bool = True) -> DataFrame:
+    """(country, name, confidence) of groups changed lately that the attribution table gives to a country, or, without
+    validation, that the group table itself does."""
+    recent = groups.where(between("modified", as_of, days))
+    if not validate:
+        return recent.where("country <> ''").groupBy("country", "name").agg(F.max("confidence").alias("confidence"))
+    recent = recent.select(F.lower("name").alias("key"), "confidence")
     recent = recent.groupBy("key").agg(F.max("confidence").alias("confidence"))
     named = attribution.select("country", "name", F.lower("name").alias("key")).distinct()
     return named.join(recent, "key").select("country", "name", "confidence")
 
 
-def diplomatic_apt(events: DataFrame, groups: DataFrame, attribution: DataFrame, as_of: str, below: float = -5.0, days: int = 7, group_days: int = 30, confident: int = 80) -> DataFrame:
-    """Escalating country pairs with recent activity of threat groups attributed to either side."""
+def diplomatic_apt(events: DataFrame, groups: DataFrame, attribution: DataFrame, as_of: str, below: float = -5.0, days: int = 7, group_days: int = 30, confident: int = 80, window: str = "now") -> DataFrame:
+    """Escalating country pairs with activity of threat groups attributed to either side: recent, or with
+    window="around_event" within as many days of the pair's worst event."""
+    if window not in ("now", "around_event"):
+        raise ValueError(window)
     hot = events.where((F.col("goldstein_scale") < below) & between("date", as_of, days) & (F.col("source_country") != "") & (F.col("target_country") != ""))
     pairs = hot.groupBy(*canonical_pair("source_country", "target_country")).agg(
         F.count("*").alias("n_events"),
         F.min("goldstein_scale").alias("worst"),
-        F.min(F.struct("goldstein_scale", "date", "event_id"))["event_id"].alias("worst_event"),
-    )
+        F.min(F.struct("goldstein_scale", "date", "event_id")).alias("_worst"),
+    ).select("*", F.col("_worst.event_id").alias("worst_event"), F.col("_worst.date").alias("worst_at")).drop("_worst")
     sides = pairs.withColumn("country", F.explode(F.array_distinct(F.array("country_a", "country_b"))))
-    found = sides.join(recent_groups(groups, attribution, as_of, group_days), "country")
+    if window == "now":
+        found = sides.join(recent_groups(groups, attribution, as_of, group_days), "country")
+    else:
+        named = attribution.select("country", "name", F.lower("name").alias("key")).distinct()
+        active = groups.select(F.lower("name").alias("key"), "confidence", "modified").join(named, "key").drop("key")
+        found = interval_join(sides, active, "country", "worst_at", "modified", 24 * group_days, 24 * group_days)
     out = found.groupBy("country_a", "country_b", "n_events", "worst", "worst_event").agg(
         F.count_distinct("name").alias("n_groups"), F.max("confidence").alias("max_confidence"),
         F.slice(F.array_sort(F.collect_set("name")), 1, 3).alias("first_groups"),
@@ -81,13 +94,13 @@ def sanction_spike(sanctions: DataFrame, indicators: DataFrame, as_of: str, days
     )
 
 
-def conflict_cyber(conflicts: DataFrame, groups: DataFrame, attribution: DataFrame, as_of: str, days: int = 14, group_days: int = 30) -> DataFrame:
+def conflict_cyber(conflicts: DataFrame, groups: DataFrame, attribution: DataFrame, as_of: str, days: int = 14, group_days: int = 30, validate: bool = True) -> DataFrame:
     """Countries in armed conflict with recent threat-group activity."""
     fights = conflicts.where(F.col("event_type").isin(*CONFLICT_TYPES) & between("date", as_of, days) & (F.col("country") != ""))
     fights = fights.groupBy("country").agg(
         F.count("*").alias("n_events"), F.sum("fatalities").alias("fatalities"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("event_types")
     )
-    active = recent_groups(groups, attribution, as_of, group_days).groupBy("country").agg(F.count_distinct("name").alias("n_groups"), F.max("confidence").alias("max_confidence"))
+    active = recent_groups(groups, attribution, as_of, group_days, validate).groupBy("country").agg(F.count_distinct("name").alias("n_groups"), F.max("confidence").alias("max_confidence"))
     out = fights.join(active, "country")
     score = (
         F.when(F.col("n_events") >= 50, 2).when(F.col("n_events") >= 10, 1).otherwise(0)
@@ -175,8 +188,9 @@ def military_buildup(spending: DataFrame, groups: DataFrame, attribution: DataFr
     )
 
 
-def arms_escalation(transfers: DataFrame, neighbours: DataFrame, events: DataFrame, as_of: str, days: int = 365, window: int = 90, below: float = -3.0, percent: float = 50.0) -> DataFrame:
-    """Arms imports followed by more hostile events with a neighbour than before them (both windows hold the day itself)."""
+def arms_escalation(transfers: DataFrame, neighbours: DataFrame, events: DataFrame, as_of: str, days: int = 365, window: int = 90, below: float = -3.0, percent: float = 50.0, exclusive_after: bool = False) -> DataFrame:
+    """Arms imports followed by more hostile events with a neighbour than before them. Both windows hold the moment
+    itself, or with exclusive_after only the one before."""
     bought = transfers.where(between("date", as_of, days) & (F.col("recipient_country") != "")).groupBy(F.col("recipient_country").alias("country")).agg(
         F.min("date").alias("reference"), F.max(F.struct("tiv", "transfer_id")).alias("largest")
     )
@@ -186,7 +200,7 @@ def arms_escalation(transfers: DataFrame, neighbours: DataFrame, events: DataFra
     tense = tense.select(F.concat_ws("||", "country_a", "country_b").alias("pair"), "event_at")
     found = interval_join(near, tense, "pair", "reference", "event_at", 24 * window, 24 * window)
     counts = found.groupBy("country", "neighbour", "reference", "largest").agg(
-        F.count_if(F.col("event_at") <= F.col("reference")).alias("before"), F.count_if(F.col("event_at") >= F.col("reference")).alias("after")
+        F.count_if(F.col("event_at") <= F.col("reference")).alias("before"), F.count_if(F.col("event_at") > F.col("reference") if exclusive_after else F.col("event_at") >= F.col("reference")).alias("after")
     )
     change = F.when(F.col("before") == 0, 100.0).otherwise(100.0 * (F.col("after") - F.col("before")) / F.col("before"))
     out = counts.withColumn("change", change).where(F.col("change") >= percent)
@@ -254,10 +268,11 @@ def prediction_event_match(cases: DataFrame, events: DataFrame, as_of: str, move
     )
 
 
-def targeted(profiles: DataFrame, countries: list[str]) -> DataFrame:
-    """(country, name) of the groups whose description names a country, as whole words in any case."""
-    found = profiles.select("name", F.explode(mentioned(F.col("description"), countries)).alias("country"))
-    return found.select("country", "name").distinct()
+def targeted(profiles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(country, name) of the groups whose description names a country (alias, name), as whole words in any case."""
+    described = profiles.groupBy("name").agg(F.concat_ws("\n", F.array_sort(F.collect_set("description"))).alias("description"))
+    found = names_in(described, aliases, "name", "description")
+    return found.select(F.explode("names").alias("country"), F.col("id").alias("name"))
 
 
 def event_activity(events: DataFrame, as_of: str, days: int = 30, tense_days: int = 7, below: float = -3.0) -> DataFrame:
@@ -272,14 +287,14 @@ def by_country(correlations: DataFrame) -> DataFrame:
     return correlations.withColumn("country", F.explode(F.array_distinct(F.split("countries", r"\|\|")))).where("country <> ''")
 
 
-def outage_apt(outages: DataFrame, groups: DataFrame, attribution: DataFrame, targeting: DataFrame, as_of: str, hours: int = 48, group_days: int = 30, static: int = 3, most: int = 5) -> DataFrame:
+def outage_apt(outages: DataFrame, groups: DataFrame, attribution: DataFrame, targeting: DataFrame, as_of: str, hours: int = 48, group_days: int = 30, static: int = 3, most: int = 5, validate: bool = True) -> DataFrame:
     """Outages in countries with offensive groups of their own or groups targeting them (country, name).
 
     A country's own groups are those active lately, else those that the group table knows at all, else the first ones of
     the attribution.
     """
     cut = outages.where(between("start_time", as_of, hours / 24) & (F.col("country") != ""))
-    active = recent_groups(groups, attribution, as_of, group_days).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias("active"))
+    active = recent_groups(groups, attribution, as_of, group_days, validate).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias("active"))
     first = lambda rows, k, name: top_per_group(rows, ["country"], k, F.col("name")).groupBy("country").agg(F.array_sort(F.collect_set("name")).alias(name))
     named = attribution.select("country", "name").distinct()
     tracked = first(named.join(groups.select(F.lower("name").alias("_key")), F.lower("name") == F.col("_key"), "left_semi"), most, "tracked")

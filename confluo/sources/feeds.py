@@ -65,6 +65,19 @@ def files_since(files: DataFrame, since: str, until: str) -> DataFrame:
     return files.where((stamp != "") & (stamp >= digits(since)) & (stamp < digits(until))).withColumn("file_time", F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")))
 
 
+def window_globs(spark: SparkSession, folder: str, since: str, until: str) -> list[str]:
+    """Paths of the days that a time window [since, until) touches, of those there are: files or folders in `folder` whose
+    names start with the day (yyyymmdd). A read of these lists no other day's folder; files_since cuts to the window."""
+    from datetime import datetime, timedelta
+
+    first, last = datetime.fromisoformat(since), datetime.fromisoformat(until) - timedelta(microseconds=1)
+    days = [first.date() + timedelta(days=k) for k in range((last.date() - first.date()).days + 1)]
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    globs = [f"{folder.rstrip('/')}/{day:%Y%m%d}*" for day in days]
+    return [g for g in globs if (found := files.globStatus(of(g))) is not None and len(found)]
+
+
 def high_water_mark(target: DataFrame, at: str, fallback: str) -> Column:
     """The newest time of a table, from which the next read starts, as a value."""
     newest = target.agg(F.max(at).cast("timestamp").alias("m")).first()["m"]

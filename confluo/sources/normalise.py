@@ -198,13 +198,29 @@ def outages(raw: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: the columns under which transfer files carry a field, in the order in which they are tried
+TRANSFER_ALIASES = {
+    "supplier": ("supplier_country", "supplier"),
+    "recipient": ("recipient_country", "recipient"),
+    "weapon_type": ("weapon_type", "armament_category"),
+    "designation": ("weapon_description", "designation"),
+    "quantity": ("quantity", "number_ordered"),
+    "tiv": ("tiv_value", "tiv_delivery_values"),
+    "order_date": ("order_date", "year_of_order"),
+    "delivery_date": ("delivery_date", "year_of_deliveries"),
+    "status": ("status", "deal_status"),
+}
+
+
 def transfers(raw: DataFrame) -> DataFrame:
-    c = F.col
-    year = safe_int(c("year"))
-    supplier, recipient = F.upper(F.trim(F.coalesce("supplier", F.lit("")))), F.upper(F.trim(F.coalesce("recipient", F.lit(""))))
+    """Arms transfers, under either name of each column; a file may lack columns."""
+    found = {name: F.coalesce(*[F.col(f"`{c}`").cast("string") for c in columns if c in raw.columns], F.lit("unknown" if name == "status" else "")) for name, columns in TRANSFER_ALIASES.items()}
+    year = safe_int(F.col("year"))
+    supplier, recipient = F.upper(F.trim(found["supplier"])), F.upper(F.trim(found["recipient"]))
     return raw.select(
-        surrogate_id(year, supplier, recipient, c("designation"), c("number_ordered")).alias("transfer_id"), F.make_date(year, F.lit(6), F.lit(15)).cast("timestamp").alias("date"), year.alias("year"),
-        supplier.alias("supplier_country"), recipient.alias("recipient_country"), "weapon_type", "designation", safe_int(c("number_ordered")).alias("quantity"), safe_double(c("tiv_delivery_values")).alias("tiv"),
+        surrogate_id(year, supplier, recipient, found["designation"], found["quantity"]).alias("transfer_id"), F.make_date(year, F.lit(6), F.lit(15)).cast("timestamp").alias("date"), year.alias("year"),
+        supplier.alias("supplier_country"), recipient.alias("recipient_country"), found["weapon_type"].alias("weapon_type"), found["designation"].alias("designation"), safe_int(found["quantity"]).alias("quantity"),
+        safe_double(found["tiv"]).alias("tiv"), found["order_date"].alias("order_date"), found["delivery_date"].alias("delivery_date"), F.lower(found["status"]).alias("status"),
     ).where((F.col("year") > 0) & (F.col("recipient_country") != ""))
 
 

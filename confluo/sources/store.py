@@ -100,6 +100,10 @@ def _next(manifest: dict) -> tuple[int, str]:
     return manifest["version"] + 1, f"{manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_Folder(spark, path).versions())
+
+
 def ensure_table(spark: SparkSession, path: str) -> None:
     """An empty table, if there is none."""
     table = _Folder(spark, path)

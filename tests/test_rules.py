@@ -130,7 +130,7 @@ def test_engine_prefers_the_gravest(spark):
 
 def test_targets_in_descriptions(spark):
     profiles = spark.createDataFrame([("Bear", "attacks MALI, Niger and maliens"), ("Cat", None), ("Dog", "Nigeria only")], "name string, description string")
-    assert sorted((r.country, r.name) for r in rules.targeted(profiles, ["Mali", "Niger"]).collect()) == [("MALI", "Bear"), ("NIGER", "Bear")]
+    assert sorted((r.country, r.name) for r in rules.targeted(profiles, spark.createDataFrame([("Mali", "Mali"), ("Niger", "Niger")], "alias string, name string")).collect()) == [("MALI", "Bear"), ("NIGER", "Bear")]
 
 
 def test_own_groups_fall_back_twice(spark):
