@@ -36,6 +36,6 @@ def names_in(texts: DataFrame, aliases: DataFrame, id_col: str, text: str) -> Da
     met = grams.join(known.select("gram", "name"), "gram")
     ordered = F.array_sort(F.collect_list(F.struct("at", (-F.col("words")).alias("less"), "name")))
     none = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("names"))
-    taken = lambda x, m: F.when(m["at"] >= x["free"], F.struct((m["at"] - 2 * m["less"] - 1).alias("free"), F.array_append(x["names"], m["name"]).alias("names"))).otherwise(x)
+    taken = lambda x, m: F.when(m["at"] >= x["free"], F.struct((m["at"] - 2 * m["less"] - 1).alias("free"), F.when(F.array_contains(x["names"], m["name"]), x["names"]).otherwise(F.array_append(x["names"], m["name"])).alias("names"))).otherwise(x)
     found = met.groupBy("id").agg(ordered.alias("matches")).select("id", F.reduce("matches", none, taken)["names"].alias("names"))
-    return found.select("id", F.array_sort(F.array_distinct("names")).alias("names"))
+    return found.select("id", F.array_sort("names").alias("names"))
