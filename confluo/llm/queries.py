@@ -152,6 +152,40 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+# the CRC from its polynomial; near words share the word with a place masked, or one is the other with a place cut out
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))
+), r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents) GROUP BY 1, 2
+), b AS (
+  SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bs FROM r
+), h AS (
+  SELECT run, k, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bs), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS h FROM b, crc
+), c AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) + 2 AS INTEGER)) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1
+), w AS (
+  SELECT word, n FROM c WHERE length(word) >= 6 AND n >= 5
+), i AS (
+  SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM w
+), m AS (
+  SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS mask, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM i
+), near AS (
+  SELECT a.word, o.word AS other, o.n AS other_n FROM m a JOIN m o ON a.mask = o.mask AND a.word <> o.word
+  UNION SELECT w.word, m.word, m.n FROM w JOIN m ON m.cut = w.word UNION SELECT m.word, w.word, w.n FROM w JOIN m ON m.cut = w.word
+), best AS (
+  SELECT word, other, other_n, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS nth, count(*) OVER (PARTITION BY word) AS n_near FROM near
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND nth = 1
+), up AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, up.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f AS z ON z.word = up.root AND z.form IS NULL
+"""
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -174,4 +208,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ball_tree_top_k": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_merkle_fingerprints": OP8_SQL}
+    return {"op2_ball_tree_top_k": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_merkle_fingerprints": OP8_SQL, "op11_spelling_variants": OP11_SQL}
