@@ -60,9 +60,13 @@ def similar_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFram
     taken at the first of its common tokens alone, so nothing is made distinct afterwards. Tokens hold no spaces; empty
     sets are similar to nothing; ids are unique on each side.
     """
-    both = F.array_intersect("left_tokens", "right_tokens")
-    found = candidates(left, right, at_least).withColumn("both", both)
-    first = F.when(F.contains("sign", F.lit(" ")), F.concat_ws(" ", F.slice("both", 1, 2))).otherwise(F.get("both", F.lit(0)))
-    similarity = F.size("both") / (F.size("left_tokens") + F.size("right_tokens") - F.size("both"))
-    found = found.where(F.col("sign") == first).withColumn("similarity", similarity)
-    return found.where(F.col("similarity") >= at_least - 1e-12).select("left_id", "right_id", "similarity")
+    pair, sizes = F.contains("sign", F.lit(" ")), F.size("left_tokens") + F.size("right_tokens")
+
+    def judged(both: Column) -> Column:
+        first = F.when(pair, F.concat_ws(" ", F.slice(both, 1, 2))).otherwise(F.get(both, F.lit(0)))
+        return F.when(F.col("sign") == first, F.size(both) / (sizes - F.size(both)))
+
+    # an array of one binds the common tokens, so they are made once a candidate
+    similarity = F.get(F.transform(F.array(F.array_intersect("left_tokens", "right_tokens")), judged), F.lit(0))
+    found = candidates(left, right, at_least).select("left_id", "right_id", similarity.alias("similarity"))
+    return found.where(F.col("similarity") >= at_least - 1e-12)
