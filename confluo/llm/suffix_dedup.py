@@ -22,8 +22,8 @@
 Order is by document id, then by offset.
 
 Defined cases: a null text is empty, texts shorter than `length` bytes lose nothing; any length of text is searched
-whole; a null id sorts first; rows of one id are documents of their own, in the order of a hash of id and text, which
-names a row throughout; rows equal in id and text count as one document and do not remove each other; an empty table
+whole; a null id sorts first; rows of one id are documents of their own, in the order of a hash of id and text; id
+and hash name a row throughout, so that 64 bits only tell texts of one id apart; rows equal in id and text count as one document and do not remove each other; an empty table
 gives an empty table; other columns are not carried. A cut may fall inside a character, so the kept text is binary.
 """
 
@@ -46,6 +46,7 @@ TRANSFORM_BYTES = 1_500_000
 HOT, HOTTEST = 8192, 32_768
 PARTED = -1  # in place of a number of tasks
 _SEPARATOR = 255  # no byte of UTF-8
+row_hash = F.xxhash64
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -277,24 +278,24 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(row, doc, text) -> (row): rows whose whole text a row of an earlier id has."""
+    """(row, doc, text) -> (row, doc): rows whose whole text a row of an earlier id has."""
     whole = docs.select("row", "doc", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("hash")).where("digest IS NOT NULL")
     firsts = whole.groupBy("hash", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return whole.join(firsts.drop("last"), ["hash", "digest"]).where("doc > first").select("row").distinct()
+    return whole.join(firsts.drop("last"), ["hash", "digest"]).where("doc > first").select("row", "doc").distinct()
 
 
 def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = K) -> DataFrame:
-    """(row, doc, text) -> (row, spans): what goes from rows that are no copies, in parts that may overlap, a row often."""
+    """(row, doc, text) -> (row, doc, spans): what goes from rows that are no copies, in parts that may overlap, a row often."""
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             text, _, _, _, hashed = runs(_texts(batch.column(2)), length, k)
             by = np.lexsort((hashed, text))
             text, hashed = text[by], hashed[by]
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1])])) if len(text) else np.zeros(0, int)
             times = np.diff(np.append(first, len(text)))
-            yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "row", "times"])
+            yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(own[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "row", "doc", "times"])
 
     half = (length - k + 1) // 2
 
@@ -363,7 +364,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                 edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))  # one output row a document
                 listed = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["start", "stop"]))
                 empty = pa.nulls(len(listed), pa.int64())
-                yield pa.record_batch([pa.array(row_of[d[edge[:-1]]]), listed, pa.nulls(len(listed), pa.int32()), empty, empty, empty], names=names)
+                own = d[edge[:-1]]
+                yield pa.record_batch([pa.array(row_of[own]), listed, pa.nulls(len(listed), pa.int32()), pa.array(doc_of[own]), empty, empty], names=names)
             if firsts:
                 d, a = np.array([x[1] for x in firsts]), np.array([x[2] for x in firsts], np.int32)
                 halves = np.frombuffer(b"".join(xxh3_128_digest(x[0]) for x in firsts), "<i8").reshape(-1, 2)
@@ -381,15 +383,15 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                 held.append((row[0], row[2], *row[3:6], row[6].values.to_numpy(), row[7].values.to_numpy(), row[8].values.to_numpy().astype(np.int64)))
         yield from flush(held)
 
-    grams = docs.join(copies, "row", "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, times int")
+    grams = docs.join(copies, ["row", "doc"], "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, doc long, times int")
     grams = stored(grams, "suffix-anchors")
     often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
     parts = F.when(F.col("n") <= HOT, 1).when(F.col("n") <= HOTTEST, PARTED).otherwise(F.ceil(F.col("n") / HOT))
     often = stored(often.select("anchor", parts.cast("int").alias("parts")), "suffix-often")
     # most anchors stand once and need not move
-    likely = sieved(grams.select("anchor", "row"), often, "anchor", name="_maybe").where("_maybe").drop("_maybe")
-    marked = likely.join(often, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
-    found = docs.join(marked, "row").select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
+    likely = sieved(grams.select("anchor", "row", "doc"), often, "anchor", name="_maybe").where("_maybe").drop("_maybe")
+    marked = likely.join(often, "anchor").groupBy("row", "doc").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
+    found = docs.join(marked, ["row", "doc"]).select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
     found = found.mapInArrow(contexts, "anchor long, part int, shared boolean, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
     found = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context")
     schema = "row long, spans array<struct<start:int,stop:int>>, start int, doc long, high long, low long"
@@ -398,8 +400,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
     firsts = out.where("high IS NOT NULL").select("row", "start", "doc", "high", "low")
     least = firsts.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "start")).alias("least")).where("n > 1")
     again = firsts.join(least, ["high", "low"]).where(F.struct("doc", "row", "start") != F.col("least"))
-    later = again.select("row", F.array(F.struct("start", (F.col("start") + length).alias("stop"))).alias("spans"))
-    return out.where("high IS NULL").select("row", "spans").union(later)
+    later = again.select("row", "doc", F.array(F.struct("start", (F.col("start") + length).alias("stop"))).alias("spans"))
+    return out.where("high IS NULL").select("row", "doc", "spans").union(later)
 
 
 def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_hash: np.ndarray) -> np.ndarray:
@@ -415,12 +417,12 @@ def _in_lists(text: np.ndarray, hashed: np.ndarray, list_text: np.ndarray, list_
 def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) -> kept (binary), spans (array of start, stop) and n_bytes."""
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text")).select(F.xxhash64("doc", "text").alias("row"), "doc", "text")
+    docs = docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text")).select(row_hash("doc", "text").alias("row"), "doc", "text")
     copies = stored(later_copies(docs), "suffix-copies")
     spans = repeated_spans(docs, copies, length, k)
     # a copy goes whole, if it has a string of that length at all
-    whole = copies.select("row", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("spans"))
-    by_row = spans.union(whole).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = copies.select("row", "doc", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("spans"))
+    by_row = spans.union(whole).groupBy("row", "doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,7 +440,7 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), pa.array(united, kind)], names=["doc", "kept", "spans"])
 
-    joined = docs.join(by_row, "row", "left").select("doc", "text", "spans")
+    joined = docs.join(by_row, ["row", "doc"], "left").select("doc", "text", "spans")
     out = joined.mapInArrow(cut, "doc long, kept binary, spans array<struct<start:int,stop:int>>")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
     own_id = F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))

@@ -29,3 +29,16 @@ def test_rows_of_one_id_equal_brute_force(spark):
             seen.add(raw[x : x + 100])
         want.append((str(i), bytes(np.frombuffer(raw, np.uint8)[~gone])))
     assert sorted((str(r.doc_id), bytes(r.kept)) for r in suffix_dedup.deduplicate(frame).collect()) == sorted(want)
+
+
+def test_texts_of_two_ids_may_share_a_hash(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(150) for _ in range(5)]
+    rows = [(i, text(rng.randrange(80)) + (passages[i % 5] if i % 3 else "") + text(200)) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 40, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, bytes(r.kept), r.n_removed) for r in suffix_dedup.deduplicate(frame).collect())
+    monkeypatch.setattr(suffix_dedup, "row_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(2)))
+    assert sorted((r.doc_id, bytes(r.kept), r.n_removed) for r in suffix_dedup.deduplicate(frame).collect()) == want
+    assert sum(x[2] for x in want) > 5000
