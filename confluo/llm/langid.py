@@ -5,14 +5,15 @@ units (with the boundary at either end) are hashed into buckets. The embeddings
 the whole text and a linear softmax reads the language off. Embeddings and softmax are trained together by stochastic
 gradient descent in numpy on a bounded sample of whole documents: about `per_language` of each language, and about
 `most_documents` in all, whichever is less, each language thinned alike. Executors turn the documents into counts of
-buckets, so a document of any length reaches the driver as at most BUCKETS pairs of numbers. A tenth of the sample is
+buckets, pairs of numbers; documents are taken, of each language alike, while their pairs are at most `most_pairs` (2^25,
+or 256 MB on the driver), one of fewer than LEAST_PAIRS counting as so many. A tenth of the sample is
 kept apart: on it a temperature calibrates the probabilities and a rejection threshold is set, below which `accepted`
 is false.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0 and not accepted; texts of any length are
 read whole, in training too; rows whose language is null are not learned from but predicted like all; where there is
 nothing to learn from, every text is `und`; of languages with equal probability the first by name is given; repeated
-rows are predicted alike, and are drawn for the sample together; an empty table gives an empty table; columns of the
+rows are predicted alike, and stand in the sample once; an empty table gives an empty table; columns of the
 input named like those added are replaced.
 """
 
@@ -24,14 +25,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo.llm.common import stored, without
+from confluo.llm.common import drop_stored, stored, without
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17
 ORDERS = (2, 3, 4)
+LEAST_PAIRS = 1024
 _letters: list[np.ndarray] = []
 
 
@@ -159,7 +161,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dims:
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int, most_documents: int, seed: int = 3) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+def training_sample(docs: DataFrame, per_language: int, most_documents: int, most_pairs: int = 1 << 25, seed: int = 3) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
     """Bucket counts and languages of whole documents, drawn by a hash of id and text."""
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -167,21 +169,29 @@ def training_sample(docs: DataFrame, per_language: int, most_documents: int, see
     counts = stored(known.groupBy("lang").agg(F.count("*").alias("_n")), "langid-counts")
     share = min(float(per_language), most_documents / max(1, counts.count()))
     chosen = known.join(counts, "lang").withColumn("_draw", draw).where(F.col("_draw") < F.lit(share) / F.col("_n"))
+    chosen = chosen.groupBy("lang", "_draw", "_n").agg(F.first("text").alias("text"))  # repeated rows once
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bucket_counts(t) for t in batch.column(2).to_pylist()]
+            found = [bucket_counts(t) for t in batch.column(3).to_pylist()]
             packed = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *packed], names=["lang", "_draw", "ids", "counts"])
-
-    rows = chosen.select("lang", "_draw", "text").mapInArrow(count, "lang string, _draw double, ids binary, counts binary").collect()
+            pairs = pa.array([max(LEAST_PAIRS, len(x[0])) for x in found], pa.int64())
+            yield pa.record_batch([*batch.columns[:3], pairs, *packed], names=["lang", "_draw", "_place", "pairs", "ids", "counts"])
+
+    place = F.col("_draw") * F.col("_n")  # among the documents of its language
+    schema = "lang string, _draw double, _place double, pairs long, ids binary, counts binary"
+    found = stored(chosen.select("lang", "_draw", place.alias("_place"), "text").mapInArrow(count, schema), "langid-sample")
+    by_place = Window.orderBy("_place", "_draw", "lang").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.select("_place", "_draw", "lang", "pairs").withColumn("so_far", F.sum("pairs").over(by_place)).where(F.col("so_far") <= most_pairs).select("_place", "_draw", "lang")
+    rows = found.join(fits, ["_place", "_draw", "lang"], "left_semi").select("lang", "_draw", "ids", "counts").collect()
+    drop_stored(found)
     rows.sort(key=lambda r: (r["_draw"], r["lang"], bytes(r["ids"])))
     return [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows], [r["lang"] for r in rows]
 
 
-def fit(docs: DataFrame, learn_from: Column, per_language: int = 600, most_documents: int = 6000) -> Model:
+def fit(docs: DataFrame, learn_from: Column, per_language: int = 600, most_documents: int = 6000, most_pairs: int = 1 << 25) -> Model:
     """Learn from the rows of (doc_id, text, lang) for which learn_from holds."""
-    return train(*training_sample(docs.where(learn_from), per_language, most_documents))
+    return train(*training_sample(docs.where(learn_from), per_language, most_documents, most_pairs))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

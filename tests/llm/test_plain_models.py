@@ -66,6 +66,10 @@ def test_training_reads_whole_documents(spark):
     _, langs = langid.training_sample(frame, 1000, 30)
     thinned = Counter(langs)
     assert thinned["y"] == 7 and 5 <= thinned["x"] <= 26  # 15 of each at most
+    _, langs = langid.training_sample(frame, 1000, 1000, 20 * langid.LEAST_PAIRS)
+    assert len(langs) == 20 and Counter(langs)["y"] >= 5  # bounded by pairs, the short language is kept
+    _, langs = langid.training_sample(frame.union(frame), 1000, 1000)
+    assert Counter(langs) == {"x": 60, "y": 7}  # repeated rows once
     marks = spark.createDataFrame([(999, 1), (1, 0)], "doc_id long, quality int")
     features, labels = quality.training_sample(frame, marks, F.lit(True), 100, 100)
     assert sorted(float(size.sum()) for _, size in features) == [7.0, float(len(long))] and sorted(labels) == [0, 1]
