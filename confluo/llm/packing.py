@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from confluo.llm.common import release_memory
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSAFE = range(5)
 _LONGEST_HASHED = 64
+SLICE_CHARS = 1 << 19
 
 
 def _char_classes() -> np.ndarray:
@@ -104,8 +107,9 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: list[str], keys: np.ndarray) -> None:
-        found = self.tokenizer.encode_batch([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, self.ids.dtype) for e in found])
+        # one encoding at a time, as it takes over a hundred bytes a token
+        parts = (self.tokenizer.encode(" ".join(words[i : i + 1000]), add_special_tokens=False) for i in range(0, len(words), 1000))
+        ids = np.concatenate([np.array(e.ids, self.ids.dtype) for e in parts])
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             raise ValueError("the tokenizer does not end each word with one end-of-word token")
@@ -118,7 +122,18 @@ class WordTokenizer:
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text."""
+        """All ids one after the other, and the number of ids of each text; about SLICE_CHARS characters at a time, as
+        the arrays made on the way take many times the memory of the texts."""
+        found, lo, chars = [], 0, 0
+        for i, x in enumerate(texts):
+            chars += len(x) + 1
+            if chars >= SLICE_CHARS or i == len(texts) - 1:
+                found.append(self._encode(texts[lo : i + 1]))
+                lo, chars = i + 1, 0
+        ids, counts = zip(*found) if found else ((self.ids[:0],), (np.zeros(0, np.int64),))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(texts), np.int64)
         parts: list[np.ndarray | None] = [None] * len(texts)
         units = [np.frombuffer(x.lower().encode("utf-16-le", "surrogatepass"), np.uint16) for x in texts]
@@ -255,14 +270,16 @@ def pack(
             begins = np.cumsum(lengths) - lengths
             placed = np.array(place(lengths, capacity, linear, quadratic), np.int64).reshape(-1, 5)
             d, start, length, seq, offset = placed.T
-            for a in range(0, len(d), 4096):
-                part = slice(a, a + 4096)
+            for a in range(0, len(d), 1024):
+                part = slice(a, a + 1024)
                 raw = [tokens[begins[i] + s : begins[i] + s + n].astype("<u4").tobytes() for i, s, n in zip(d[part], start[part], length[part])]
                 yield pa.record_batch(
                     [pa.array([doc_ids[i] for i in d[part]], pa.int64()), pa.array(start[part]), pa.array(length[part]), pa.array(raw, pa.binary()), pa.array(lengths[d[part]]), pa.array(seq[part] + sequence), pa.array(offset[part])],
                     schema=ARROW_SCHEMA,
                 )
             sequence += int(seq.max()) + 1
+            del tokens
+            release_memory()
 
         held = 0
         for ids, texts in pooled(batches):
