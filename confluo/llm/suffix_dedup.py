@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.common import sieved, stored
+from confluo.llm.common import drop_stored, release_memory, sieved, stored
 
 K = 24
 PIECE_BYTES = 1 << 20
@@ -296,6 +296,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (hashed[1:] != hashed[:-1])])) if len(text) else np.zeros(0, int)
             times = np.diff(np.append(first, len(text)))
             yield pa.record_batch([pa.array(hashed[first]), pa.array(ids[text[first]]), pa.array(own[text[first]]), pa.array(times.astype(np.int32))], names=["anchor", "row", "doc", "times"])
+        release_memory()
 
     half = (length - k + 1) // 2
 
@@ -336,6 +337,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                     ],
                     names=["anchor", "part", "shared", "context", "starts", "offset", "rows", "docs", "places"],
                 )
+        release_memory()
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -382,8 +384,14 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
                 size += len(context) + 1 if not held or context != held[-1][2] else 0
                 held.append((row[0], row[2], *row[3:6], row[6].values.to_numpy(), row[7].values.to_numpy(), row[8].values.to_numpy().astype(np.int64)))
         yield from flush(held)
-
-    grams = docs.join(copies, ["row", "doc"], "left_anti").select("row", "doc", "text").mapInArrow(anchors, "anchor long, row long, doc long, times int")
+        held = []
+        release_memory()
+
+    # texts move only where a sieve cannot tell: here those that may be copies, below those with a repeated anchor
+    tagged = sieved(docs, copies, "row", "doc", name="_maybe")
+    doubtful = tagged.where("_maybe").join(copies, ["row", "doc"], "left_anti")
+    own = tagged.where("NOT _maybe").select("row", "doc", "text").union(doubtful.select("row", "doc", "text"))
+    grams = own.mapInArrow(anchors, "anchor long, row long, doc long, times int")
     grams = stored(grams, "suffix-anchors")
     often = grams.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
     parts = F.when(F.col("n") <= HOT, 1).when(F.col("n") <= HOTTEST, PARTED).otherwise(F.ceil(F.col("n") / HOT))
@@ -391,11 +399,15 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
     # most anchors stand once and need not move
     likely = sieved(grams.select("anchor", "row", "doc"), often, "anchor", name="_maybe").where("_maybe").drop("_maybe")
     marked = likely.join(often, "anchor").groupBy("row", "doc").agg(F.collect_set(F.struct("anchor", "parts")).alias("anchors"))
-    found = docs.join(marked, ["row", "doc"]).select("row", "doc", "text", "anchors")  # the same exchange of texts as in deduplicate()
+    marked = stored(marked, "suffix-marked")
+    drop_stored(grams)
+    drop_stored(often)
+    found = sieved(docs, marked, "row", "doc", name="_maybe").where("_maybe").join(marked, ["row", "doc"]).select("row", "doc", "text", "anchors")
     found = found.mapInArrow(contexts, "anchor long, part int, shared boolean, context binary, starts int, offset int, rows array<long>, docs array<long>, places array<int>")
     found = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "context")
     schema = "row long, spans array<struct<start:int,stop:int>>, start int, doc long, high long, low long"
     out = stored(found.mapInArrow(remove, schema), "suffix-spans")
+    drop_stored(marked)
     # strings that several tasks have seen: all places but the first of each
     firsts = out.where("high IS NOT NULL").select("row", "start", "doc", "high", "low")
     least = firsts.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "start")).alias("least")).where("n > 1")
@@ -422,7 +434,8 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
     spans = repeated_spans(docs, copies, length, k)
     # a copy goes whole, if it has a string of that length at all
     whole = copies.select("row", "doc", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("spans"))
-    by_row = spans.union(whole).groupBy("row", "doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.union(whole)
+    by_row = spans.groupBy("row", "doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,8 +452,12 @@ def deduplicate(docs: DataFrame, length: int = 100, k: int = K, id_col: str = "d
                 united.append([{"start": a, "stop": b} for a, b in whole])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.record_batch([batch.column(0), pa.array(kept, pa.binary()), pa.array(united, kind)], names=["doc", "kept", "spans"])
+        release_memory()
 
-    joined = docs.join(by_row, ["row", "doc"], "left").select("doc", "text", "spans")
+    # a text that loses nothing stays where it is
+    tagged = sieved(docs, spans, "row", "doc", name="_maybe")
+    joined = tagged.where("_maybe").join(by_row, ["row", "doc"], "left").select("doc", "text", "spans")
+    joined = joined.union(tagged.where("NOT _maybe").select("doc", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
     out = joined.mapInArrow(cut, "doc long, kept binary, spans array<struct<start:int,stop:int>>")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]))
     own_id = F.when(F.col("doc") > F.lit(-(1 << 63)), F.col("doc"))
