@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from confluo.plans import adapters, rules
+from confluo.plans import adapters, live_queries, rules
 
 SF = "/root/testdata/sf0.001"
 AT = datetime(1998, 6, 30)
@@ -53,3 +53,13 @@ def test_small_tables_of_names_go_to_the_rows(spark, monkeypatch):
         assert joins() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_engine_runs_each_rule_once(spark, monkeypatch):
+    """Rules whose hits are stored are not run again for the engine's result."""
+    calls = []
+    plain = rules.rhetoric_shift
+    monkeypatch.setattr(rules, "rhetoric_shift", lambda *args, **kwargs: calls.append(1) or plain(*args, **kwargs))
+    monkeypatch.setattr(live_queries, "_kept", {})
+    live_queries.rule_engine(spark, SF)
+    assert len(calls) == 1
